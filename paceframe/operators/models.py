@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from paceframe.operators.preprocessing import assembler, fit_impute_scale, one_hot, string_indexer
 from paceframe.operators.summaries import user_profile
+from paceframe.session import materialise
+from paceframe.sources.readers import rows as literal_rows
 
 CLASSIFIER_FEATURES = ("steps", "calories_burned", "heart_rate_avg")
 LOGISTIC_FEATURES = ("steps", "calories_burned", "heart_rate_avg", "sleep_hours")
@@ -42,9 +44,15 @@ FULL = ForestSize(trees=100, depth=30, leaf=1)
 def training_frame(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
     """The needed columns, kept while an iterative fit runs over them.
 
-    Spilled to disk when memory is short, and recomputed for a lost executor.
+    Spilled to disk when memory is short, and recomputed for a lost executor. Input of fewer
+    partitions than the cluster has cores is spread over all of them first; bigger input is
+    left where it is.
     """
-    kept = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.select(*columns)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
@@ -187,9 +195,14 @@ def fit_segments_restarts(
     return PipelineModel(stages=[*prepare, best])
 
 
-def segment_users(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Cluster of every user of a telemetry frame."""
-    return model.transform(user_profile(df)).select("user_id", *PROFILE_FEATURES, "prediction")
+def profiles_of(df: DataFrame) -> DataFrame:
+    """User profiles of a telemetry frame, written out: fitting and scoring both read them."""
+    return materialise(user_profile(df), "profiles")
+
+
+def segment_users(model: PipelineModel, profiles: DataFrame) -> DataFrame:
+    """Cluster of every user."""
+    return model.transform(profiles).select("user_id", *PROFILE_FEATURES, "prediction")
 
 
 def cluster_quality(profiles: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42) -> DataFrame:
@@ -207,7 +220,7 @@ def cluster_quality(profiles: DataFrame, ks: Iterable[int] = range(2, 9), seed:
                 model = KMeans(featuresCol="features", k=k, seed=seed).fit(vectors)
                 scored = model.transform(vectors)
                 found.append((k, silhouette(scored), float(model.summary.trainingCost)))
-    return profiles.sparkSession.createDataFrame(found, "k int, silhouette double, cost double")
+    return literal_rows(profiles.sparkSession, found, "k int, silhouette double, cost double")
 
 
 def silhouette(scored: DataFrame, features: str = "features") -> float:
@@ -222,7 +235,7 @@ def feature_importance(model: PipelineModel, names: Sequence[str], spark: SparkS
     """Importance per feature, largest first."""
     forest = next(s for s in model.stages if hasattr(s, "featureImportances"))
     values = [(n, float(v)) for n, v in zip(names, forest.featureImportances.toArray())]
-    return spark.createDataFrame(values, "feature string, importance double").orderBy(
+    return literal_rows(spark, values, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
 
@@ -241,7 +254,7 @@ def save_model(model: PipelineModel, path: str, features: Sequence[str] | None =
     model.write().overwrite().save(path)
     if features is not None:
         spark = SparkSession.active()
-        names = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string")
+        names = literal_rows(spark, list(enumerate(features)), "position int, feature string")
         names.coalesce(1).write.mode("overwrite").json(f"{path}_features")
 
 

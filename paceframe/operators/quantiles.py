@@ -147,20 +147,20 @@ def _located_quantiles(
     )
     key = [*by, "metric", "rank"]
     search = materialise(ranks, "quantile_ranks")
-    while search.where((F.col("lo") < F.col("hi")) & (F.col("rows") > in_memory_rows)).limit(1).count():
-        open_ranks = search.where((F.col("lo") < F.col("hi")) & (F.col("rows") > in_memory_rows))
-        settled = search.where(~((F.col("lo") < F.col("hi")) & (F.col("rows") > in_memory_rows)))
+    too_big = (F.col("lo") < F.col("hi")) & (F.col("rows") > in_memory_rows)
+    while not search.where(too_big).isEmpty():
+        open_ranks, settled = search.where(too_big), search.where(~too_big)
         # Halves, so that the width of the widest interval stays finite.
         offset = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         cell = F.least(F.floor(offset * bins), F.lit(bins - 1).cast("bigint"))
         search = materialise(
-            settled.unionByName(_narrow(values, open_ranks, by, key, cell)), "quantile_round"
+            settled.unionByName(_narrow(values, open_ranks, by, cell)), "quantile_round"
         )
 
     fixed = search.where(F.col("lo") == F.col("hi"))
     small = search.where(F.col("lo") < F.col("hi"))
     exact = materialise(
-        fixed.unionByName(_narrow(values, small, by, key, F.col("v"))).select(*key, F.col("lo").alias("v")),
+        fixed.unionByName(_narrow(values, small, by, F.col("v"))).select(*key, F.col("lo").alias("v")),
         "quantile_values",
     )
 
@@ -175,19 +175,34 @@ def _located_quantiles(
     return paired.select(*by, "metric", "prob_no", "prob", value.alias("value"))
 
 
-def _narrow(values: DataFrame, ranks: DataFrame, by: Sequence[str], key: list[str], cell: Column) -> DataFrame:
+def _narrow(values: DataFrame, ranks: DataFrame, by: Sequence[str], cell: Column) -> DataFrame:
     """For each wanted rank the cell of its interval that holds it.
 
-    ``ranks`` is a written table, so its true size decides between a broadcast and a shuffle
-    join. The window runs over cells, at most ``bins`` or ``in_memory_rows`` per rank.
+    Ranks that still share an interval share its counts. ``ranks`` is a written table, so the
+    true size of its intervals decides between a broadcast and a shuffle join. The window runs
+    over cells, at most ``bins`` or ``in_memory_rows`` per interval.
     """
-    inside = _join_on(values, ranks, [*by, "metric"]).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    interval = [*by, "metric", "lo", "hi"]
+    intervals = ranks.select(*interval, "before").distinct()
+    inside = _join_on(values, intervals, [*by, "metric"]).where(
+        F.col("v").between(F.col("lo"), F.col("hi"))
+    )
     cells = (
         inside.withColumn("cell", cell)
-        .groupBy(*key, "before", "cell")
-        .agg(F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .groupBy(*interval, "before", "cell")
+        .agg(F.count("*").alias("cell_rows"), F.min("v").alias("cell_lo"), F.max("v").alias("cell_hi"))
+    )
+    running = Window.partitionBy(*interval).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    upto = cells.withColumn("upto", F.col("before") + F.sum("cell_rows").over(running)).drop("before")
+    hit = _join_on(ranks.drop("before", "rows"), upto, interval).where(
+        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("cell_rows"))
+    )
+    return hit.select(
+        *by,
+        "metric",
+        "rank",
+        F.col("cell_lo").alias("lo"),
+        F.col("cell_hi").alias("hi"),
+        (F.col("upto") - F.col("cell_rows")).alias("before"),
+        F.col("cell_rows").alias("rows"),
     )
-    running = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    upto = cells.withColumn("upto", F.col("before") + F.sum("rows").over(running))
-    hit = upto.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("rows")))
-    return hit.select(*key, "lo", "hi", (F.col("upto") - F.col("rows")).alias("before"), "rows")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceframe.operators.preprocessing import string_indexer
-from paceframe.session import shared_dir
+from paceframe.session import materialise, shared_dir
+from paceframe.sources.readers import rows
 
 INT_MAX = 2**31 - 1
 
@@ -23,7 +24,7 @@ class IndexedRatings(NamedTuple):
 
 def label_table(spark: SparkSession, model: StringIndexerModel) -> DataFrame:
     """(item_id, activity_type), one row per activity."""
-    return spark.createDataFrame(list(enumerate(model.labels)), "item_id int, activity_type string")
+    return rows(spark, list(enumerate(model.labels)), "item_id int, activity_type string")
 
 
 def dense_ids(df: DataFrame, column: str, output: str) -> DataFrame:
@@ -48,7 +49,7 @@ def dense_ids(df: DataFrame, column: str, output: str) -> DataFrame:
     for row in counts:
         starts.append((row["part"], total))
         total += row["n"]
-    offsets = spark.createDataFrame(starts, "part bigint, start bigint")
+    offsets = rows(spark, starts, "part bigint, start bigint")
     position = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.withColumns({"part": part, "position": position})
@@ -61,9 +62,11 @@ def index_ratings(ratings: DataFrame) -> IndexedRatings:
     """Ratings with integer ids, as the factorisation needs them.
 
     Activities are indexed by frequency among the rating rows. User ids that fit an integer
-    are used as they are; others get dense ids first.
+    are used as they are; others get dense ids first. The ratings are written out once, as
+    indexing, checking and fitting each read them.
     """
     spark = ratings.sparkSession
+    ratings = materialise(ratings, "ratings")
     indexer = string_indexer("activity_type", "item_id").fit(ratings)
     indexed = indexer.transform(ratings).withColumn("item_id", F.col("item_id").cast("int"))
     low, high = ratings.agg(F.min("user_id"), F.max("user_id")).first()

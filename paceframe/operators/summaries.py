@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paceframe.functions.columns import guarded_ratio, month_period, percent, sleep_quality
 from paceframe.schemas import HIGH_PERFORMER_STEPS, WEEKDAYS
+from paceframe.sources.readers import rows
 
 MEANS = {
     "avg_steps": "steps",
@@ -103,8 +104,8 @@ def daily_trend(df: DataFrame) -> DataFrame:
 
 def weekday_calendar_stats(df: DataFrame) -> DataFrame:
     """Means and counts by weekday on a full Mon..Sun calendar; absent days hold nulls."""
-    calendar = df.sparkSession.createDataFrame(
-        list(enumerate(WEEKDAYS, start=1)), "day_no int, day_of_week string"
+    calendar = rows(
+        df.sparkSession, list(enumerate(WEEKDAYS, start=1)), "day_no int, day_of_week string"
     )
     stats = df.groupBy("day_of_week").agg(
         *means("avg_steps", "avg_calories"), F.count("user_id").alias("num_records")
@@ -133,13 +134,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Rows and percent of all rows per value; missing values are left out."""
-    total = df.agg(F.count(column).alias("n")).scalar()
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count("*").alias("num_records"))
-        .withColumn("share_pct", percent(F.col("num_records"), total))
+    counts = (
+        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("num_records"))
     )
+    # The total is taken from the counts, whose exchange is computed once for both uses.
+    total = counts.agg(F.sum("num_records").alias("n")).scalar()
+    return counts.withColumn("share_pct", percent(F.col("num_records"), total))
 
 
 def most_frequent(df: DataFrame, column: str) -> DataFrame:
@@ -218,8 +218,8 @@ def summary_document(df: DataFrame, files: bool = True) -> DataFrame:
     overview = dataset_overview(df, files)
     counts = [c for c in ("total_files", "num_records", "num_users") if c in overview.columns]
 
-    def as_list(rows: DataFrame) -> Column:
-        return rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("rows")).scalar()
+    def as_list(report: DataFrame) -> Column:
+        return report.agg(F.array_sort(F.collect_list(F.struct(*report.columns))).alias("list")).scalar()
 
     return overview.select(
         F.struct(
@@ -232,27 +232,37 @@ def summary_document(df: DataFrame, files: bool = True) -> DataFrame:
 
 
 def key_findings(df: DataFrame, threshold: float = HIGH_PERFORMER_STEPS) -> DataFrame:
-    """The headline findings in one row.
-
-    One global aggregation gives the figures; the two activity names are scalar subqueries
-    over one row per activity.
-    """
-    return df.agg(
+    """The headline findings in one row: one overall aggregation and one per activity."""
+    per_activity = df.where(F.col("activity_type").isNotNull()).groupBy("activity_type").agg(
+        F.count("*").alias("n"),
+        guarded_ratio(F.sum("calories_burned"), F.sum("steps")).alias("cal_per_step"),
+    )
+    activities = per_activity.agg(
+        F.struct(
+            F.count("*").alias("number"),
+            F.min_by("activity_type", F.struct(-F.col("n"), "activity_type")).alias("popular"),
+            F.min_by("activity_type", F.struct(-F.col("cal_per_step"), "activity_type")).alias("efficient"),
+        ).alias("a")
+    )
+    overall = df.agg(
         F.avg("steps").alias("avg_steps"),
         share_above("steps", threshold).alias("high_performer_pct"),
-        F.count_distinct("activity_type").alias("num_activities"),
         F.avg("heart_rate_avg").alias("avg_hr"),
         F.min("heart_rate_avg").alias("min_hr"),
         F.max("heart_rate_avg").alias("max_hr"),
         F.avg("sleep_hours").alias("avg_sleep"),
         F.corr("steps", "calories_burned").alias("steps_calories_corr"),
         F.corr("heart_rate_avg", "calories_burned").alias("hr_calories_corr"),
-    ).withColumns(
-        {
-            "sleep_quality": sleep_quality("avg_sleep"),
-            "most_popular_activity": most_frequent(df, "activity_type").select("activity_type").scalar(),
-            "most_efficient_activity": efficiency_by_totals(df).select("activity_type").scalar(),
-        }
     )
-
-
+    return (
+        overall.withColumn("_a", activities.scalar())
+        .withColumns(
+            {
+                "sleep_quality": sleep_quality("avg_sleep"),
+                "num_activities": F.col("_a.number"),
+                "most_popular_activity": F.col("_a.popular"),
+                "most_efficient_activity": F.col("_a.efficient"),
+            }
+        )
+        .drop("_a")
+    )

@@ -12,6 +12,7 @@ from paceframe.operators import metrics, models, preprocessing, recommend, sampl
 from paceframe.plans.registry import Registry, rounded
 from paceframe.schemas import METRICS
 from paceframe.session import scratch_path
+from paceframe.sources.readers import rows
 from paceframe.sources.adapters import event_telemetry, line_telemetry
 
 QUERIES = Registry()
@@ -168,43 +169,41 @@ def feature_importance(spark, sf):
 
 @QUERIES.add
 def segment_users_k3(spark, sf):
-    lines = line_telemetry(spark, sf)
-    return models.segment_users(models.fit_segments_scaled(summaries.user_profile(lines)), lines)
+    profiles = models.profiles_of(line_telemetry(spark, sf))
+    return models.segment_users(models.fit_segments_scaled(profiles), profiles)
 
 
 @QUERIES.add
 def segment_users_k5(spark, sf):
-    lines = line_telemetry(spark, sf)
-    return models.segment_users(models.fit_segments_restarts(summaries.user_profile(lines)), lines)
+    profiles = models.profiles_of(line_telemetry(spark, sf))
+    return models.segment_users(models.fit_segments_restarts(profiles), profiles)
 
 
 @QUERIES.add
 def segment_score(spark, sf):
     """Users assigned with a stored model."""
-    lines = line_telemetry(spark, sf)
+    profiles = models.profiles_of(line_telemetry(spark, sf))
     path = scratch_path(spark, "user_segmentation")
-    models.save_model(
-        models.fit_segments_scaled(summaries.user_profile(lines)), path, models.PROFILE_FEATURES
-    )
-    return models.segment_users(models.load_model(path), lines)
+    models.save_model(models.fit_segments_scaled(profiles), path, models.PROFILE_FEATURES)
+    return models.segment_users(models.load_model(path), profiles)
 
 
 @QUERIES.add
 def kmeans_elbow(spark, sf):
-    return models.cluster_quality(summaries.user_profile(line_telemetry(spark, sf)))
+    return models.cluster_quality(models.profiles_of(line_telemetry(spark, sf)))
 
 
 @QUERIES.add
 def model_comparison(spark, sf):
     """The headline score of each model, computed on held-out rows or all users."""
-    lines = line_telemetry(spark, sf)
     train, test = _split(spark, sf)
-    profiles = summaries.user_profile(lines)
+    profiles = models.profiles_of(line_telemetry(spark, sf))
     segmenter = models.fit_segments_scaled(profiles, k=5)
     score = models.silhouette(segmenter.transform(profiles))
     classified = models.fit_logistic(train).transform(test)
     regressed = models.fit_linear(train).transform(test)
-    segmentation = spark.createDataFrame(
+    segmentation = rows(
+        spark,
         [("User Segmentation", "K-Means", "Silhouette Score", score)],
         "model string, algorithm string, metric string, score double",
     )

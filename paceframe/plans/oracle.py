@@ -68,9 +68,8 @@ SELECT event_id, user_id, date, steps, calories_burned, activity_type FROM ({EVE
 # Sinks
 
 ORACLE["etl_roundtrip"] = lines(
-    f"""SELECT user_id, date, steps, round(calories_burned, 4) AS calories_burned, heart_rate_avg,
-       round(sleep_hours, 4) AS sleep_hours, activity_type, {WEEKDAY} AS day_of_week,
-       round({RATIO}, 4) AS calories_to_steps_ratio,
+    f"""SELECT user_id, date, steps, calories_burned, heart_rate_avg, sleep_hours, activity_type,
+       {WEEKDAY} AS day_of_week, {RATIO} AS calories_to_steps_ratio,
        CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month
 FROM t"""
 )
@@ -101,15 +100,15 @@ ORACLE["parse_timestamp"] = events(
     "SELECT event_id, CASE WHEN steps <> 0 THEN date_trunc('second', event_time) END AS event_time FROM t"
 )
 ORACLE["day_of_week"] = events(f"SELECT event_id, {WEEKDAY} AS day_of_week FROM t")
-ORACLE["guarded_ratio"] = events(f"SELECT event_id, round({RATIO}, 6) AS calories_to_steps_ratio FROM t")
+ORACLE["guarded_ratio"] = events(f"SELECT event_id, {RATIO} AS calories_to_steps_ratio FROM t")
 ORACLE["date_parts"] = lines(
     """SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
        strftime(date, '%Y-%m') AS period, count(*) AS num_records
 FROM t GROUP BY 1, 2, 3"""
 )
 ORACLE["transform_features"] = events(
-    f"""SELECT event_id, user_id, date, steps, round(calories_burned, 6) AS calories_burned, activity_type,
-       {WEEKDAY} AS day_of_week, round({RATIO}, 6) AS calories_to_steps_ratio
+    f"""SELECT event_id, user_id, date, steps, calories_burned, activity_type,
+       {WEEKDAY} AS day_of_week, {RATIO} AS calories_to_steps_ratio
 FROM t"""
 )
 ORACLE["project_rename"] = events(

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceframe.functions import columns as C
 from paceframe.functions.features import add_features, add_partition_columns
 from paceframe.operators import distributions, quality, sampling, segments, statistics, summaries
-from paceframe.operators.recommend import label_table
+from paceframe.operators.recommend import index_ratings
 from paceframe.plans.registry import Registry, rounded
 from paceframe.schemas import FIVE_TIERS, FOUR_TIERS, RAW_DAILY
 from paceframe.session import scratch_path
@@ -94,7 +93,7 @@ def etl_roundtrip(spark, sf):
     """Features and partition columns, written and read back."""
     path = scratch_path(spark, "processed")
     writers.write_processed(add_partition_columns(_line_features(spark, sf)), path)
-    return rounded(readers.read_processed(spark, path))
+    return readers.read_processed(spark, path)
 
 
 @QUERIES.add
@@ -163,7 +162,7 @@ def day_of_week(spark, sf):
 @QUERIES.add
 def guarded_ratio(spark, sf):
     ratio = C.guarded_ratio("calories_burned", "steps").alias("calories_to_steps_ratio")
-    return rounded(event_telemetry(spark, sf).select("event_id", ratio), 6)
+    return event_telemetry(spark, sf).select("event_id", ratio)
 
 
 @QUERIES.add
@@ -176,7 +175,7 @@ def date_parts(spark, sf):
 
 @QUERIES.add
 def transform_features(spark, sf):
-    return rounded(_event_features(spark, sf).drop("timestamp", "heart_rate_avg", "sleep_hours"), 6)
+    return _event_features(spark, sf).drop("timestamp", "heart_rate_avg", "sleep_hours")
 
 
 @QUERIES.add
@@ -452,10 +451,8 @@ def top3_activities_per_user(spark, sf):
 @QUERIES.add
 def label_lookup(spark, sf):
     """Item numbers of the ratings turned back into activity names."""
-    counted = summaries.ratings(event_telemetry(spark, sf))
-    indexer = StringIndexer(inputCol="activity_type", outputCol="item_id").fit(counted)
-    numbered = indexer.transform(counted).select("user_id", F.col("item_id").cast("int"), "rating")
-    return numbered.join(label_table(spark, indexer), "item_id")
+    indexed = index_ratings(summaries.ratings(event_telemetry(spark, sf)))
+    return indexed.ratings.select("user_id", "item_id", "rating").join(indexed.labels, "item_id")
 
 
 # Distributions

@@ -10,7 +10,6 @@ import argparse
 from pyspark.sql import DataFrame
 
 from paceframe.operators import models
-from paceframe.operators.summaries import user_profile
 from paceframe.session import build_session
 from paceframe.sources.readers import read_processed
 
@@ -24,7 +23,7 @@ def train_all(df: DataFrame, models_dir: str, size: models.ForestSize = models.L
     models.save_model(
         regressor, paths["calories_regressor"], (*models.REGRESSOR_FEATURES, "activity_type")
     )
-    segments = models.fit_segments_restarts(user_profile(df))
+    segments = models.fit_segments_restarts(models.profiles_of(df))
     models.save_model(segments, paths["user_segmentation"], models.PROFILE_FEATURES)
     return paths
 

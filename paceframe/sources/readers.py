@@ -6,10 +6,12 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def read_tree(
@@ -73,9 +75,14 @@ def read_processed(
     return df
 
 
-def rows(spark: SparkSession, values: Sequence[tuple], schema: str | Sequence[str]) -> DataFrame:
-    """A small literal table."""
-    return spark.createDataFrame(list(values), schema)
+def rows(spark: SparkSession, values: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A small literal table, handed over as Arrow so that the plan holds it as local data."""
+    struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    names = struct.fieldNames()
+    arrow = to_arrow_schema(struct)
+    return spark.createDataFrame(
+        pa.Table.from_pylist([dict(zip(names, row)) for row in values], schema=arrow), struct
+    )
 
 
 def read_csv_tree(spark: SparkSession, root: str, schema: T.StructType, glob: str = "*.csv") -> DataFrame:
