@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceframe.session import materialise
+from paceframe.sources.readers import rows
 
 IN_MEMORY_ROWS = 1_000_000
 BINS = 1024
@@ -37,34 +38,38 @@ def aggregate_with_quantiles(
     in_memory_rows: int = IN_MEMORY_ROWS,
     bins: int = BINS,
 ) -> DataFrame:
-    """``aggs`` per group of ``by``, plus one array of quantiles per metric."""
+    """``aggs`` per group of ``by``, plus one array of quantiles per metric.
+
+    The two kinds of figures come from separate aggregations: beside ``percentile`` the plain
+    ones would lose their generated code.
+    """
     if df.count() <= in_memory_rows:
         clean = {m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double")) for m in metrics}
         levels = F.array(*[F.lit(float(p)) for p in probs])
-        exact = [F.percentile(clean[m], levels).alias(quantile_column(m)) for m in metrics]
-        return df.groupBy(*by).agg(*aggs, *exact)
-
-    found = _located_quantiles(df, metrics, probs, by, in_memory_rows, bins)
-    wide = found.groupBy(*by).agg(
-        *[
-            F.transform(
-                F.array_sort(
-                    F.collect_list(F.when(F.col("metric") == m, F.struct("prob_no", "value")))
-                ),
-                lambda pair: pair["value"],
-            ).alias(quantile_column(m))
-            for m in metrics
-        ]
-    )
+        wide = df.groupBy(*by).agg(
+            *[F.percentile(clean[m], levels).alias(quantile_column(m)) for m in metrics]
+        )
+    else:
+        found = _located_quantiles(df, metrics, probs, by, in_memory_rows, bins)
+        pair = F.struct("prob_no", "value")
+        wide = found.groupBy(*by).agg(
+            *[
+                F.transform(
+                    F.array_sort(F.collect_list(F.when(F.col("metric") == m, pair))),
+                    lambda p: p["value"],
+                ).alias(quantile_column(m))
+                for m in metrics
+            ]
+        )
     if not aggs:
         return wide
     base = df.groupBy(*by).agg(*aggs)
-    if not by:
-        scalar = wide.select(F.struct(*wide.columns).alias("q")).scalar()
-        return base.withColumn("_q", scalar).select(
-            *base.columns, *[F.col("_q")[quantile_column(m)].alias(quantile_column(m)) for m in metrics]
-        )
-    return _join_on(base, wide, by)
+    if by:
+        return _join_on(base, wide, by, "left")
+    one_row = wide.select(F.struct(*wide.columns).alias("q")).scalar()
+    return base.withColumn("_q", one_row).select(
+        *base.columns, *[F.col("_q")[quantile_column(m)].alias(quantile_column(m)) for m in metrics]
+    )
 
 
 def quantile_rows(
@@ -125,7 +130,15 @@ def _located_quantiles(
     bins: int,
 ) -> DataFrame:
     values = _long(df, metrics, by)
-    groups = materialise(
+
+    def keep(step: DataFrame, name: str) -> DataFrame:
+        # Without groups a step has at most two rows per metric and probability; those few
+        # become local data. With groups their number is open, so the step is written out.
+        if by:
+            return materialise(step, name)
+        return rows(df.sparkSession, [tuple(r) for r in step.collect()], step.schema)
+
+    groups = keep(
         values.groupBy(*by, "metric").agg(
             F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
         ),
@@ -146,20 +159,18 @@ def _located_quantiles(
         .distinct()
     )
     key = [*by, "metric", "rank"]
-    search = materialise(ranks, "quantile_ranks")
+    search = keep(ranks, "quantile_ranks")
     too_big = (F.col("lo") < F.col("hi")) & (F.col("rows") > in_memory_rows)
     while not search.where(too_big).isEmpty():
         open_ranks, settled = search.where(too_big), search.where(~too_big)
         # Halves, so that the width of the widest interval stays finite.
         offset = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         cell = F.least(F.floor(offset * bins), F.lit(bins - 1).cast("bigint"))
-        search = materialise(
-            settled.unionByName(_narrow(values, open_ranks, by, cell)), "quantile_round"
-        )
+        search = keep(settled.unionByName(_narrow(values, open_ranks, by, cell)), "quantile_round")
 
     fixed = search.where(F.col("lo") == F.col("hi"))
     small = search.where(F.col("lo") < F.col("hi"))
-    exact = materialise(
+    exact = keep(
         fixed.unionByName(_narrow(values, small, by, F.col("v"))).select(*key, F.col("lo").alias("v")),
         "quantile_values",
     )
