@@ -88,11 +88,17 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def hash_unit(keys: Iterable[Column | str], seed: int) -> Column:
-    """A number in [0, 1) that depends only on the key values and the seed."""
-    digest = hash_digest(keys, seed)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+    """A number in [0, 1) from 53 bits of a fast hash of the key values and the seed."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[_col(k) for k in keys]), 11)
+    return bits / F.lit(float(1 << 53))
+
+
+def digest_unit(keys: Iterable[Column | str], seed: int) -> Column:
+    """The same from the key digest, which any engine can reproduce."""
+    return F.conv(F.substring(hash_digest(keys, seed), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
 def hash_digest(keys: Iterable[Column | str], seed: int) -> Column:
+    """MD5 of seed and key values as text."""
     text = [F.coalesce(_col(k).cast("string"), F.lit("\\N")) for k in keys]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *text))

@@ -1,7 +1,8 @@
 """Exact quantiles (linear interpolation) that do not gather a group in one task.
 
-Spark's ``percentile`` keeps a map of all distinct values of a group in one reducer. That is
-right for small tables and is used for them. Beyond ``in_memory_rows`` the wanted order
+Spark's ``percentile`` keeps a map of all distinct values of a group in one reducer. Here a
+table of at most ``ranked_rows`` rows is reduced to distinct values with counts, which one
+sort per group puts in order (and spills if it must). Beyond that size the wanted order
 statistics are located by repeated equal-width binning: each round counts rows per bin with
 map-side aggregation, keeps for every wanted rank the bin that holds it, and shrinks the
 search interval to the values seen in that bin. The round's result has one row per wanted
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from paceframe.session import materialise
 from paceframe.sources.readers import rows
 
-IN_MEMORY_ROWS = 1_000_000
+RANKED_ROWS = 1_000_000
 BINS = 1024
 
 
@@ -35,7 +36,7 @@ def aggregate_with_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     aggs: Sequence[Column] = (),
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    ranked_rows: int = RANKED_ROWS,
     bins: int = BINS,
 ) -> DataFrame:
     """``aggs`` per group of ``by``, plus one array of quantiles per metric.
@@ -43,24 +44,13 @@ def aggregate_with_quantiles(
     The two kinds of figures come from separate aggregations: beside ``percentile`` the plain
     ones would lose their generated code.
     """
-    if df.count() <= in_memory_rows:
-        clean = {m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double")) for m in metrics}
-        levels = F.array(*[F.lit(float(p)) for p in probs])
-        wide = df.groupBy(*by).agg(
-            *[F.percentile(clean[m], levels).alias(quantile_column(m)) for m in metrics]
-        )
+    if df.count() <= ranked_rows:
+        found = _ranked_quantiles(_long(df, metrics, by), probs, by)
     else:
-        found = _located_quantiles(df, metrics, probs, by, in_memory_rows, bins)
-        pair = F.struct("prob_no", "value")
-        wide = found.groupBy(*by).agg(
-            *[
-                F.transform(
-                    F.array_sort(F.collect_list(F.when(F.col("metric") == m, pair))),
-                    lambda p: p["value"],
-                ).alias(quantile_column(m))
-                for m in metrics
-            ]
-        )
+        found = _located_quantiles(df, metrics, probs, by, ranked_rows, bins)
+    wide = found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("values"))).alias(quantile_column(m)) for m in metrics]
+    )
     if not aggs:
         return wide
     base = df.groupBy(*by).agg(*aggs)
@@ -77,27 +67,20 @@ def quantile_rows(
     metrics: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """One row per group, metric and probability."""
-    wide = aggregate_with_quantiles(df, metrics, probs, by, in_memory_rows=in_memory_rows)
-    levels = F.array(*[F.lit(float(p)) for p in probs])
-    pairs = F.explode(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.arrays_zip(levels.alias("prob"), F.col(quantile_column(m)).alias("value")),
-                        lambda z, m=m: F.struct(
-                            F.lit(m).alias("metric"), z["prob"].alias("prob"), z["value"].alias("value")
-                        ),
-                    )
-                    for m in metrics
-                ]
-            )
+    wide = aggregate_with_quantiles(df, metrics, probs, by, ranked_rows=ranked_rows)
+    cells = [
+        F.struct(
+            F.lit(m).alias("metric"),
+            F.lit(float(p)).alias("prob"),
+            F.col(quantile_column(m))[i].alias("value"),
         )
-    ).alias("pair")
-    return wide.select(*by, pairs).select(*by, "pair.*")
+        for m in metrics
+        for i, p in enumerate(probs)
+    ]
+    return wide.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.*")
 
 
 def _join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -126,7 +109,7 @@ def _located_quantiles(
     metrics: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str],
-    in_memory_rows: int,
+    ranked_rows: int,
     bins: int,
 ) -> DataFrame:
     values = _long(df, metrics, by)
@@ -160,7 +143,7 @@ def _located_quantiles(
     )
     key = [*by, "metric", "rank"]
     search = keep(ranks, "quantile_ranks")
-    too_big = (F.col("lo") < F.col("hi")) & (F.col("rows") > in_memory_rows)
+    too_big = (F.col("lo") < F.col("hi")) & (F.col("rows") > ranked_rows)
     while not search.where(too_big).isEmpty():
         open_ranks, settled = search.where(too_big), search.where(~too_big)
         # Halves, so that the width of the widest interval stays finite.
@@ -183,7 +166,33 @@ def _located_quantiles(
         (F.col("above_pos") - F.col("pos")) * F.col("low_value")
         + (F.col("pos") - F.col("below_pos")) * F.col("high_value")
     )
-    return paired.select(*by, "metric", "prob_no", "prob", value.alias("value"))
+    pair = F.struct("prob_no", value.alias("value"))
+    return paired.groupBy(*by, "metric").agg(
+        F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["value"]).alias("values")
+    )
+
+
+def _ranked_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Quantiles of small groups: distinct values with counts, sorted and cumulated."""
+    group = [*by, "metric"]
+    counts = values.groupBy(*group, "v").agg(F.count("*").alias("n"))
+    running = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns(
+        {"upto": F.sum("n").over(running), "total": F.sum("n").over(Window.partitionBy(*group))}
+    )
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("v")))
+
+    def quantile(p: float) -> Column:
+        pos = F.lit(float(p)) * (F.col("total") - 1)
+        last = F.max("total") - 1
+        place = F.lit(float(p)) * last
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        return F.when(F.ceil(place) == F.floor(place), low).otherwise(between)
+
+    return placed.groupBy(*group).agg(F.array(*[quantile(p) for p in probs]).alias("values"))
 
 
 def _narrow(values: DataFrame, ranks: DataFrame, by: Sequence[str], cell: Column) -> DataFrame:
@@ -191,7 +200,7 @@ def _narrow(values: DataFrame, ranks: DataFrame, by: Sequence[str], cell: Column
 
     Ranks that still share an interval share its counts. ``ranks`` is a written table, so the
     true size of its intervals decides between a broadcast and a shuffle join. The window runs
-    over cells, at most ``bins`` or ``in_memory_rows`` per interval.
+    over cells, at most ``bins`` or ``ranked_rows`` per interval.
     """
     interval = [*by, "metric", "lo", "hi"]
     intervals = ranks.select(*interval, "before").distinct()

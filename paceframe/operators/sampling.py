@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceframe.functions.columns import hash_digest, hash_unit
+from paceframe.functions.columns import digest_unit, hash_digest, hash_unit
 from paceframe.operators.quantiles import _join_on
 from paceframe.session import materialise
 
@@ -15,10 +15,14 @@ PREFILTER_ROWS = 10_000_000
 
 
 def hash_split(
-    df: DataFrame, keys: Sequence[str], train: float = 0.8, seed: int = 42
+    df: DataFrame, keys: Sequence[str], train: float = 0.8, seed: int = 42, portable: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """A training and a test part; a row's side is a function of its key and the seed."""
-    unit = hash_unit(keys, seed)
+    """A training and a test part; a row's side is a function of its key and the seed.
+
+    With ``portable`` the side follows from an MD5 digest that other engines can reproduce;
+    otherwise from Spark's faster 64-bit hash.
+    """
+    unit = digest_unit(keys, seed) if portable else hash_unit(keys, seed)
     return df.where(unit < train), df.where(unit >= train)
 
 
@@ -37,7 +41,7 @@ def fixed_size_sample(
     large are dropped first. The cut is raised until at least ``n`` rows pass it; the result is
     the same with and without it.
     """
-    drawn = df.withColumns({"_digest": hash_digest(keys, seed), "_unit": hash_unit(keys, seed)})
+    drawn = df.withColumns({"_digest": hash_digest(keys, seed), "_unit": digest_unit(keys, seed)})
     total = df.count()
     if total > prefilter_rows:
         cut = min(1.0, 4.0 * n / total)
@@ -60,7 +64,7 @@ def sample_per_group(
     Big groups are cut by digest before the ranking shuffle, as in ``fixed_size_sample``. A
     group in which the cut left fewer than ``n`` rows keeps all its rows.
     """
-    drawn = df.withColumns({"_digest": hash_digest(keys, seed), "_unit": hash_unit(keys, seed)})
+    drawn = df.withColumns({"_digest": hash_digest(keys, seed), "_unit": digest_unit(keys, seed)})
     if df.count() > prefilter_rows:
         cuts = drawn.groupBy(*by).agg(F.count("*").alias("_n"))
         cuts = materialise(cuts.withColumn("_cut", F.least(F.lit(1.0), 4.0 * n / F.col("_n"))), "sample_cuts")

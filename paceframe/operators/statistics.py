@@ -8,8 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceframe.functions.moments import kurtosis_sample, skewness_sample
-from paceframe.operators.quantiles import IN_MEMORY_ROWS, aggregate_with_quantiles, quantile_column
+from paceframe.functions.moments import correlation, kurtosis_sample, skewness_sample
+from paceframe.operators.quantiles import RANKED_ROWS, aggregate_with_quantiles, quantile_column
 from paceframe.schemas import METRICS
 
 
@@ -40,18 +40,18 @@ def describe_basic(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame
 
 
 def describe_quartiles(
-    df: DataFrame, metrics: Sequence[str] = METRICS, in_memory_rows: int = IN_MEMORY_ROWS
+    df: DataFrame, metrics: Sequence[str] = METRICS, ranked_rows: int = RANKED_ROWS
 ) -> DataFrame:
     """The basic figures with quartiles and variance."""
     figures = {m: {**_basic(m), "variance": F.var_samp(m)} for m in metrics}
-    return _with_quartiles(df, metrics, figures, in_memory_rows)
+    return _with_quartiles(df, metrics, figures, ranked_rows)
 
 
 def detailed_statistics(
     df: DataFrame,
     metrics: Sequence[str] = METRICS,
     digits: int | None = 2,
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """Location, spread, quartiles and shape per metric, rounded half to even."""
     figures = {
@@ -62,17 +62,17 @@ def detailed_statistics(
         }
         for m in metrics
     }
-    out = _with_quartiles(df, metrics, figures, in_memory_rows).withColumn("iqr", F.col("q3") - F.col("q1"))
+    out = _with_quartiles(df, metrics, figures, ranked_rows).withColumn("iqr", F.col("q3") - F.col("q1"))
     if digits is None:
         return out
     return out.select("metric", *[F.bround(c, digits).alias(c) for c in out.columns if c != "metric"])
 
 
 def _with_quartiles(
-    df: DataFrame, metrics: Sequence[str], figures: dict[str, dict[str, Column]], in_memory_rows: int
+    df: DataFrame, metrics: Sequence[str], figures: dict[str, dict[str, Column]], ranked_rows: int
 ) -> DataFrame:
     aggs = [c.alias(f"{m}__{k}") for m in metrics for k, c in figures[m].items()]
-    wide = aggregate_with_quantiles(df, metrics, (0.25, 0.5, 0.75), (), aggs, in_memory_rows)
+    wide = aggregate_with_quantiles(df, metrics, (0.25, 0.5, 0.75), (), aggs, ranked_rows)
     named = {
         m: {
             **{k: F.col(f"{m}__{k}") for k in figures[m]},
@@ -83,7 +83,7 @@ def _with_quartiles(
     return _per_metric(wide, metrics, named)
 
 
-def kpi_statistics(df: DataFrame, in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def kpi_statistics(df: DataFrame, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Records, users, and mean / standard deviation / median of the headline metrics."""
     aggs = [
         F.count("*").alias("num_records"),
@@ -97,7 +97,7 @@ def kpi_statistics(df: DataFrame, in_memory_rows: int = IN_MEMORY_ROWS) -> DataF
         F.avg("sleep_hours").alias("avg_sleep"),
     ]
     metrics = ("steps", "calories_burned")
-    wide = aggregate_with_quantiles(df, metrics, (0.5,), (), aggs, in_memory_rows)
+    wide = aggregate_with_quantiles(df, metrics, (0.5,), (), aggs, ranked_rows)
     return wide.withColumns(
         {
             "median_steps": F.col(quantile_column("steps"))[0],
@@ -107,14 +107,14 @@ def kpi_statistics(df: DataFrame, in_memory_rows: int = IN_MEMORY_ROWS) -> DataF
 
 
 def activity_stats(
-    df: DataFrame, digits: int | None = 2, in_memory_rows: int = IN_MEMORY_ROWS
+    df: DataFrame, digits: int | None = 2, ranked_rows: int = RANKED_ROWS
 ) -> DataFrame:
     """Mean, median and standard deviation per activity, and mean sleep."""
     short = {"steps": "steps", "calories_burned": "calories", "heart_rate_avg": "hr"}
     aggs = [F.avg("sleep_hours").alias("mean_sleep")]
     for metric, name in short.items():
         aggs += [F.avg(metric).alias(f"mean_{name}"), F.stddev_samp(metric).alias(f"std_{name}")]
-    wide = aggregate_with_quantiles(df, tuple(short), (0.5,), ("activity_type",), aggs, in_memory_rows)
+    wide = aggregate_with_quantiles(df, tuple(short), (0.5,), ("activity_type",), aggs, ranked_rows)
     out = wide.withColumns(
         {f"median_{name}": F.col(quantile_column(metric))[0] for metric, name in short.items()}
     ).drop(*[quantile_column(m) for m in short])
@@ -133,7 +133,7 @@ def correlation_matrix(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataF
     """
     pairs = list(combinations(metrics, 2))
     wide = df.agg(
-        *[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs],
+        *[correlation(a, b).alias(f"{a}__{b}") for a, b in pairs],
         *[F.when(F.stddev_samp(m) > 0, 1.0).alias(f"{m}__{m}") for m in metrics],
     )
     cells = [(a, b, f"{a}__{b}") for a, b in pairs]
@@ -148,8 +148,8 @@ def correlation_matrix(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataF
 
 def correlation_pairs(df: DataFrame) -> DataFrame:
     return df.agg(
-        F.corr("steps", "calories_burned").alias("steps_calories"),
-        F.corr("heart_rate_avg", "calories_burned").alias("hr_calories"),
+        correlation("steps", "calories_burned").alias("steps_calories"),
+        correlation("heart_rate_avg", "calories_burned").alias("hr_calories"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceframe.functions.columns import guarded_ratio, month_period, percent, sleep_quality
+from paceframe.functions.moments import correlation
 from paceframe.schemas import HIGH_PERFORMER_STEPS, WEEKDAYS
 from paceframe.sources.readers import rows
 
@@ -251,8 +252,8 @@ def key_findings(df: DataFrame, threshold: float = HIGH_PERFORMER_STEPS) -> Data
         F.min("heart_rate_avg").alias("min_hr"),
         F.max("heart_rate_avg").alias("max_hr"),
         F.avg("sleep_hours").alias("avg_sleep"),
-        F.corr("steps", "calories_burned").alias("steps_calories_corr"),
-        F.corr("heart_rate_avg", "calories_burned").alias("hr_calories_corr"),
+        correlation("steps", "calories_burned").alias("steps_calories_corr"),
+        correlation("heart_rate_avg", "calories_burned").alias("hr_calories_corr"),
     )
     return (
         overall.withColumn("_a", activities.scalar())

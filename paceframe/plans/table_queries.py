@@ -516,7 +516,8 @@ def latest_30(spark, sf):
 
 @QUERIES.add
 def split_hash_80_20(spark, sf):
-    train, test = sampling.hash_split(event_telemetry(spark, sf).select("event_id"), ("event_id",))
+    events = event_telemetry(spark, sf).select("event_id")
+    train, test = sampling.hash_split(events, ("event_id",), portable=True)
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 

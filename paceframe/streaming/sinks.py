@@ -52,6 +52,17 @@ def latest_per_key(log: DataFrame, keys: Sequence[str], order: str = "batch") ->
     )
 
 
+def compact_log(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> None:
+    """Writes the current state of a log as a new one of a single batch.
+
+    The batch number is the last one of the old log, so batches that follow still count as
+    newer. Meant for a log whose query is stopped.
+    """
+    log = read_log(spark, path)
+    last = log.agg(F.max("batch").alias("batch")).first()["batch"]
+    latest_per_key(log, keys).write.mode("overwrite").parquet(f"{target}/batch={last}")
+
+
 def to_memory(
     stream: DataFrame, name: str, mode: str = "append", trigger: dict | None = None
 ) -> StreamingQuery:
