@@ -8,6 +8,7 @@ from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
 from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -27,6 +28,7 @@ CLASSIFIER_FEATURES = ("steps", "calories_burned", "heart_rate_avg")
 LOGISTIC_FEATURES = ("steps", "calories_burned", "heart_rate_avg", "sleep_hours")
 REGRESSOR_FEATURES = ("steps", "heart_rate_avg", "sleep_hours")
 PROFILE_FEATURES = ("avg_steps", "avg_calories", "avg_hr")
+SEGMENTS = "user_id bigint, avg_steps double, avg_calories double, avg_hr double, prediction int"
 
 
 class ForestSize(NamedTuple):
@@ -40,23 +42,33 @@ LIGHT = ForestSize(trees=30, depth=12, leaf=10)
 FULL = ForestSize(trees=100, depth=30, leaf=1)
 
 
+def _few_partitions(df: DataFrame) -> bool:
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows read from fewer files than there are cores, dealt out to all of them.
+
+    Scoring costs far more per row than moving it; bigger input stays in place.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _few_partitions(df) else df
+
+
 @contextmanager
 def training_frame(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
     """The needed columns, kept while an iterative fit runs over them.
 
-    Spilled to disk when memory is short, and recomputed for a lost executor. Input of fewer
-    partitions than the cluster has cores is spread over all of them first; bigger input is
-    left where it is.
+    Spilled to disk when memory is short, and recomputed for a lost executor. Input of few
+    partitions is dealt out to all cores, from the kept copy.
     """
-    rows = df.select(*columns)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)]
+    if _few_partitions(kept[0]):
+        kept.append(spread(kept[0]).persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        yield kept
+        yield kept[-1]
     finally:
-        kept.unpersist()
+        for frame in kept:
+            frame.unpersist()
 
 
 def fit_logistic(
@@ -205,6 +217,18 @@ def segment_users(model: PipelineModel, profiles: DataFrame) -> DataFrame:
     return model.transform(profiles).select("user_id", *PROFILE_FEATURES, "prediction")
 
 
+def segment_users_stored(path: str, profiles: DataFrame) -> DataFrame:
+    """Clusters by a stored model; no rows when there is no model at ``path``."""
+    spark = profiles.sparkSession
+    try:
+        spark.read.text(f"{path}/metadata")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SEGMENTS)
+    return segment_users(load_model(path), profiles)
+
+
 def cluster_quality(profiles: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42) -> DataFrame:
     """Silhouette and within-cluster cost for each number of clusters."""
     with training_frame(profiles, *PROFILE_FEATURES) as rows:

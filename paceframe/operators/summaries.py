@@ -24,6 +24,12 @@ def means(*names: str) -> list[Column]:
     return [F.avg(MEANS[n]).alias(n) for n in (names or MEANS)]
 
 
+def preview(df: DataFrame, n: int = 5) -> None:
+    """Schema and first rows on the console."""
+    df.printSchema()
+    df.show(n, truncate=False)
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("num_records"))
 

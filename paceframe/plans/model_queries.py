@@ -21,7 +21,8 @@ ROW_KEY = ("user_id", "date", *METRICS, "activity_type")
 
 
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return sampling.hash_split(line_telemetry(spark, sf), ROW_KEY)
+    train, test = sampling.hash_split(line_telemetry(spark, sf), ROW_KEY)
+    return train, models.spread(test)
 
 
 def _spread(df: DataFrame, vector: str, size: int, prefix: str = "f") -> DataFrame:
@@ -185,7 +186,7 @@ def segment_score(spark, sf):
     profiles = models.profiles_of(line_telemetry(spark, sf))
     path = scratch_path(spark, "user_segmentation")
     models.save_model(models.fit_segments_scaled(profiles), path, models.PROFILE_FEATURES)
-    return models.segment_users(models.load_model(path), profiles)
+    return models.segment_users_stored(path, profiles)
 
 
 @QUERIES.add

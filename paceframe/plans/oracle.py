@@ -566,6 +566,11 @@ SELECT activity_type, round((x0 - m0) / s0, 4) AS f0, round((x1 - m1) / s1, 4) A
 
 # Scores with a known answer
 
+# Every user gets as many activities as asked for.
+ORACLE["recommend_top3"] = events(
+    "SELECT CAST(user_id AS INTEGER) AS user_no, CAST(3 AS INTEGER) AS num_items FROM t GROUP BY user_id"
+)
+
 ORACLE["regress_linear_1d"] = lines(
     """SELECT steps, round(a + b * steps, 4) AS prediction, count(*) AS num_records
 FROM t, (SELECT regr_intercept(calories_burned, steps) AS a, regr_slope(calories_burned, steps) AS b FROM t)

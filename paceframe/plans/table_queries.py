@@ -11,7 +11,7 @@ from paceframe.operators import distributions, quality, sampling, segments, stat
 from paceframe.operators.recommend import index_ratings
 from paceframe.plans.registry import Registry, rounded
 from paceframe.schemas import FIVE_TIERS, FOUR_TIERS, RAW_DAILY
-from paceframe.session import scratch_path
+from paceframe.session import materialise, scratch_path
 from paceframe.sources import readers, writers
 from paceframe.sources.adapters import EVENTS_SCHEMA, event_telemetry, line_telemetry, table
 from paceframe.streaming.windows import flat_windows, windowed_counts
@@ -117,6 +117,7 @@ def raw_layout_csv_roundtrip(spark, sf):
 def summary_document(spark, sf):
     """The nested document, flattened to one row per month and activity."""
     document = summaries.summary_document(line_telemetry(spark, sf), files=False)
+    document = materialise(document, "document")
     shared = ("num_records", "num_users", "avg_steps", "avg_calories", "avg_hr", "avg_sleep")
 
     def section(name: str, key: str) -> DataFrame:

@@ -11,8 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(app_name: str = "paceframe", master: str | None = None, **conf: str) -> SparkSession:
-    """A session pinned to UTC with adaptive execution; cluster sizing comes from ``conf``."""
+ROCKSDB_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def build_session(
+    app_name: str = "paceframe", master: str | None = None, rocksdb_state: bool = False, **conf: str
+) -> SparkSession:
+    """A session pinned to UTC with adaptive execution; cluster sizing comes from ``conf``.
+
+    ``rocksdb_state`` keeps the state of streams on local disk instead of the executors' heap.
+    """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,6 +30,8 @@ def build_session(app_name: str = "paceframe", master: str | None = None, **conf
     )
     if master:
         builder = builder.master(master)
+    if rocksdb_state:
+        builder = builder.config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

@@ -128,7 +128,12 @@ def test_stored_models_predict_the_same(telemetry, spark, tmp_path):
 def test_training_job_stores_three_models(telemetry, spark, tmp_path):
     paths = train_plan.train_all(telemetry, str(tmp_path), models.ForestSize(2, 2, 1))
     segmenter = models.load_model(paths["user_segmentation"])
-    assert models.segment_users(segmenter, models.profiles_of(telemetry)).count() > 0
+    profiles = models.profiles_of(telemetry)
+    assert models.segment_users(segmenter, profiles).count() > 0
+    stored = models.segment_users_stored(paths["user_segmentation"], profiles)
+    absent = models.segment_users_stored(str(tmp_path / "absent"), profiles)
+    assert stored.count() == profiles.count() and absent.count() == 0
+    assert stored.dtypes == absent.dtypes
     assert models.load_features(spark, paths["user_segmentation"]) == list(models.PROFILE_FEATURES)
 
 

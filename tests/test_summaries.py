@@ -92,6 +92,12 @@ def test_document_is_one_consistent_row(telemetry, spark, tmp_path):
     assert back["dataset_overview"]["num_records"] == 5
 
 
+def test_preview_prints_schema_and_rows(telemetry, capsys):
+    summaries.preview(telemetry, 1)
+    shown = capsys.readouterr().out
+    assert "activity_type: string" in shown and "only showing top 1 row" in shown
+
+
 def test_total_of_shares_reuses_the_counts(spark, sf_dir):
     from paceframe.sources.adapters import event_telemetry
 
