@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceframe.operators.preprocessing import string_indexer
@@ -14,6 +14,7 @@ from paceframe.session import materialise, shared_dir
 from paceframe.sources.readers import rows
 
 INT_MAX = 2**31 - 1
+MAX_ITEMS = 1000
 
 
 class IndexedRatings(NamedTuple):
@@ -91,10 +92,36 @@ def fit_als(indexed: DataFrame, max_iter: int = 5, reg: float = 0.01, seed: int
     ).fit(indexed.withColumn("rating", F.col("rating").cast("float")))
 
 
+def top_items(model: ALSModel, k: int = 3, max_items: int = MAX_ITEMS) -> DataFrame:
+    """The best ``k`` items of every user as (user_no, recommendations) lists.
+
+    The factors of the items, one per activity, travel to the user factors as one array; each
+    user is scored where it lies, without pairing the two tables. Catalogues beyond
+    ``max_items`` go through Spark's blocked product instead.
+    """
+    if model.itemFactors.count() > max_items:
+        return model.recommendForAllUsers(k)
+    items = model.itemFactors.agg(
+        F.array_sort(F.collect_list(F.struct("id", "features"))).alias("items")
+    ).scalar()
+
+    def scored(item: Column) -> Column:
+        products = F.zip_with("features", item["features"], lambda x, y: x.cast("double") * y)
+        score = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+        return F.struct((-score).alias("minus"), item["id"].alias("id"))
+
+    best = F.slice(F.array_sort(F.transform("items", scored)), 1, k)
+    return model.userFactors.withColumn("items", items).select(
+        F.col("id").alias("user_no"),
+        F.transform(
+            best, lambda b: F.struct(b["id"].alias("item_id"), (-b["minus"]).alias("rating"))
+        ).alias("recommendations"),
+    )
+
+
 def recommend(model: ALSModel, ratings: IndexedRatings, k: int = 3) -> DataFrame:
     """(user_id, activity_type, score, rank) of the best ``k`` activities of each user."""
-    lists = model.recommendForAllUsers(k)
-    flat = lists.select("user_no", F.posexplode("recommendations").alias("at", "rec")).select(
+    flat = top_items(model, k).select("user_no", F.posexplode("recommendations").alias("at", "rec")).select(
         "user_no",
         (F.col("at") + 1).alias("rank"),
         F.col("rec.item_id").alias("item_id"),

@@ -269,7 +269,7 @@ def als_predict(spark, sf):
 def recommend_top3(spark, sf):
     """The nested lists, as item numbers."""
     indexed = recommend.index_ratings(summaries.ratings(event_telemetry(spark, sf)))
-    lists = recommend.fit_als(indexed.ratings).recommendForAllUsers(3)
+    lists = recommend.top_items(recommend.fit_als(indexed.ratings), 3)
     return lists.select("user_no", F.size("recommendations").alias("num_items"))
 
 

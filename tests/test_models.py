@@ -152,6 +152,15 @@ def test_recommendations_for_any_user_ids(telemetry, offset):
     assert out.agg(F.min("user_id")).first()[0] >= offset
 
 
+def test_scores_equal_the_blocked_product(telemetry):
+    model = recommend.fit_als(recommend.index_ratings(summaries.ratings(telemetry)).ratings)
+    ours = {r["user_no"]: r["recommendations"] for r in recommend.top_items(model, 3).collect()}
+    theirs = {r["user_no"]: r["recommendations"] for r in recommend.top_items(model, 3, max_items=0).collect()}
+    assert set(ours) == set(theirs)
+    for user, best in ours.items():
+        assert [b["rating"] for b in best] == pytest.approx([b["rating"] for b in theirs[user]], abs=1e-4)
+
+
 def test_dense_ids_are_consecutive(spark):
     df = spark.range(100).select((F.col("id") * 10**10).alias("u")).union(spark.range(5).select("id"))
     ids = sorted(r["n"] for r in recommend.dense_ids(df, "u", "n").collect())
