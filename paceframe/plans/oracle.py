@@ -488,11 +488,11 @@ ORACLE["stream_activity_breakdown"] = events(
 # An event is dropped when its window was closed by the deliveries before its own.
 _DELIVERED = f""", d AS (
   SELECT t.*, {_WINDOW} AS window_start, {_WINDOW} + INTERVAL 30 SECONDS AS window_end,
-         least(3, CAST(floor((epoch_us(event_time) - lo) * 4 / (hi - lo)) AS INTEGER))
-           + CASE WHEN activity_type = 'error' THEN 2 ELSE 0 END AS arrival
+         least(1, CAST(floor((epoch_us(event_time) - lo) * 2 / (hi - lo)) AS INTEGER))
+           + CASE WHEN activity_type = 'error' THEN 1 ELSE 0 END AS arrival
   FROM t, (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) AS hi FROM t)),
 m AS (SELECT a.arrival, max(d.event_time) AS newest
-      FROM range(1, 6) AS a(arrival) JOIN d ON d.arrival < a.arrival GROUP BY 1),
+      FROM range(1, 3) AS a(arrival) JOIN d ON d.arrival < a.arrival GROUP BY 1),
 k AS (SELECT d.* FROM d LEFT JOIN m USING (arrival)
       WHERE newest IS NULL OR window_end > newest - INTERVAL 1 MINUTE)"""
 ORACLE["stream_window_update"] = events(

@@ -86,16 +86,16 @@ def stream_window_append(spark, sf):
 def _arrivals(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """Events with the number of the delivery that brings them.
 
-    The time span is delivered in four quarters; error events come two deliveries late.
+    The time span is delivered in two halves; error events come one delivery late.
     """
     events = table(spark, sf, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = events.agg(F.struct(F.min(micros).alias("lo"), F.max(micros).alias("hi")).alias("s")).scalar()
-    quarter = F.least(
-        F.lit(3), F.floor((micros - F.col("_s.lo")) * 4 / (F.col("_s.hi") - F.col("_s.lo"))).cast("int")
+    half = F.least(
+        F.lit(1), F.floor((micros - F.col("_s.lo")) * 2 / (F.col("_s.hi") - F.col("_s.lo"))).cast("int")
     )
-    delay = F.when(F.col("event_type") == "error", 2).otherwise(0)
-    return events.withColumn("_s", span).withColumn("arrival", quarter + delay).drop("_s"), 6
+    delay = F.when(F.col("event_type") == "error", 1).otherwise(0)
+    return events.withColumn("_s", span).withColumn("arrival", half + delay).drop("_s"), 3
 
 
 def _deliver_and_run(spark: SparkSession, sf: str, start) -> None:
