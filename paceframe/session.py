@@ -61,12 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/paceframe-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with Parquet ``options``, and read it back.
 
     Cuts the lineage in a way that survives lost executors, and gives Catalyst the real size
     of the table, so that it broadcasts the table only when it is small enough.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
