@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paceframe.llm import exact_dedup, quality_rules
+from paceframe.llm import exact_dedup, jaccard_join, language_id, quality_rules
 from paceframe.llm.common import documents
 from paceframe.plans.registry import Registry
 
@@ -24,3 +24,15 @@ def op7_quality_rules(spark, sf):
     return rows.select(
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by")
     )
+
+
+@QUERIES.add
+def op10_jaccard_join(spark, sf):
+    """Components of documents linked by the overlap of their word shingles."""
+    return jaccard_join.jaccard_components(documents(spark, sf))
+
+
+@QUERIES.add
+def op9_language_id(spark, sf):
+    """Language of every text by the code lengths of frozen context trees."""
+    return language_id.identify(documents(spark, sf))
