@@ -25,6 +25,7 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from paceframe.llm.graph import components
 from paceframe.llm.shingles import shingle_sets
@@ -199,7 +200,7 @@ def packed_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "packed": [pack.compress(t) for t in _texts(batch)]})
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _least_differences(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([least_difference(x, y) for x, y in zip(a, b)], dtype="int64")
 

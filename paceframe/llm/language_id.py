@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,7 +201,7 @@ def has_letter(text: str) -> bool:
 
 def predict(trees: Broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model: Trees | None = trees.value
+        model: Trees | None = cloudpickle.loads(trees.value)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             known = np.array([model is not None and has_letter(t) for t in texts], dtype=bool)
@@ -229,7 +229,8 @@ def identify(df: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """
     rows = df.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     trees = train(rows.where("not held_out"), train_bytes)
-    sent = df.sparkSession.sparkContext.broadcast(trees)
+    # Packed with its class, which executors need not have.
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(trees))
     # An integer id becomes a float beside a null in pandas, so it travels as text.
     typed = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out")
     out = typed.mapInPandas(predict(sent), "doc_id string, held_out boolean, lang_pred string, score double")

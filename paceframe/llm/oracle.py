@@ -74,3 +74,54 @@ ORACLE["op7_quality_rules"] = quality_sql(
     "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, "
     "NOT base_failed AND rejected_by = '' AS kept, rejected_by",
 )
+
+
+def mixing_sql(entropy_share: float = 0.95, max_epochs: float = 4.0, budget_share: float = 1.0, seed: str = "mix") -> str:
+    def key(*parts: str) -> str:
+        return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+    def power(p: str) -> str:
+        return f"list_sum([pow(x, {p}) FOR x IN ps])"
+
+    def entropy(p: str) -> str:
+        return f"(ln({power(p)}) - {p} * list_sum([pow(x, {p}) * ln(x) FOR x IN ps]) / {power(p)})"
+
+    def repeated(p: str) -> str:
+        return f"({budget_share} * pow(list_min(ps), {p} - 1) / {power(p)})"
+
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(source, '') AS src,
+         len([x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''])::BIGINT AS n_tokens
+  FROM documents),
+sizes AS (SELECT src, count(*) AS n_docs, sum(n_tokens)::BIGINT AS t FROM d GROUP BY src HAVING sum(n_tokens) > 0),
+shares AS (SELECT list(t / total ORDER BY t) AS ps, any_value(total) AS total FROM sizes, (SELECT sum(t)::BIGINT AS total FROM sizes)),
+bis AS (
+  SELECT 0 AS i, ps, 0.0::DOUBLE AS hl, 1.0::DOUBLE AS hh, 0.0::DOUBLE AS rl, 1.0::DOUBLE AS rh FROM shares
+  UNION ALL
+  SELECT i + 1, ps, CASE WHEN flat THEN h ELSE hl END, CASE WHEN flat THEN hh ELSE h END,
+         CASE WHEN seldom THEN rl ELSE r END, CASE WHEN seldom THEN r ELSE rh END
+  FROM (SELECT *, {entropy('h')} >= {entropy_share} * ln(len(ps)) AS flat, {repeated('r')} <= {max_epochs} AS seldom
+        FROM (SELECT *, (hl + hh) / 2 AS h, (rl + rh) / 2 AS r FROM bis WHERE i < 50))),
+alpha AS (SELECT ps, greatest(CASE WHEN {entropy('1.0')} >= {entropy_share} * ln(len(ps)) THEN 1.0 ELSE hl END,
+                              CASE WHEN {repeated('0.0')} <= {max_epochs} THEN 0.0 ELSE rh END) AS a FROM bis WHERE i = 50),
+s AS (SELECT src, least(65536, ceil(n_docs / 1024))::BIGINT AS n_blocks, t, budget // t AS epochs, budget % t AS rest
+      FROM (SELECT sizes.*, floor(pow(t / total, a) / {power('a')} * floor(total * {budget_share}::DOUBLE))::BIGINT AS budget
+            FROM sizes, (SELECT total FROM shares), alpha)),
+placed AS (SELECT d.*, {key('doc_id')} % n_blocks AS block FROM d JOIN s USING (src)),
+blocks AS (SELECT src, block, sum(n_tokens)::BIGINT AS n, any_value(epochs) AS epochs, any_value(rest) AS rest
+           FROM placed JOIN s USING (src) GROUP BY src, block),
+ep AS (SELECT *, unnest(range(0, epochs + 1)) AS epoch FROM blocks),
+ranked AS (SELECT *, row_number() OVER o AS block_place, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+           FROM (SELECT *, {key('src', 'epoch', 'block')} AS bk FROM ep) WINDOW o AS (PARTITION BY src, epoch ORDER BY bk, block)),
+uses AS (SELECT *, epoch < epochs OR upto <= rest AS whole FROM ranked WHERE epoch < epochs OR upto - n < rest),
+pairs AS (SELECT p.doc_id, p.source, p.n_tokens, u.epoch, u.block_place, u.whole, u.rest - u.upto + u.n AS room, p.src, p.block,
+                 {key('u.epoch', 'p.doc_id')} AS key
+          FROM placed p JOIN uses u USING (src, block))
+SELECT doc_id, source, n_tokens, epoch, block_place, key
+FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY src, block, epoch ORDER BY key) AS fits FROM pairs)
+WHERE whole OR fits <= room
+"""
+
+
+ORACLE["op2_temperature_mixing"] = mixing_sql()

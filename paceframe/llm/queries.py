@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paceframe.llm import exact_dedup, jaccard_join, language_id, quality_rules
+from paceframe.llm import exact_dedup, jaccard_join, language_id, mixing, quality_rules
 from paceframe.llm.common import documents
 from paceframe.plans.registry import Registry
 
@@ -36,3 +36,10 @@ def op10_jaccard_join(spark, sf):
 def op9_language_id(spark, sf):
     """Language of every text by the code lengths of frozen context trees."""
     return language_id.identify(documents(spark, sf))
+
+
+@QUERIES.add
+def op2_temperature_mixing(spark, sf):
+    """Every use of a document in a mix of sources with raised entropy, in the order of training."""
+    rows = mixing.mix(documents(spark, sf).select("doc_id", "source", "text"))
+    return rows.select("doc_id", "source", "mix.*")
