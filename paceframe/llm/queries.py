@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paceframe.llm import exact_dedup, jaccard_join, language_id, mixing, quality_rules
+from paceframe.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_rules
 from paceframe.llm.common import documents
 from paceframe.plans.registry import Registry
 
@@ -43,3 +43,10 @@ def op2_temperature_mixing(spark, sf):
     """Every use of a document in a mix of sources with raised entropy, in the order of training."""
     rows = mixing.mix(documents(spark, sf).select("doc_id", "source", "text"))
     return rows.select("doc_id", "source", "mix.*")
+
+
+@QUERIES.add
+def op1_line_dedup(spark, sf):
+    """Every document without the lines that stand, but for two edits, earlier in the corpus."""
+    rows = line_dedup.dedup_lines(documents(spark, sf).select("doc_id", "text"))
+    return rows.withColumn("n_removed", F.size("removed_lines").cast("long"))
