@@ -252,9 +252,9 @@ def _without_lines(text: pd.Series, lines: pd.Series, keys: pd.Series) -> pd.Ser
     return pd.Series([rest(*row) for row in zip(text, lines, keys)], dtype=object)
 
 
-def dedup_lines(df: DataFrame, parts: int | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, parts: int | None = None, report: str = "removed_lines") -> DataFrame:
     """The rows of ``df`` with their repeated lines taken out of ``text``, and the column
-    ``removed_lines``: (line, of_doc, of_line, exact) of each, in order.
+    ``report``, which replaces one of that name: (line, of_doc, of_line, exact) of each, in order.
 
     Only lines of MIN_CHARS characters or more are compared, without the white space around
     them; shorter ones stay. Null texts stay null; no row is dropped, also where no line is left.
@@ -268,5 +268,5 @@ def dedup_lines(df: DataFrame, parts: int | None = None) -> DataFrame:
     joined = df.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id")).join(by_doc, "doc_id", "left")
     text = _without_lines(F.col("row.text"), F.col("gone.line"), F.col("gone.k1"))
     removed = F.transform(F.coalesce("gone", F.array().cast(by_doc.schema["gone"].dataType)), lambda g: F.struct(g["line"].alias("line"), g["of_doc"].alias("of_doc"), g["of_line"].alias("of_line"), g["exact"].alias("exact")))
-    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns]
-    return joined.select(*columns, removed.alias("removed_lines"))
+    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns if c != report]
+    return joined.select(*columns, removed.alias(report))

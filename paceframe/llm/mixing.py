@@ -96,9 +96,10 @@ def mix(
     max_epochs: float = 4.0,
     budget_share: float = 1.0,
     seed: str = "mix",
+    report: str = "mix",
 ) -> DataFrame:
-    """A row for every use of a row of ``df``: its columns, and a struct ``mix`` of
-    (n_tokens, epoch, block_place, key).
+    """A row for every use of a row of ``df``: its columns, and a struct ``report``, which
+    replaces one of that name, of (n_tokens, epoch, block_place, key).
 
     Training reads the uses of a source by (epoch, block_place, key). A token is a word; the
     budget is ``budget_share`` of all tokens, at most ``max_epochs``. Null and empty sources are
@@ -144,4 +145,5 @@ def mix(
     uses = uses.join(cuts, ["mix_source", "mix_block", "epoch"], "left").where("whole or last_key is not null")
     used = _placed(rows, seed, sources).join(uses.select("mix_source", "mix_block", "epoch", "block_place", "last_key"), ["mix_source", "mix_block"])
     used = used.withColumn("key", key).where(F.col("last_key").isNull() | (F.col("key") <= F.col("last_key")))
-    return used.select("row.*", F.struct("n_tokens", "epoch", "block_place", "key").alias("mix"))
+    columns = [F.col("row").getField(c).alias(c) for c in df.columns if c != report]
+    return used.select(*columns, F.struct("n_tokens", "epoch", "block_place", "key").alias(report))

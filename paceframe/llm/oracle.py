@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from paceframe.llm import licenses
 from paceframe.llm import quality_rules as quality
 
 ORACLE: dict[str, str] = {}
@@ -125,3 +126,31 @@ WHERE whole OR fits <= room
 
 
 ORACLE["op2_temperature_mixing"] = mixing_sql()
+
+
+def license_sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+
+    def shingles(source: str, keys: str) -> str:
+        words = "[x FOR x IN string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' ') IF x <> '']"
+        return (
+            f"SELECT DISTINCT {keys}, array_to_string(list_slice(w, i, i + 4), ' ') AS s "
+            f"FROM (SELECT {keys}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {keys}, {words} AS w FROM {source}) WHERE len(w) >= 5)"
+        )
+
+    return f"""
+WITH t(template, license, text) AS (VALUES {values}),
+ts AS ({shingles('t', 'template, license')}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+ds AS ({shingles('d', 'rid, doc_id')}),
+sizes AS (SELECT template, count(*) AS n_shingles FROM ts GROUP BY template)
+SELECT doc_id, license, template, count(*) AS n_shared, any_value(n_shingles) AS n_shingles
+FROM ts JOIN ds USING (s) JOIN sizes USING (template)
+GROUP BY rid, doc_id, license, template HAVING count(*) * 100 >= any_value(n_shingles) * 80
+"""
+
+
+ORACLE["op6_license_scan"] = license_sql()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from paceframe.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_rules
+from paceframe.llm import exact_dedup, jaccard_join, language_id, licenses, line_dedup, mixing, pieces, quality_rules, token_files
 from paceframe.llm.common import documents
 from paceframe.plans.registry import Registry
+from paceframe.session import scratch_path
 
 QUERIES = Registry()
 
@@ -50,3 +52,35 @@ def op1_line_dedup(spark, sf):
     """Every document without the lines that stand, but for two edits, earlier in the corpus."""
     rows = line_dedup.dedup_lines(documents(spark, sf).select("doc_id", "text"))
     return rows.withColumn("n_removed", F.size("removed_lines").cast("long"))
+
+
+@QUERIES.add
+def op4_token_ids(spark, sf):
+    """Token ids of every text, written to files and read back."""
+    path = scratch_path(spark, "token-files")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as model:
+        token_files.write_token_files(documents(spark, sf), path, model.read())
+    rows = token_files.read_token_files(spark, path)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@QUERIES.add
+def op5_sentencepiece(spark, sf):
+    """Piece ids of every text, and whether the text made from them again is the same."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    docs = documents(spark, sf).select("doc_id", "text", F.sha2("text", 256).alias("sha"))
+    encoded = pieces.encode_pieces(docs, model).withColumn("piece_ids", F.col("ids"))
+    decoded = pieces.decode_pieces(encoded, model)
+    return decoded.select(
+        "doc_id",
+        F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_ids"),
+        F.col("piece_ids").alias("ids"),
+        F.col("sha").eqNullSafe(F.sha2("text", 256)).alias("exact"),
+    )
+
+
+@QUERIES.add
+def op6_license_scan(spark, sf):
+    """License notices in every text."""
+    return licenses.scan(documents(spark, sf))
