@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from paceframe.llm import exact_dedup, jaccard_join, language_id, licenses, line_dedup, mixing, pieces, quality_rules, token_files
+from paceframe.llm import exact_dedup, jaccard_join, language_id, licenses, line_dedup, mixing, pieces, quality_rules, suffix_dedup, token_files
 from paceframe.llm.common import documents
 from paceframe.plans.registry import Registry
 from paceframe.session import scratch_path
@@ -84,3 +84,9 @@ def op5_sentencepiece(spark, sf):
 def op6_license_scan(spark, sf):
     """License notices in every text."""
     return licenses.scan(documents(spark, sf))
+
+
+@QUERIES.add
+def op8_suffix_dedup(spark, sf):
+    """What stays of every text without strings of 200 bytes that occur elsewhere."""
+    return suffix_dedup.remove_repeats(documents(spark, sf)).drop("rest")
