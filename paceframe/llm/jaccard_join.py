@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -34,11 +34,14 @@ from paceframe.session import materialise
 # Similarity 0.8: intersection / union >= 4 / 5, so the overlap is at least 4 / 9 of both sizes.
 PROFILE = "doc_id long, n_shingles long, k1 long, k2 long, parity binary"
 POSTING = "gram long, doc_id long, n int, place int"
-MULTIPLE = POSTING + ", first_id long, first_n int, before_id long, before_n int"
+PAIR = "a long, b long"
 # Shingles counted at once when frequent ones are sought, and how many of them are kept.
 BLOCK_SHINGLES = 4_000_000
-MAX_FREQUENT = 200_000
-ROUNDS = 2
+MAX_FREQUENT = 1_000_000
+# Rounds that merge components before all pairs between them are tried, and partners a document
+# tries in each.
+ROUNDS = 4
+PARTNERS = 2
 
 
 def needed_overlap(n: Column, m: Column) -> Column:
@@ -143,39 +146,43 @@ def postings(order: Broadcast):
 
 
 def shared_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of postings sorted by (gram, n, doc_id) those whose shingle others have too, each with the
-    first of its shingle and the one before it (its own, at the first)."""
-    held: pd.DataFrame | None = None  # the last row so far, with its first; not yet given out
-    open_group = False  # whether that row's shingle has been seen before it
-
+    """Of postings sorted by gram those whose gram another row has too."""
+    last: pd.DataFrame | None = None
+    met = False  # whether the last row has the gram of the one before it
+    for batch in batches:
+        rows = batch if last is None else pd.concat([last, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        gram = rows["gram"].to_numpy()
+        same = gram[1:] == gram[:-1]
+        before = np.append(met, same)
+        yield rows[:-1][(before | np.append(same, False))[:-1]]
+        last, met = rows[-1:], bool(before[-1])
+    if last is not None and met:
+        yield last
+
+
+def neighbour_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of postings (gram, doc_id, n, c) with equal grams together: each document with the one
+    before it and with the first of its gram, if components differ and sizes allow a link."""
+    last: pd.DataFrame | None = None
+    first: pd.DataFrame | None = None  # the first row of the last row's gram
     for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        elif not len(batch):
+        if not len(batch):
             continue
-        gram = batch["gram"].to_numpy()
+        carried = [r for r in (first, last) if r is not None]
+        rows = pd.concat([*carried, batch], ignore_index=True)
+        old = len(carried)
+        gram, ids, n, c = (rows[x].to_numpy() for x in ("gram", "doc_id", "n", "c"))
+        place = np.arange(len(rows))
         new = np.append(True, gram[1:] != gram[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(batch)), 0))
-        before = np.where(new, np.arange(len(batch)), np.arange(len(batch)) - 1)
-        ids, sizes = batch["doc_id"].to_numpy(), batch["n"].to_numpy()
-        out = batch[["gram", "doc_id", "n", "place"]].copy()
-        out["first_id"], out["first_n"] = ids[start], sizes[start]
-        out["before_id"], out["before_n"] = ids[before], sizes[before]
-        if open_group:  # the row carried over is not the first of its shingle
-            own = start == 0
-            for name in ("first_id", "first_n"):
-                out.loc[own, name] = held[name].iloc[0]
-            for name in ("before_id", "before_n"):
-                out.loc[0, name] = held[name].iloc[0]
-        more = np.append(~new[1:], False)  # the next row has the same shingle
-        kept = ~new | more
-        if open_group:
-            kept[0] = True
-        last_open = bool(~new[-1]) or (open_group and len(batch) == 1)
-        yield out.iloc[:-1][kept[:-1]]
-        held, open_group = out.iloc[-1:], last_open
-    if held is not None and open_group:
-        yield held
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        pairs = []
+        for other in (np.maximum(place - 1, start), start):
+            fits = (place >= old) & (c != c[other]) & (5 * np.minimum(n, n[other]) >= 4 * np.maximum(n, n[other]))
+            pairs.append(pd.DataFrame({"a": ids[fits], "b": ids[other[fits]]}))
+        yield pd.concat(pairs)
+        last, first = rows[-1:], rows[start[-1] : start[-1] + 1]
 
 
 def overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,21 +237,21 @@ class _Join:
     def shared(self) -> DataFrame:
         order = self.spark.sparkContext.broadcast(self.frequent())
         found = self.docs.mapInPandas(postings(order), POSTING)
-        dealt = found.repartition(self.parts, "gram").sortWithinPartitions("gram", "n", "doc_id")
-        return materialise(dealt.mapInPandas(shared_postings, MULTIPLE), "shared")
+        dealt = found.repartition(self.parts, "gram").sortWithinPartitions("gram")
+        return materialise(dealt.mapInPandas(shared_postings, POSTING), "shared")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that the parity bits of their sets don't rule out."""
+        """Those of the pairs (a, b, ..) that the parity bits of their sets don't rule out."""
         p = self.profiles.select("doc_id", "n_shingles", "parity")
         x = p.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("parity").alias("parity_a"))
         y = p.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("parity").alias("parity_b"))
-        joined = pairs.select("a", "b").join(x, "a").join(y, "b")
+        joined = pairs.join(x, "a").join(y, "b")
         spare = F.col("n_a") + F.col("n_b") - 2 * needed_overlap(F.col("n_a"), F.col("n_b"))
-        return joined.where(_least_differences("parity_a", "parity_b") <= spare).select("a", "b")
+        return joined.where(_least_differences("parity_a", "parity_b") <= spare).select(*pairs.columns)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are links."""
-        pairs = materialise(self.possible(pairs), "possible")
+        """Those of the pairs (a, b) that are links."""
+        pairs = materialise(pairs.select("a", "b"), "possible")
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         texts = materialise(
             self.docs.mapInPandas(packed_texts, "doc_id long, packed binary").join(ids, "doc_id", "left_semi"), "texts", compression="none"
@@ -252,11 +259,7 @@ class _Join:
         x = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a"))
         y = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b"))
         joined = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
-        return materialise(joined.mapInPandas(overlaps, "a long, b long"), "found")
-
-
-def _similar_sizes(n: Column, m: Column) -> Column:
-    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+        return materialise(joined.mapInPandas(overlaps, PAIR), "found")
 
 
 def jaccard_components(df: DataFrame, parts: int | None = None) -> DataFrame:
@@ -273,32 +276,29 @@ def jaccard_components(df: DataFrame, parts: int | None = None) -> DataFrame:
     known = docs.where("doc_id is not null")
     join = _Join(known, parts)
     sets = join.profiles.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
-    copies = join.profiles.join(sets, ["k1", "k2"])
-    edges = materialise(copies.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
-    shared = join.shared()
+    copies = join.profiles.join(sets, ["k1", "k2"]).where("n_copies > 1")
+    # (node, component) of all documents that have a link so far.
+    labels = materialise(copies.select(F.col("doc_id").alias("node"), F.col("first").alias("component")).distinct(), "copies")
 
-    for round_ in range(ROUNDS):
-        labels = materialise(components(edges), "components")
-        rows = _labelled(shared, labels) if round_ else shared.withColumns({"c": F.col("doc_id"), "c_first": F.col("first_id"), "c_before": F.col("before_id")})
-        partners = F.array(
-            F.struct(F.col("first_id").alias("b"), F.col("first_n").alias("m"), F.col("c_first").alias("c_b")),
-            F.struct(F.col("before_id").alias("b"), F.col("before_n").alias("m"), F.col("c_before").alias("c_b")),
-        )
-        pairs = (
-            rows.select("doc_id", "n", "c", F.explode(F.array_distinct(partners)).alias("p"))
-            .where((F.col("c") != F.col("p.c_b")) & (F.col("doc_id") != F.col("p.b")) & _similar_sizes(F.col("n"), F.col("p.m")))
-            .groupBy(F.col("doc_id").alias("a"), F.col("p.b").alias("b"))
-            .agg(F.count("*").alias("overlap"))
-            .groupBy("a")
-            .agg(F.max(F.struct("overlap", (-F.col("b")).alias("b"))).alias("best"))
-            .select("a", (-F.col("best.b")).alias("b"))
-        )
-        edges = materialise(edges.unionByName(join.links(pairs)), "edges")
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return materialise(components(stars.unionByName(links)), "components")
 
-    labels = materialise(components(edges), "components")
-    x = _labelled(shared, labels, only_mixed=True)
-    edges = edges.unionByName(join.links(_cross_pairs(x)))
-    labels = components(edges)
+    rows = join.shared()
+    for round_ in range(ROUNDS):
+        rows = materialise(_mixed(rows, labels), "mixed")
+        # By size at first, then in another order each round, so that others become neighbours.
+        order = ["n", "doc_id"] if not round_ else [F.xxhash64("doc_id", F.lit(round_))]
+        dealt = rows.select("gram", "doc_id", "n", "c").repartition(parts, "gram").sortWithinPartitions("gram", *order)
+        pairs = dealt.mapInPandas(neighbour_pairs, PAIR).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+        # The partners with the highest partial overlaps, two at most: no group is collected.
+        ranked = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("overlap"), "b"))
+        pairs = join.possible(pairs).withColumn("rank", ranked).where(F.col("rank") <= PARTNERS)
+        found = join.links(pairs)
+        if found.isEmpty():
+            break
+        labels = merged(labels, found)
+    labels = merged(labels, join.links(join.possible(_cross_pairs(_mixed(rows, labels)))))
     out = join.profiles.join(sets, ["k1", "k2"], "left").join(
         labels.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
@@ -313,22 +313,13 @@ def profiles_of_null(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n_shingles": [len(s) for s in shingle_sets(_texts(batch))]})
 
 
-def _labelled(shared: DataFrame, labels: DataFrame, only_mixed: bool = False) -> DataFrame:
-    """Postings with the components of their documents.
-
-    ``only_mixed`` leaves out shingles whose documents are all of one component already.
-    """
-
-    def label(rows: DataFrame, of: str, name: str) -> DataFrame:
-        found = labels.select(F.col("node").alias(of), F.col("component").alias(name))
-        return rows.join(found, of, "left").withColumn(name, F.coalesce(name, of))
-
-    rows = label(shared, "doc_id", "c")
-    if not only_mixed:
-        return label(label(rows, "first_id", "c_first"), "before_id", "c_before")
-    rows = materialise(rows.select("gram", "doc_id", "n", "place", "c"), "labelled")
-    mixed_grams = rows.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
-    return rows.join(mixed_grams, "gram", "left_semi")
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of shingles whose documents are not all of one component, with their
+    components ``c``. Components only merge, so the others will not matter again."""
+    found = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    rows = rows.select("gram", "doc_id", "n", "place").join(found, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    kinds = rows.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
+    return rows.join(kinds, "gram", "left_semi")
 
 
 def _cross_pairs(rows: DataFrame) -> DataFrame:
