@@ -1,10 +1,18 @@
-"""From raw documents to token ids, one operator of ``paceframe.llm`` a stage."""
+"""From raw documents to token ids, one operator of ``paceframe.llm`` a stage.
+
+Every stage works on all rows that its predecessor kept. All but the last return the columns of
+``documents``: the first and third drop rows, the second shortens texts, the fourth repeats rows
+or leaves some out, as its weights ask. The last returns the ids of every text that is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paceframe.llm import quality_rules
+from paceframe.llm import jaccard_join, line_dedup, mixing, pieces, quality_rules
+from paceframe.llm.common import free_name
 from paceframe.session import materialise
 
 
@@ -13,7 +21,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that stand, but for two edits, earlier in the corpus."""
+    report = free_name(docs, "removed_lines")
+    return line_dedup.dedup_lines(docs, report=report).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the smallest id.
+
+    Documents whose text has no words left are linked with nothing and stay, as do rows with a
+    null id; of rows that share an id none is dropped unless all are.
+    """
+    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every use of a document in a mix of sources with raised entropy."""
+    report = free_name(docs, "mix")
+    return mixing.mix(docs, report=report).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and the piece ids of every text; null texts have none."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        encoded = pieces.encode_pieces(docs.select("doc_id", "source", "text"), file.read())
+    return encoded.select("doc_id", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixed),
+    ("SentencePiece encoding and decoding", piece_ids),
+]
 
 # Near-duplicate lines, shingle joins and piece ids are beyond SQL.
 ORACLE_SQL = None
@@ -23,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; each is written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialise(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,3 +24,11 @@ def words_of(text: Column) -> Column:
 def without(text: Column, characters: str) -> Column:
     """Faster than ``translate``, which maps every character of a text."""
     return reduce(lambda rest, c: F.replace(rest, F.lit(c), F.lit("")), characters, text)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
