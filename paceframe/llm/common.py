@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,3 +34,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def worker_memory() -> dict:
+    """A dict that outlives the tasks of a worker process; functions that travel by value get new
+    globals in every task."""
+    name = "paceframe_worker_memory"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__

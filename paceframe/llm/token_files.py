@@ -9,26 +9,30 @@ in a table beside them, so that they can lie wherever Spark can write.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceframe.session import scratch_path
+from paceframe.llm.common import worker_memory
+from paceframe.session import materialise
 
 END_ID = 0
 # A block ends with the document that brings it to so many ids.
 BLOCK_TOKENS = 1 << 18
+# Texts are cut into words together up to so many characters.
+ENCODE_CHARS = 1 << 20
 
-RAW_BLOCK = "part int, seq long, doc_ids array<long>, lengths array<int>, ids binary"
-BLOCK = "part int, seq long, doc_ids array<long>, lengths array<int>, control binary, data binary"
+RAW = "doc_id long, ids binary"
+BLOCK = "part int, seq long, before long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 
 
 def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
@@ -65,13 +69,6 @@ def _id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = [packer.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
-
-
 class WordEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each word.
 
@@ -82,13 +79,14 @@ class WordEncoder:
     tokenizer of another kind go to the library whole.
     """
 
-    CACHED = 400_000
+    CACHED = 700_000
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.kind = _id_type(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[str, bytes] = {}
         spec = json.loads(model)
         split = spec.get("pre_tokenizer") or {}
@@ -103,7 +101,7 @@ class WordEncoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, dtype=self.kind).tobytes() for c in codes]
+        return [array(self.code, c.ids).tobytes() for c in codes]
 
     def _learn(self, pieces: set[str]) -> None:
         known = self.known
@@ -113,54 +111,44 @@ class WordEncoder:
         for piece in stops:
             known[piece] = known[piece[:-1]] + known[piece[-1]]
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or self.whole.search(text):
-            return self._library([text])[0]
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, in the byte order and width of ``kind``."""
+        split = [None if not self.by_word or self.whole.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
         known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > self.CACHED:
-                known.clear()
-            self._learn({p for p in pieces if p not in known})
-        return b"".join([known[p] for p in pieces])
+        if len(known) > self.CACHED:
+            known.clear()
+        new = {p for pieces in split if pieces for p in pieces if p not in known}
+        if new:
+            self._learn(new)
+        return [self._library([t])[0] if pieces is None else b"".join([known[p] for p in pieces]) for t, pieces in zip(texts, split)]
 
 
-def _encoder(model: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        encoder = WordEncoder(model.value)
-        end = np.array([END_ID], dtype=encoder.kind).tobytes()
-        unpacker = zstandard.ZstdDecompressor()
-        part, seq, size = TaskContext.get().partitionId(), 0, 0
-        doc_ids: list[int | None] = []
-        lengths: list[int] = []
-        found: list[np.ndarray] = []
+def _word_encoder(model: str) -> WordEncoder:
+    """The encoder of this worker process, which keeps its words from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+    kept = worker_memory()
+    key = ("words", hashlib.sha256(model.encode()).digest())
+    if key not in kept:
+        kept[key] = WordEncoder(model)
+    return kept[key]
 
-        def block() -> pa.RecordBatch:
-            columns = {
-                "part": pa.array([part], pa.int32()),
-                "seq": pa.array([seq], pa.int64()),
-                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                "lengths": pa.array([lengths], pa.list_(pa.int32())),
-                "ids": pa.array([np.concatenate(found).tobytes()], pa.binary()),
-            }
-            return pa.RecordBatch.from_pydict(columns)
 
+def _encoder(model: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _word_encoder(model.value)
+        end = array(encoder.code, [END_ID]).tobytes()
         for batch in batches:
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist()):
-                ids = np.frombuffer(encoder.encode(unpacker.decompress(packed).decode()) + end, dtype=encoder.kind)
-                doc_ids.append(doc_id)
-                lengths.append(len(ids))
-                found.append(ids)
-                size += len(ids)
-                if size >= BLOCK_TOKENS:
-                    yield block()
-                    seq, size = seq + 1, 0
-                    doc_ids, lengths, found = [], [], []
-        if doc_ids:
-            yield block()
+            texts, out, size = [t or "" for t in batch.column("text").to_pylist()], [], 0
+            held: list[str] = []
+            for text in texts:
+                held.append(text)
+                size += len(text)
+                if size >= ENCODE_CHARS:
+                    out += encoder.encode(held)
+                    held, size = [], 0
+            out += encoder.encode(held)
+            ids = pa.array([o + end for o in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return run
 
@@ -177,15 +165,39 @@ def _counter(kind: str, vocabulary: int):
     return run
 
 
-def _ranker(kind: str, ranks: Broadcast):
+def _blocks(kind: str, ranks: Broadcast):
+    """Blocks of documents sorted by id; ``before`` counts the ids before a block in its part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value
+        rank, part = ranks.value, TaskContext.get().partitionId()
+        seq = before = size = 0
+        doc_ids: list[int | None] = []
+        found: list[np.ndarray] = []
+
+        def block() -> pa.RecordBatch:
+            control, data = pack(rank[np.concatenate(found)])
+            columns = {
+                "part": pa.array([part], pa.int32()),
+                "seq": pa.array([seq], pa.int64()),
+                "before": pa.array([before], pa.int64()),
+                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+                "lengths": pa.array([[len(f) for f in found]], pa.list_(pa.int32())),
+                "control": pa.array([control], pa.binary()),
+                "data": pa.array([data], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict(columns)
+
         for batch in batches:
-            packed = [pack(rank[np.frombuffer(ids.as_buffer(), dtype=kind)]) for ids in batch.column("ids")]
-            columns = {n: batch.column(n) for n in ("part", "seq", "doc_ids", "lengths")}
-            columns["control"] = pa.array([c for c, _ in packed], pa.binary())
-            columns["data"] = pa.array([d for _, d in packed], pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                doc_ids.append(doc_id)
+                found.append(np.frombuffer(ids.as_buffer(), dtype=kind))
+                size += len(found[-1])
+                if size >= BLOCK_TOKENS:
+                    yield block()
+                    seq, before, size = seq + 1, before + size, 0
+                    doc_ids, found = [], []
+        if doc_ids:
+            yield block()
 
     return run
 
@@ -194,30 +206,25 @@ def write_token_files(df: DataFrame, path: str, tokenizer_json: str, parts: int
     """Encodes every text of ``df`` (null as empty), each followed by END_ID, and writes the ids
     to ``path``/blocks in ascending order of doc_id, null first; equal ids in any order.
 
-    Texts are tokenized once, after they were dealt out by ranges of ids; those ids are kept
-    beside the files until the frequencies of all are known. The ranks, at most the vocabulary,
-    go through the driver to ``path``/ranks.
+    Texts are tokenized once. Their ids are kept beside the files until the frequencies of all
+    are known, then dealt out by ranges of document ids and packed. The ranks, at most the
+    vocabulary, go through the driver to ``path``/ranks.
     """
-    from tokenizers import Tokenizer
-
     spark = df.sparkSession
-    vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab_size()
-    kind = _id_type(vocabulary)
+    encoder = WordEncoder(tokenizer_json)
+    vocabulary, kind = encoder.tokenizer.get_vocab_size(), encoder.kind
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.mapInArrow(_pack_texts, "doc_id long, packed binary").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     model = spark.sparkContext.broadcast(tokenizer_json)
-    raw_path = scratch_path(spark, "token-ids")
-    ordered.mapInArrow(_encoder(model), RAW_BLOCK).write.option("compression", "zstd").parquet(raw_path)
-    raw = spark.read.schema(RAW_BLOCK).parquet(raw_path)
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    raw = materialise(docs.mapInArrow(_encoder(model), RAW), "token-ids", compression="zstd")
     counts = raw.select("ids").mapInArrow(_counter(kind, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = counts.sort_values(["n", "id"], ascending=[False, True])
     rank = np.zeros(vocabulary, dtype=np.uint32)
     rank[counts["id"].to_numpy(dtype=np.int64)] = np.arange(len(counts), dtype=np.uint32)
     counts["rank"] = np.arange(len(counts))
     spark.createDataFrame(counts[["rank", "id", "n"]], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
-    ranked = raw.mapInArrow(_ranker(kind, spark.sparkContext.broadcast(rank)), BLOCK)
-    ranked.sortWithinPartitions("part", "seq").write.parquet(f"{path}/blocks")
+    ordered = raw.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered.mapInArrow(_blocks(kind, spark.sparkContext.broadcast(rank)), BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _decoder(by_rank: Broadcast):
@@ -229,7 +236,7 @@ def _decoder(by_rank: Broadcast):
                 ids = id_of[unpack(row["control"], row["data"], int(bounds[-1]))]
                 columns = {
                     "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                    "start": pa.array(bounds[:-1] + row["start"], pa.int64()),
+                    "start": pa.array(bounds[:-1] + row["before"] + row["offset"], pa.int64()),
                     "n_tokens": pa.array(row["lengths"], pa.int64()),
                     "ids": pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
                 }
@@ -244,11 +251,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()
     by_rank = spark.sparkContext.broadcast(ranks["id"].to_numpy().astype("<u4"))
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
-    sizes = blocks.select("part", "seq", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
-    # Two short sums: over the parts, of which there are as many as writing tasks, then in each.
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("total"))
-    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
-    return blocks.join(starts, ["part", "seq"]).mapInArrow(_decoder(by_rank), "doc_id long, start long, n_tokens long, ids binary")
+    n = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = blocks.select("part", n.alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select("part", F.coalesce(before, F.lit(0)).alias("offset"))
+    # As many rows as the files have parts, which the writer was told.
+    rows = blocks.join(F.broadcast(offsets), "part")
+    return rows.mapInArrow(_decoder(by_rank), "doc_id long, start long, n_tokens long, ids binary")
