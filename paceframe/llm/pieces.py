@@ -9,10 +9,13 @@ on meet in one boundary: no later character can change what stands before it.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import Broadcast
@@ -20,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
+from paceframe.llm.common import worker_memory
+
 MARK = "▁"
 SCALE = 1_000_000
 # Added to the cost of a byte piece, as much as the library takes off for unknown characters.
 BYTE_PENALTY = 10
 # Ids of so many short strings between sure boundaries are kept.
-KEPT = 300_000
+KEPT = 600_000
 LONGEST_KEPT = 64
+# Rows that are in Python at a time.
+ROWS = 500
 
 
 class Pieces:
@@ -165,41 +172,47 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
 
-    def _search(self, text: str) -> list[int]:
+    def _search(self, text: str) -> bytes:
         stream = Stream(self.pieces)
         certain = stream.feed(text) if len(text) > self.pieces.longest else stream.hold(text)
-        return certain + stream.finish()
+        return array("i", certain + stream.finish()).tobytes()
 
     def marked(self, text: str) -> str:
         return (MARK if self.pieces.prefix and text else "") + text.replace(" ", MARK)
 
-    def encode(self, text: str) -> list[int]:
-        """The cheapest ids; of equal paths to a place the one whose last piece is longest."""
+    def encode(self, text: str) -> bytes:
+        """The cheapest ids, 32 bits each; of equal paths to a place the one whose last piece is
+        longest."""
         if MARK in text:  # not a space: each goes in bytes, with a boundary on both sides
-            spelled = [self.pieces.byte_ids[b] for b in MARK.encode()]
+            spelled = array("i", [self.pieces.byte_ids[b] for b in MARK.encode()]).tobytes()
             first, *rest = text.split(MARK)
-            out = self._encode(self.marked(first)) if first else ([self.pieces.costs[MARK][1]] if self.pieces.prefix else [])
+            lead = array("i", [self.pieces.costs[MARK][1]] if self.pieces.prefix else []).tobytes()
+            parts = [self._encode(self.marked(first)) if first else lead]
             for part in rest:
-                out += spelled + self._encode(part.replace(" ", MARK))
-            return out
+                parts += [spelled, self._encode(part.replace(" ", MARK))]
+            return b"".join(parts)
         return self._encode(self.marked(text))
 
-    def _encode(self, marked: str) -> list[int]:
+    def _encode(self, marked: str) -> bytes:
         if not self.pieces.by_word:
             return self._search(marked)
-        kept, out = self.kept, []
-        for word in self.pieces.words.findall(marked):
+        kept, words = self.kept, self.pieces.words.findall(marked)
+        try:
+            return b"".join([kept[w] for w in words])
+        except KeyError:
+            if len(kept) >= KEPT:
+                kept.clear()
+        out = []
+        for word in words:
             ids = kept.get(word)
             if ids is None:
                 ids = self._search(word)
                 if len(word) <= LONGEST_KEPT:
-                    if len(kept) >= KEPT:
-                        kept.clear()
                     kept[word] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: Iterable[int]) -> str:
         names, byte_of = self.pieces.names, self.pieces.byte_of
@@ -218,23 +231,40 @@ class Encoder:
         return text[1:] if self.pieces.prefix and text.startswith(" ") else text
 
 
+def _encoder(model: Broadcast, stored: bool) -> Encoder:
+    """The encoder of this worker process, which keeps its words from task to task."""
+    kept, key = worker_memory(), ("pieces", hashlib.sha256(model.value).digest(), stored)
+    if key not in kept:
+        kept[key] = Encoder(Pieces(model.value, stored))
+    return kept[key]
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _encode_texts(model: Broadcast, stored: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(model.value, stored))
-        for batch in batches:
-            ids = [None if t is None else encoder.encode(t) for t in batch.column("text").to_pylist()]
-            columns = {"row": batch.column("row"), "ids": pa.array(ids, pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_pydict(columns)
+        encoder = _encoder(model, stored)
+        for batch in _small(batches):
+            found = [None if t is None else encoder.encode(t) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *[len(f or b"") // 4 for f in found]])
+            offsets = pa.array(ends, pa.int32(), mask=np.array([*[f is None for f in found], False]))
+            values = pa.array(np.frombuffer(b"".join([f or b"" for f in found]), dtype=np.int32), pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, values)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), ids], names=["row", "ids"])
 
     return run
 
 
 def _decode_ids(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(model.value))
-        for batch in batches:
-            texts = [None if i is None else encoder.decode(i) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "text": pa.array(texts, pa.string())})
+        encoder = _encoder(model, False)
+        for batch in _small(batches):
+            texts = [encoder.decode(i.values.to_numpy().tolist()) if i.is_valid else None for i in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
 
