@@ -10,6 +10,8 @@ distance that keeps only the diagonal band of the matrix that EDITS edits can re
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,9 @@ _WHITE = " \t\n\v\f\r"
 _LAST = 2**63 - 1
 
 OCCURRENCE = "k1 long, k2 long, doc_id long, line int"
-SIGNATURE = "segment long, k1 long, probe boolean"
+SIGNATURE = "segment long, k1 long, bits int, probe boolean"
+# Ids of lines are broadcast up to so many, 16 MB; more are joined by a shuffle.
+MAX_BROADCAST = 2_000_000
 
 
 def compared(text: str | None) -> Iterator[tuple[int, str]]:
@@ -69,24 +73,37 @@ def probes(length: int, partner: int) -> Iterator[tuple[int, int, int]]:
             yield i, at, size
 
 
-def _segment_key(line: str, partner: int, i: int, at: int, size: int) -> int:
-    found = xxhash.xxh3_64_intdigest(line[at : at + size].encode(), seed=partner * (EDITS + 1) + i)
-    return found - (1 << 64) if found >> 63 else found
+# For each length the substrings that a line of it looks up, as (seed, start, end, own).
+_PLANS: dict[int, list[tuple[int, int, int, bool]]] = {}
+
+
+def _plan(n: int) -> list[tuple[int, int, int, bool]]:
+    if n not in _PLANS:
+        own = [(n * (EDITS + 1) + i, start, start + size, True) for i, (start, size) in enumerate(segments(n))]
+        # Its own segments in their own places are found among the index entries.
+        others = {
+            (partner * (EDITS + 1) + i, at, at + size, False)
+            for partner in range(max(MIN_CHARS, n - EDITS), n + 1)
+            for i, at, size in probes(n, partner)
+        } - {(seed, start, end, False) for seed, start, end, _ in own}
+        _PLANS[n] = [*own, *sorted(others)]
+    return _PLANS[n]
 
 
 def signatures(line: str) -> Iterator[tuple[int, bool]]:
-    """Keys under which a line is found, then those with which it looks for others."""
-    n = len(line)
-    own = set()
-    for i, (start, size) in enumerate(segments(n)):
-        key = _segment_key(line, n, i, start, size)
-        own.add(key)
-        yield key, False
-    for partner in range(max(MIN_CHARS, n - EDITS), n + 1):
-        for i, at, size in probes(n, partner):
-            key = _segment_key(line, partner, i, at, size)
-            if key not in own:  # the own segment in its own place is found among the index entries
-                yield key, True
+    """Keys under which a line is found, then (True) those with which it looks for others."""
+    data = line.encode("utf-32-le")
+    for seed, start, end, own in _plan(len(line)):
+        yield xxhash.xxh3_64_intdigest(data[4 * start : 4 * end], seed=seed) - 2**63, not own
+
+
+def character_bits(line: str) -> int:
+    """32 parities of the characters of a line; an edit changes two of them at most."""
+    bits = 0
+    for c, n in Counter(line).items():
+        if n & 1:
+            bits ^= 1 << (ord(c) * 0x9E3779B1 >> 15 & 31)
+    return bits - 2**31
 
 
 def within_edits(a: str, b: str, edits: int = EDITS) -> bool:
@@ -159,8 +176,23 @@ def _different_lines(batch: pd.DataFrame) -> dict[tuple[int, int], str]:
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(segment, k1, probe) for (k1, _), line in _different_lines(batch).items() for segment, probe in signatures(line)]
-        yield pd.DataFrame(rows, columns=["segment", "k1", "probe"]).astype({"segment": "int64", "k1": "int64", "probe": "bool"})
+        keys, probe, ids, bits, sizes = array("q"), array("b"), array("q"), array("i"), array("q")
+        for (k1, _), line in _different_lines(batch).items():
+            before = len(keys)
+            for key, is_probe in signatures(line):
+                keys.append(key)
+                probe.append(is_probe)
+            ids.append(k1)
+            bits.append(character_bits(line))
+            sizes.append(len(keys) - before)
+        yield pd.DataFrame(
+            {
+                "segment": np.array(keys, dtype=np.int64),
+                "k1": np.repeat(np.array(ids, dtype=np.int64), sizes),
+                "bits": np.repeat(np.array(bits, dtype=np.int32), sizes),
+                "probe": np.array(probe, dtype=bool),
+            }
+        )
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,12 +229,17 @@ def line_links(docs: DataFrame, parts: int) -> DataFrame:
     """Pairs (a1, a2, b1, b2) of keys of different lines within EDITS edits, each pair once."""
     found = docs.mapInPandas(_signatures, SIGNATURE).repartition(parts, "segment").sortWithinPartitions("segment", "k1", "probe")
     shared = materialise(found.mapInPandas(shared_segments, SIGNATURE), "segments")
-    x = shared.where("not probe").select("segment", F.col("k1").alias("a1"))
-    y = shared.select("segment", F.col("k1").alias("b1"), "probe")
-    pairs = x.join(y, "segment").where((F.col("a1") < F.col("b1")) | (F.col("probe") & (F.col("a1") != F.col("b1"))))
+    x = shared.where("not probe").select("segment", F.col("k1").alias("a1"), F.col("bits").alias("bits_a"))
+    y = shared.select("segment", F.col("k1").alias("b1"), F.col("bits").alias("bits_b"), "probe")
+    different = (F.col("a1") < F.col("b1")) | (F.col("probe") & (F.col("a1") != F.col("b1")))
+    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 2 * EDITS
+    pairs = x.join(y, "segment").where(different & near)
     pairs = materialise(pairs.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct(), "pairs")
     wanted = materialise(pairs.select(F.col("a1").alias("k1")).unionByName(pairs.select(F.col("b1").alias("k1"))).distinct(), "wanted")
-    texts = docs.mapInPandas(_lines, "k1 long, k2 long, text string").join(wanted, "k1", "left_semi").dropDuplicates(["k1", "k2"])
+    lines = docs.mapInPandas(_lines, "k1 long, k2 long, text string")
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = lines.join(wanted, "k1", "left_semi").dropDuplicates(["k1", "k2"])
     texts = materialise(texts, "lines", compression="zstd")
     a = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("text").alias("text_a"))
     b = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("text").alias("text_b"))

@@ -61,6 +61,7 @@ def test_lines_within_two_edits_share_a_segment():
             a, b = b, a
         index = {s for s, probe in line_dedup.signatures(b) if not probe}
         assert index & {s for s, _ in line_dedup.signatures(a)}, (a, b)
+        assert (line_dedup.character_bits(a) ^ line_dedup.character_bits(b)).bit_count() <= 4
 
 
 def test_line_dedup(odd_docs, texts):
