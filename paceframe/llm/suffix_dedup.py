@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ SORT_BYTES = 1 << 20
 STRETCH = "anchor long, h1 long, h2 long, row long, start int, windows int"
 SHARED = STRETCH + ", whole boolean, open boolean"
 SPAN = "row long, first int, last int"
+PACKED = "doc_id string, packed binary, n_bytes long, k1 long, k2 long"
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -122,11 +124,17 @@ def _unpacked(batch: pd.DataFrame) -> list[bytes]:
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "packed": [packer.compress((t or "").encode()) for t in batch["text"]]})
+        texts = [(t or "").encode() for t in batch["text"]]
+        digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(t), dtype=np.int64) for t in texts]).reshape(-1, 2)
+        packed = [packer.compress(t) for t in texts]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "packed": packed, "n_bytes": [len(t) for t in texts], "k1": digests[:, 0], "k2": digests[:, 1]})
 
 
 def _all_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The stretches of each different text of a batch. Its copies need none: as a text that
+    occurs twice they are repeated from end to end."""
     for batch in batches:
+        batch = batch[~batch.duplicated(["k1", "k2"])]
         rows = batch["row"].to_numpy()
         found = [(rows[i], table) for i, table in stretches_of(_unpacked(batch))]
         if found:
@@ -336,9 +344,13 @@ def _rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
     """(row, first, last): byte spans of repeated windows; those of a document may overlap.
 
-    ``docs`` has different numbers ``row`` and texts ``packed``.
+    ``docs`` has different numbers ``row``, texts ``packed`` with their length ``n_bytes``, and
+    128 bits of a digest of them, ``k1`` and ``k2``.
     """
-    dealt = docs.select("row", "packed").mapInPandas(_all_stretches, STRETCH).repartition(parts, "anchor").sortWithinPartitions("anchor", "h1", "h2")
+    twice = docs.where(F.col("n_bytes") >= WINDOW).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
+    copied = docs.select("row", "n_bytes", "k1", "k2").join(twice, ["k1", "k2"])
+    copied = copied.select("row", F.lit(0).alias("first"), F.col("n_bytes").cast("int").alias("last"))
+    dealt = docs.select("row", "packed", "k1", "k2").mapInPandas(_all_stretches, STRETCH).repartition(parts, "anchor").sortWithinPartitions("anchor", "h1", "h2")
     shared = materialise(dealt.mapInPandas(classify, SHARED), "stretches")
     region = F.col("start") + F.col("windows") + (WINDOW - 1)
     whole = shared.where("whole").select("row", F.col("start").alias("first"), region.alias("last"))
@@ -354,7 +366,7 @@ def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
     windows = bodies.where("split").select("row", "start", "body").mapInPandas(_single_windows, "h1 long, h2 long, row long, first int")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     single = windows.join(twice, ["h1", "h2"], "left_semi").select("row", "first", (F.col("first") + WINDOW).alias("last"))
-    return whole.unionByName(sorted_spans).unionByName(single)
+    return copied.unionByName(whole).unionByName(sorted_spans).unionByName(single)
 
 
 def remove_repeats(df: DataFrame, parts: int | None = None) -> DataFrame:
@@ -366,7 +378,7 @@ def remove_repeats(df: DataFrame, parts: int | None = None) -> DataFrame:
     their own. Columns besides doc_id and text are not read.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_packed, "doc_id string, packed binary")
+    docs = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_packed, PACKED)
     docs = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "packed", compression="none")
     spans = repeated_spans(docs, parts).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     rests = docs.join(spans, "row", "left").select("doc_id", "packed", "spans").mapInPandas(
