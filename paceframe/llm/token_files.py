@@ -79,7 +79,7 @@ class WordEncoder:
     tokenizer of another kind go to the library whole.
     """
 
-    CACHED = 700_000
+    CACHED = 1_500_000
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -117,10 +117,10 @@ class WordEncoder:
         known = self.known
         if len(known) > self.CACHED:
             known.clear()
-        new = {p for pieces in split if pieces for p in pieces if p not in known}
+        new = set().union(*filter(None, split)).difference(known)
         if new:
             self._learn(new)
-        return [self._library([t])[0] if pieces is None else b"".join([known[p] for p in pieces]) for t, pieces in zip(texts, split)]
+        return [self._library([t])[0] if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, split)]
 
 
 def _word_encoder(model: str) -> WordEncoder:
