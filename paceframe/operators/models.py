@@ -42,33 +42,26 @@ LIGHT = ForestSize(trees=30, depth=12, leaf=10)
 FULL = ForestSize(trees=100, depth=30, leaf=1)
 
 
-def _few_partitions(df: DataFrame) -> bool:
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows read from fewer files than there are cores, dealt out to all of them.
-
-    Scoring costs far more per row than moving it; bigger input stays in place.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _few_partitions(df) else df
+# Fits depend on how rows are dealt out, so this is fixed by a parameter and not by the cluster.
+TRAINING_PARTITIONS = 32
 
 
 @contextmanager
-def training_frame(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
+def training_frame(df: DataFrame, *columns: str, partitions: int = TRAINING_PARTITIONS) -> Iterator[DataFrame]:
     """The needed columns, kept while an iterative fit runs over them.
 
-    Spilled to disk when memory is short, and recomputed for a lost executor. Input of few
-    partitions is dealt out to all cores, from the kept copy.
+    Rows are dealt out by their values to ``partitions`` and sorted there, so that the same rows
+    give the same fit whatever files and cores there are. Spilled to disk when memory is short,
+    and recomputed for a lost executor.
     """
-    kept = [df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)]
-    if _few_partitions(kept[0]):
-        kept.append(spread(kept[0]).persist(StorageLevel.MEMORY_AND_DISK))
+    vectors = [c for c, kind in df.select(*columns).dtypes if kind == "vector"]
+    keys = [F.to_json(vector_to_array(c)) if c in vectors else F.col(c) for c in columns]
+    dealt = df.select(*columns).repartition(partitions, *keys).sortWithinPartitions(*keys)
+    kept = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield kept[-1]
+        yield kept
     finally:
-        for frame in kept:
-            frame.unpersist()
+        kept.unpersist()
 
 
 def fit_logistic(

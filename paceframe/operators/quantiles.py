@@ -1,14 +1,13 @@
 """Exact quantiles (linear interpolation) that do not gather a group in one task.
 
-Spark's ``percentile`` keeps a map of all distinct values of a group in one reducer. Here a
-table of at most ``ranked_rows`` rows is reduced to distinct values with counts, which one
-sort per group puts in order (and spills if it must). Beyond that size the wanted order
-statistics are located by repeated equal-width binning: each round counts rows per bin with
-map-side aggregation, keeps for every wanted rank the bin that holds it, and shrinks the
-search interval to the values seen in that bin. The round's result has one row per wanted
-rank. Once an interval holds few rows, its distinct values are ranked directly. Rows of equal
-value are merged before every shuffle, so a single hot value costs nothing, and the result is
-exact for any distribution.
+Spark's ``percentile`` keeps a map of all distinct values of a group in one reducer. Here the
+wanted order statistics are located by narrowing an interval of values around each rank. While
+an interval holds more than ``at_once`` rows, values taken from its data split it into cells;
+rows are counted per cell with map-side aggregation, and the interval shrinks to the cell with
+the rank. A splitting value is a cell of its own, so every round gets nearer, also with hot
+values, and values are only compared, so infinite ones are like others. The distinct values of
+what is left are ranked. Rows of equal value are merged before every shuffle, and the result
+is exact for any distribution.
 """
 
 from __future__ import annotations
@@ -21,8 +20,9 @@ from pyspark.sql import functions as F
 from paceframe.session import materialise
 from paceframe.sources.readers import rows
 
-RANKED_ROWS = 1_000_000
-BINS = 1024
+# Rows of an interval whose distinct values one task may sort, and splitting values of a round.
+AT_ONCE = 100_000
+SPLITS = 64
 
 
 def quantile_column(metric: str) -> str:
@@ -36,18 +36,14 @@ def aggregate_with_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     aggs: Sequence[Column] = (),
-    ranked_rows: int = RANKED_ROWS,
-    bins: int = BINS,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """``aggs`` per group of ``by``, plus one array of quantiles per metric.
 
     The two kinds of figures come from separate aggregations: beside ``percentile`` the plain
     ones would lose their generated code.
     """
-    if df.count() <= ranked_rows:
-        found = _ranked_quantiles(_long(df, metrics, by), probs, by)
-    else:
-        found = _located_quantiles(df, metrics, probs, by, ranked_rows, bins)
+    found = _located_quantiles(df, metrics, probs, by, at_once)
     wide = found.groupBy(*by).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("values"))).alias(quantile_column(m)) for m in metrics]
     )
@@ -67,10 +63,10 @@ def quantile_rows(
     metrics: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    ranked_rows: int = RANKED_ROWS,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """One row per group, metric and probability."""
-    wide = aggregate_with_quantiles(df, metrics, probs, by, ranked_rows=ranked_rows)
+    wide = aggregate_with_quantiles(df, metrics, probs, by, at_once=at_once)
     cells = [
         F.struct(
             F.lit(m).alias("metric"),
@@ -109,8 +105,7 @@ def _located_quantiles(
     metrics: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str],
-    ranked_rows: int,
-    bins: int,
+    at_once: int,
 ) -> DataFrame:
     values = _long(df, metrics, by)
 
@@ -143,13 +138,10 @@ def _located_quantiles(
     )
     key = [*by, "metric", "rank"]
     search = keep(ranks, "quantile_ranks")
-    too_big = (F.col("lo") < F.col("hi")) & (F.col("rows") > ranked_rows)
+    too_big = (F.col("lo") < F.col("hi")) & (F.col("rows") > at_once)
     while not search.where(too_big).isEmpty():
         open_ranks, settled = search.where(too_big), search.where(~too_big)
-        # Halves, so that the width of the widest interval stays finite.
-        offset = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        cell = F.least(F.floor(offset * bins), F.lit(bins - 1).cast("bigint"))
-        search = keep(settled.unionByName(_narrow(values, open_ranks, by, cell)), "quantile_round")
+        search = keep(settled.unionByName(_narrow(values, _with_splits(values, open_ranks, by), by, _cell())), "quantile_round")
 
     fixed = search.where(F.col("lo") == F.col("hi"))
     small = search.where(F.col("lo") < F.col("hi"))
@@ -172,27 +164,24 @@ def _located_quantiles(
     )
 
 
-def _ranked_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Quantiles of small groups: distinct values with counts, sorted and cumulated."""
-    group = [*by, "metric"]
-    counts = values.groupBy(*group, "v").agg(F.count("*").alias("n"))
-    running = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns(
-        {"upto": F.sum("n").over(running), "total": F.sum("n").over(Window.partitionBy(*group))}
-    )
+def _inside(values: DataFrame, intervals: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _join_on(values, intervals, [*by, "metric"]).where(F.col("v").between(F.col("lo"), F.col("hi")))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("v")))
 
-    def quantile(p: float) -> Column:
-        pos = F.lit(float(p)) * (F.col("total") - 1)
-        last = F.max("total") - 1
-        place = F.lit(float(p)) * last
-        low, high = at(F.floor(pos)), at(F.ceil(pos))
-        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
-        return F.when(F.ceil(place) == F.floor(place), low).otherwise(between)
+def _with_splits(values: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The ranks with values of their interval that split it into parts of about equal size."""
+    interval = [*by, "metric", "lo", "hi"]
+    shares = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
+    splits = _inside(values, ranks.select(*interval).distinct(), by).groupBy(*interval).agg(
+        F.array_distinct(F.percentile_approx("v", shares, F.lit(1000))).alias("splits")
+    )
+    return _join_on(ranks, splits, interval)
 
-    return placed.groupBy(*group).agg(F.array(*[quantile(p) for p in probs]).alias("values"))
+
+def _cell() -> Column:
+    """Twice the splitting values below a value, and one more if it is one itself."""
+    below = F.size(F.filter("splits", lambda s: s < F.col("v")))
+    return below + F.size(F.filter("splits", lambda s: s <= F.col("v")))
 
 
 def _narrow(values: DataFrame, ranks: DataFrame, by: Sequence[str], cell: Column) -> DataFrame:
@@ -200,15 +189,15 @@ def _narrow(values: DataFrame, ranks: DataFrame, by: Sequence[str], cell: Column
 
     Ranks that still share an interval share its counts. ``ranks`` is a written table, so the
     true size of its intervals decides between a broadcast and a shuffle join. The window runs
-    over cells, at most ``bins`` or ``ranked_rows`` per interval.
+    over cells, at most a few per splitting value or ``at_once`` per interval.
     """
     interval = [*by, "metric", "lo", "hi"]
-    intervals = ranks.select(*interval, "before").distinct()
-    inside = _join_on(values, intervals, [*by, "metric"]).where(
-        F.col("v").between(F.col("lo"), F.col("hi"))
-    )
+    extra = ["splits"] if "splits" in ranks.columns else []
+    intervals = ranks.select(*interval, "before", *extra).distinct()
+    ranks = ranks.drop(*extra)
     cells = (
-        inside.withColumn("cell", cell)
+        _inside(values, intervals, by)
+        .withColumn("cell", cell)
         .groupBy(*interval, "before", "cell")
         .agg(F.count("*").alias("cell_rows"), F.min("v").alias("cell_lo"), F.max("v").alias("cell_hi"))
     )

@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceframe.functions.columns import digest_unit, hash_digest, hash_unit
-from paceframe.operators.quantiles import _join_on
-from paceframe.session import materialise
-
-PREFILTER_ROWS = 10_000_000
 
 
 def hash_split(
@@ -33,20 +29,18 @@ def random_split(df: DataFrame, train: float = 0.8, seed: int | None = 42) -> tu
 
 
 def fixed_size_sample(
-    df: DataFrame, keys: Sequence[str], n: int = 2000, seed: int = 42, prefilter_rows: int = PREFILTER_ROWS
+    df: DataFrame, keys: Sequence[str], n: int = 2000, seed: int = 42
 ) -> DataFrame:
     """The ``n`` rows with the smallest key digests (all rows when there are fewer).
 
-    On big tables every task would forward ``n`` rows, so rows whose digest is certainly too
-    large are dropped first. The cut is raised until at least ``n`` rows pass it; the result is
-    the same with and without it.
+    Every task would forward ``n`` rows, so rows whose digest is certainly too large are dropped
+    first. The cut is raised until at least ``n`` rows pass it.
     """
     drawn = df.withColumns({"_digest": hash_digest(keys, seed), "_unit": digest_unit(keys, seed)})
-    total = df.count()
-    if total > prefilter_rows:
-        cut = min(1.0, 4.0 * n / total)
-        while cut < 1.0 and drawn.where(F.col("_unit") < cut).limit(n).count() < n:
-            cut = min(1.0, cut * 4)
+    cut = min(1.0, 4.0 * n / max(1, df.count()))
+    while cut < 1.0 and drawn.where(F.col("_unit") < cut).limit(n).count() < n:
+        cut = min(1.0, cut * 4)
+    if cut < 1.0:
         drawn = drawn.where(F.col("_unit") < cut)
     return drawn.orderBy("_digest", *keys).limit(n).drop("_digest", "_unit")
 
@@ -57,24 +51,12 @@ def sample_per_group(
     keys: Sequence[str],
     n: int = 500,
     seed: int = 42,
-    prefilter_rows: int = PREFILTER_ROWS,
 ) -> DataFrame:
     """Up to ``n`` rows per group, those with the smallest key digests.
 
-    Big groups are cut by digest before the ranking shuffle, as in ``fixed_size_sample``. A
-    group in which the cut left fewer than ``n`` rows keeps all its rows.
+    The rank limit is applied within every task too, so at most ``n`` rows of a group leave it.
     """
     drawn = df.withColumns({"_digest": hash_digest(keys, seed), "_unit": digest_unit(keys, seed)})
-    if df.count() > prefilter_rows:
-        cuts = drawn.groupBy(*by).agg(F.count("*").alias("_n"))
-        cuts = materialise(cuts.withColumn("_cut", F.least(F.lit(1.0), 4.0 * n / F.col("_n"))), "sample_cuts")
-        passed = _join_on(drawn, cuts, by).withColumn("_in", F.col("_unit") < F.col("_cut"))
-        enough = passed.groupBy(*by).agg(
-            F.any_value("_cut").alias("_cut"), F.count_if("_in").alias("_passed")
-        )
-        final = enough.select(*by, F.when(F.col("_passed") >= n, F.col("_cut")).otherwise(1.0).alias("_cut"))
-        drawn = _join_on(drawn, materialise(final, "sample_cuts"), by).where(F.col("_unit") < F.col("_cut"))
-        drawn = drawn.drop("_cut")
     order = Window.partitionBy(*by).orderBy("_digest", *keys)
     return drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop(
         "_digest", "_unit", "_rank"

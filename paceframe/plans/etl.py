@@ -37,13 +37,12 @@ def run(
     raw_root: str,
     processed_path: str,
     overwrite: str = "static",
-    clustered_input: bool = True,
     strict_dates: bool = True,
 ) -> EtlResult:
     """Reads, transforms and writes in one pass; the counts are observed on the way.
 
-    The raw tree holds one day per file, so each task meets few months and the table is
-    written without a shuffle. Pass ``clustered_input=False`` for trees of mixed files.
+    Spark packs files into tasks by length and not by date, so the rows are rebalanced by month:
+    a month has one file, or several where it is big.
     """
     try:
         raw = read_tree(spark, raw_root, RAW_DAILY)
@@ -57,7 +56,7 @@ def run(
     observed = transform(raw, strict_dates).observe(
         counts, F.count(F.lit(1)).alias("records"), F.count_if(F.col("date").isNull()).alias("undated")
     )
-    write_processed(observed, processed_path, overwrite=overwrite, rebalance=not clustered_input)
+    write_processed(observed, processed_path, overwrite=overwrite, rebalance=True)
     return EtlResult(True, counts.get["records"], counts.get["undated"])
 
 
@@ -66,7 +65,6 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("raw_root")
     parser.add_argument("processed_path")
     parser.add_argument("--overwrite", choices=("static", "dynamic"), default="static")
-    parser.add_argument("--mixed-input", action="store_true", help="files hold several days each")
     options = parser.parse_args(argv)
     spark = build_session("paceframe-etl")
     result = run(
@@ -74,7 +72,6 @@ def main(argv: list[str] | None = None) -> None:
         options.raw_root,
         options.processed_path,
         overwrite=options.overwrite,
-        clustered_input=not options.mixed_input,
     )
     if result.found_input:
         print(f"{result.num_records} records written, {result.num_undated} without a date")

@@ -22,7 +22,7 @@ ROW_KEY = ("user_id", "date", *METRICS, "activity_type")
 
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     train, test = sampling.hash_split(line_telemetry(spark, sf), ROW_KEY)
-    return train, models.spread(test)
+    return train, test
 
 
 def _spread(df: DataFrame, vector: str, size: int, prefix: str = "f") -> DataFrame:

@@ -55,8 +55,6 @@ METRICS = ("steps", "calories_burned", "heart_rate_avg", "sleep_hours")
 # Weekday names in calendar order.
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
-# Activity names.
-ACTIVITIES = ("walking", "running", "cycling", "swimming", "yoga", "gym_workout", "hiking")
 
 
 class ValidRange(NamedTuple):

@@ -57,8 +57,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/paceframe-{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder, removed when the driver's JVM ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/paceframe-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Only folders that exist are noted for removal.
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{root}/{name}"
 
 
 def materialise(df: DataFrame, name: str = "step", **options: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from paceframe.functions.columns import nan_to_null
+
 
 def read_tree(
     spark: SparkSession,
@@ -24,14 +26,14 @@ def read_tree(
 
     Folder names such as ``year=2023`` are not read as columns. Spark lists the tree itself
     (in parallel beyond a few paths); files of other formats beside the Parquet ones are
-    skipped by ``glob``.
+    skipped by ``glob``. NaN becomes null.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(*([root] if isinstance(root, str) else root))
+    return nan_to_null(reader.parquet(*([root] if isinstance(root, str) else root)))
 
 
 def read_existing(
@@ -66,7 +68,7 @@ def read_processed(
     partition columns.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    df = reader.parquet(path)
+    df = nan_to_null(reader.parquet(path))
     period = F.col("year") * 12 + F.col("month")
     if start is not None:
         df = df.where((period >= start.year * 12 + start.month) & (F.col("date") >= F.lit(start)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from paceframe.functions.columns import parse_timestamp
+from paceframe.functions.columns import nan_to_null, parse_timestamp
 from paceframe.schemas import RAW_STREAM
 
 
@@ -16,13 +16,13 @@ def file_stream(
     files_per_batch: int | None = 1,
     glob: str | None = "*.parquet",
 ) -> DataFrame:
-    """Parquet files dropped into ``path``, with a declared schema."""
+    """Parquet files dropped into ``path``, with a declared schema; NaN becomes null."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(path)
+    return nan_to_null(reader.parquet(path))
 
 
 def with_event_time(stream: DataFrame, strict: bool = True) -> DataFrame:

@@ -16,11 +16,15 @@ def daily(spark, values):
     )
 
 
-def test_features_of_a_normal_and_a_resting_day(spark):
-    out = add_features(daily(spark, [("2023-04-01", 100, 10.0), ("2023-04-02", 0, 5.0)]))
+def test_features_by_day(spark):
+    days = [("2024-02-29", 8000, 320.0), ("2024-03-03", 0, 95.5), ("2024-12-30", 1, 7.25)]
+    out = add_features(daily(spark, days))
     found = {r["date"]: (r["day_of_week"], r["calories_to_steps_ratio"]) for r in out.collect()}
-    assert found == {dt.date(2023, 4, 1): ("Sat", 0.1), dt.date(2023, 4, 2): ("Sun", 0.0)}
-    assert out.columns[:3] == ["date", "steps", "calories_burned"]
+    assert found == {
+        dt.date(2024, 2, 29): ("Thu", 0.04),
+        dt.date(2024, 3, 3): ("Sun", 0.0),
+        dt.date(2024, 12, 30): ("Mon", 7.25),
+    }
 
 
 @pytest.mark.parametrize("steps", [None, -1, 0])
@@ -102,7 +106,7 @@ def test_etl_reads_a_tree_once_and_writes_months(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "processed" / "year=2023").iterdir()) == ["month=4", "month=5"]
     assert table.count() == 12
     # Again: the table is replaced, not extended.
-    assert etl.run(spark, str(tmp_path / "raw"), out, clustered_input=False).num_records == 12
+    assert etl.run(spark, str(tmp_path / "raw"), out).num_records == 12
     assert spark.read.parquet(out).count() == 12
 
 

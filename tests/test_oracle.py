@@ -50,7 +50,7 @@ def test_every_sql_counterpart_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.telemetry_queries()))
 def test_query(spark, duck, sf_dir, name):
     df = entry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)

@@ -27,6 +27,7 @@ CASES = {
     "one hot value": np.concatenate([np.full(2000, 7.0), np.linspace(0, 20, 3000)]),
     "all equal": np.full(3000, 2.5),
     "heavy tail": np.concatenate([np.exp(np.linspace(0, 300, 2000)), np.linspace(0, 1, 2000)]),
+    "infinities": np.concatenate([np.full(700, -np.inf), np.linspace(0, 1, 1000), np.full(900, np.inf)]),
     "two extremes": np.concatenate([np.full(1500, -1e308), np.full(1500, 1e308), [0.0]]),
 }
 
@@ -34,12 +35,12 @@ CASES = {
 @pytest.mark.parametrize("case", CASES)
 def test_located_quantiles_are_exact(spark, case):
     values = CASES[case]
-    found = by_prob(quantile_rows(frame(spark, values), ("x",), PROBS, ranked_rows=100))
+    found = by_prob(quantile_rows(frame(spark, values), ("x",), PROBS, at_once=100))
     ordered = np.sort(values)
     for prob, value in zip(PROBS, found):
         pos = prob * (len(values) - 1)
         low, high = ordered[int(np.floor(pos))], ordered[int(np.ceil(pos))]
-        exact = low if low == high else (np.ceil(pos) - pos) * low + (pos - np.floor(pos)) * high
+        exact = low if low == high or pos == np.floor(pos) else (np.ceil(pos) - pos) * low + (pos - np.floor(pos)) * high
         assert value == pytest.approx(exact, rel=1e-12)
 
 
@@ -55,7 +56,7 @@ def test_both_ways_agree_per_group_with_missing_keys_and_values(spark):
         }
     )
     small = quantile_rows(df, ("x", "y"), PROBS, ("g",))
-    located = quantile_rows(df, ("x", "y"), PROBS, ("g",), ranked_rows=50)
+    located = quantile_rows(df, ("x", "y"), PROBS, ("g",), at_once=50)
     key = lambda r: (str(r["g"]), r["metric"], r["prob"])
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, located.collect()), key=str)
     assert len({key(r) for r in located.collect()}) == 3 * 2 * len(PROBS)
@@ -64,7 +65,7 @@ def test_both_ways_agree_per_group_with_missing_keys_and_values(spark):
 def test_figures_and_quantiles_come_together(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": ["a", "a", "b"], "x": [1.0, 3.0, 5.0]}))
     for limit in (1, 100):
-        rows = aggregate_with_quantiles(df, ("x",), (0.5,), ("g",), [F.count("*").alias("n")], ranked_rows=limit)
+        rows = aggregate_with_quantiles(df, ("x",), (0.5,), ("g",), [F.count("*").alias("n")], at_once=limit)
         assert sorted((r["g"], r["n"], r["x__q"]) for r in rows.collect()) == [("a", 2, [2.0]), ("b", 1, [5.0])]
 
 
@@ -77,5 +78,5 @@ def test_empty_input_gives_nulls(spark):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=60))
 def test_any_values(spark, values):
-    found = by_prob(quantile_rows(frame(spark, values), ("x",), PROBS, ranked_rows=5))
+    found = by_prob(quantile_rows(frame(spark, values), ("x",), PROBS, at_once=5))
     assert found == pytest.approx(expected(values), rel=1e-9, abs=1e-30)

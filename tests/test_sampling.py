@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from paceframe.functions.columns import hash_digest
 from paceframe.operators import sampling
 
 
@@ -23,23 +24,22 @@ def test_split_depends_on_the_seed(spark):
 
 def test_prefilter_does_not_change_the_sample(spark):
     df = spark.range(20000).withColumnRenamed("id", "k")
-    plain = {r["k"] for r in sampling.fixed_size_sample(df, ("k",), 300).collect()}
-    cut = {r["k"] for r in sampling.fixed_size_sample(df, ("k",), 300, prefilter_rows=10).collect()}
-    assert plain == cut and len(plain) == 300
+    cut = {r["k"] for r in sampling.fixed_size_sample(df, ("k",), 300).collect()}
+    plain = df.orderBy(hash_digest(("k",), 42), "k").limit(300)
+    assert {r["k"] for r in plain.collect()} == cut and len(cut) == 300
     assert sampling.fixed_size_sample(df.limit(50), ("k",), 300).count() == 50
 
 
 def test_repeated_keys_still_fill_the_sample(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"))
-    assert sampling.fixed_size_sample(df, ("k",), 300, prefilter_rows=10).count() == 300
+    assert sampling.fixed_size_sample(df, ("k",), 300).count() == 300
 
 
 def test_groups_of_any_size_are_filled(spark):
     group = F.when(F.col("id") < 40, "small").when(F.col("id") < 9000, "hot")
     df = spark.range(10000).select(F.col("id").alias("k"), group.alias("g"))
-    plain = sampling.sample_per_group(df, ("g",), ("k",), 100)
-    cut = sampling.sample_per_group(df, ("g",), ("k",), 100, prefilter_rows=10)
-    assert {r["k"] for r in plain.collect()} == {r["k"] for r in cut.collect()}
+    cut = sampling.sample_per_group(df, ("g",), ("k",), 100)
+    assert {r["k"] for r in sampling.sample_per_group(df.repartition(7), ("g",), ("k",), 100).collect()} == {r["k"] for r in cut.collect()}
     assert {r["g"]: r["count"] for r in cut.groupBy("g").count().collect()} == {"small": 40, "hot": 100, None: 100}
 
 
