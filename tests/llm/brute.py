@@ -60,6 +60,14 @@ def similar_components(rows):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
+def near_lines(a, b, edits):
+    """Whether the edit distance is small; an edit changes the counts of two characters at most."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    x, y = Counter(a), Counter(b)
+    return (x - y).total() + (y - x).total() <= 2 * edits and edit_distance(a, b) <= edits
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -81,7 +89,7 @@ def removed_lines(rows, edits=2, min_chars=20):
                 first.setdefault(line, (doc_id, n))
     out = defaultdict(list)
     for doc_id, n, line in places:
-        earlier = [(first[x], x == line) for x in first if x == line or (abs(len(x) - len(line)) <= edits and edit_distance(x, line) <= edits)]
+        earlier = [(first[x], x == line) for x in first if x == line or near_lines(x, line, edits)]
         earlier = [e for e in earlier if e[0] < (first[line] if not e[1] else (doc_id, n))]
         if earlier:
             (of_doc, of_line), exact = min(earlier)
