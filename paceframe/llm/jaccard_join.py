@@ -40,8 +40,10 @@ BLOCK_SHINGLES = 4_000_000
 MAX_FREQUENT = 1_000_000
 # Rounds that merge components before all pairs between them are tried, and partners a document
 # tries in each.
-ROUNDS = 4
+ROUNDS = 3
 PARTNERS = 2
+# Ids of documents are broadcast up to so many, 16 MB; more are joined by a shuffle.
+MAX_BROADCAST = 2_000_000
 
 
 def needed_overlap(n: Column, m: Column) -> Column:
@@ -253,6 +255,9 @@ class _Join:
         """Those of the pairs (a, b) that are links."""
         pairs = materialise(pairs.select("a", "b"), "possible")
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        ids = materialise(ids, "wanted")
+        if ids.count() <= MAX_BROADCAST:
+            ids = F.broadcast(ids)  # else all texts are shuffled to find these
         texts = materialise(
             self.docs.mapInPandas(packed_texts, "doc_id long, packed binary").join(ids, "doc_id", "left_semi"), "texts", compression="none"
         )
