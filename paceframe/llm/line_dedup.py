@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -106,6 +106,13 @@ def character_bits(line: str) -> int:
     return bits - 2**31
 
 
+def near_parities(a: str, b: str) -> Column:
+    """Whether so few parities differ that EDITS edits can explain them."""
+    # bit_count widens an int with its sign, which would count parity 31 another 32 times.
+    differ = F.col(a).bitwiseXOR(F.col(b)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.bit_count(differ) <= 2 * EDITS
+
+
 def within_edits(a: str, b: str, edits: int = EDITS) -> bool:
     """Whether the edit distance is at most ``edits``.
 
@@ -232,8 +239,7 @@ def line_links(docs: DataFrame, parts: int) -> DataFrame:
     x = shared.where("not probe").select("segment", F.col("k1").alias("a1"), F.col("bits").alias("bits_a"))
     y = shared.select("segment", F.col("k1").alias("b1"), F.col("bits").alias("bits_b"), "probe")
     different = (F.col("a1") < F.col("b1")) | (F.col("probe") & (F.col("a1") != F.col("b1")))
-    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 2 * EDITS
-    pairs = x.join(y, "segment").where(different & near)
+    pairs = x.join(y, "segment").where(different & near_parities("bits_a", "bits_b"))
     pairs = materialise(pairs.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct(), "pairs")
     wanted = materialise(pairs.select(F.col("a1").alias("k1")).unionByName(pairs.select(F.col("b1").alias("k1"))).distinct(), "wanted")
     lines = docs.mapInPandas(_lines, "k1 long, k2 long, text string")

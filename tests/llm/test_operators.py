@@ -76,6 +76,23 @@ def test_line_dedup(odd_docs, texts):
         assert found[i]["removed_lines"] == f"removed_lines{i}"
 
 
+def test_line_dedup_with_edits_of_every_parity_class(spark):
+    """In Spark, where the parities are compared as signed integers."""
+    classes = {}
+    for c in map(chr, [*range(33, 127), *range(0xC0, 0x180), *range(0x391, 0x450)]):
+        classes.setdefault(line_dedup.character_bits(c) + 2**31, c)
+    assert sorted(classes) == [1 << i for i in range(32)]
+    rng, rows = random.Random(12), []
+    for c in classes.values():
+        line = "".join(rng.choice("0123456789 ") for _ in range(30))
+        first = f"a{line}b"
+        rows += [(len(rows) + i, t) for i, t in enumerate([first, f"a{line[:15]}{c}{line[15:]}b", f"a{line}{c}"])]
+    found = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    expected = brute.removed_lines(rows)
+    assert sum(map(len, expected.values())) == 64
+    assert {i: [tuple(r) for r in found[i]["removed_lines"]] for i, _ in rows} == {i: expected[i] for i, _ in rows}
+
+
 def test_line_dedup_of_repeated_rows(repeated_docs):
     rows = line_dedup.dedup_lines(repeated_docs).collect()
     assert sorted((r["doc_id"] or 9, r["text"]) for r in rows if r["text"] is not None) == sorted(
