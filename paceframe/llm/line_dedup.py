@@ -34,11 +34,11 @@ SIGNATURE = "segment long, k1 long, bits int, probe boolean"
 MAX_BROADCAST = 2_000_000
 
 
-def compared(text: str | None) -> Iterator[tuple[int, str]]:
+def compared(text: str | None, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, str]]:
     """The lines of a text that are long enough to be compared, without white space around them."""
     for number, line in enumerate((text or "").split("\n")):
         line = line.strip(_WHITE)
-        if len(line) >= MIN_CHARS:
+        if len(line) >= min_chars:
             yield number, line
 
 
@@ -171,10 +171,13 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(*line_key(line), doc_id, number) for doc_id, text in zip(batch["doc_id"], batch["text"]) for number, line in compared(text)]
-        yield pd.DataFrame(rows, columns=["k1", "k2", "doc_id", "line"]).astype({"k1": "int64", "k2": "int64", "doc_id": "int64", "line": "int32"})
+def _occurrences(min_chars: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*line_key(line), doc_id, number) for doc_id, text in zip(batch["doc_id"], batch["text"]) for number, line in compared(text, min_chars)]
+            yield pd.DataFrame(rows, columns=["k1", "k2", "doc_id", "line"]).astype({"k1": "int64", "k2": "int64", "doc_id": "int64", "line": "int32"})
+
+    return run
 
 
 def _different_lines(batch: pd.DataFrame) -> dict[tuple[int, int], str]:
@@ -252,15 +255,18 @@ def line_links(docs: DataFrame, parts: int) -> DataFrame:
     return pairs.join(a, "a1").join(b, "b1").mapInPandas(_verified, "a1 long, a2 long, b1 long, b2 long")
 
 
-def repeated_lines(df: DataFrame, parts: int | None = None) -> DataFrame:
+def repeated_lines(df: DataFrame, parts: int | None = None, exact_chars: int = MIN_CHARS) -> DataFrame:
     """One row per removed line: doc_id, line, k1 (of its text), of_doc, of_line, exact.
 
-    ``of_doc`` and ``of_line`` are the earliest line that is equal (``exact``) or within EDITS
-    edits. A null id counts as the largest.
+    ``of_doc`` and ``of_line`` are the earliest line that is equal (``exact``) or, for lines of
+    MIN_CHARS characters or more, within EDITS edits. Equal lines are found from ``exact_chars``
+    characters on. A null id counts as the largest.
     """
+    if not 1 <= exact_chars <= MIN_CHARS:
+        raise ValueError(f"exact_chars must lie between 1 and {MIN_CHARS}")
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
-    occurrences = materialise(docs.mapInPandas(_occurrences, OCCURRENCE), "occurrences")
+    occurrences = materialise(docs.mapInPandas(_occurrences(exact_chars), OCCURRENCE), "occurrences")
     firsts = occurrences.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     firsts = materialise(firsts, "firsts")
     links = materialise(line_links(docs, parts), "links")
@@ -282,34 +288,38 @@ def repeated_lines(df: DataFrame, parts: int | None = None) -> DataFrame:
     return removed.select("doc_id", "line", "k1", of_line["doc_id"].alias("of_doc"), of_line["line"].alias("of_line"), (of_line == F.col("first")).alias("exact"))
 
 
-@F.pandas_udf(StringType())
-def _without_lines(text: pd.Series, lines: pd.Series, keys: pd.Series) -> pd.Series:
-    def rest(t: str | None, numbers, own) -> str | None:
-        if t is None or numbers is None:
-            return t
-        # Rows may share an id: a line goes only if it is the text that was found there.
-        gone = set(zip(numbers, own))
-        dropped = {n for n, line in compared(t) if (n, line_key(line)[0]) in gone}
-        return "\n".join(line for n, line in enumerate(t.split("\n")) if n not in dropped)
+def _without_lines(min_chars: int):
+    @F.pandas_udf(StringType())
+    def run(text: pd.Series, lines: pd.Series, keys: pd.Series) -> pd.Series:
+        def rest(t: str | None, numbers, own) -> str | None:
+            if t is None or numbers is None:
+                return t
+            # Rows may share an id: a line goes only if it is the text that was found there.
+            gone = set(zip(numbers, own))
+            dropped = {n for n, line in compared(t, min_chars) if (n, line_key(line)[0]) in gone}
+            return "\n".join(line for n, line in enumerate(t.split("\n")) if n not in dropped)
+
+        return pd.Series([rest(*row) for row in zip(text, lines, keys)], dtype=object)
 
-    return pd.Series([rest(*row) for row in zip(text, lines, keys)], dtype=object)
+    return run
 
 
-def dedup_lines(df: DataFrame, parts: int | None = None, report: str = "removed_lines") -> DataFrame:
+def dedup_lines(df: DataFrame, parts: int | None = None, report: str = "removed_lines", exact_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of ``df`` with their repeated lines taken out of ``text``, and the column
     ``report``, which replaces one of that name: (line, of_doc, of_line, exact) of each, in order.
 
-    Only lines of MIN_CHARS characters or more are compared, without the white space around
-    them; shorter ones stay. Null texts stay null; no row is dropped, also where no line is left.
+    Lines are compared without the white space around them, those of MIN_CHARS characters or more
+    with EDITS edits, shorter ones of ``exact_chars`` or more for equality (1: every line that is
+    not empty); lines that are shorter still stay. Null texts stay null; no row is dropped, also where no line is left.
     Rows that share an id count as one document, within which a line at the same place is one
     line. All other columns pass unchanged, whatever their names.
     """
-    found = repeated_lines(df, parts)
+    found = repeated_lines(df, parts, exact_chars)
     entry = F.struct("line", "k1", F.nullif("of_doc", F.lit(_LAST)).alias("of_doc"), "of_line", "exact")
     by_doc = found.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("gone"))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     joined = df.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id")).join(by_doc, "doc_id", "left")
-    text = _without_lines(F.col("row.text"), F.col("gone.line"), F.col("gone.k1"))
+    text = _without_lines(exact_chars)(F.col("row.text"), F.col("gone.line"), F.col("gone.k1"))
     removed = F.transform(F.coalesce("gone", F.array().cast(by_doc.schema["gone"].dataType)), lambda g: F.struct(g["line"].alias("line"), g["of_doc"].alias("of_doc"), g["of_line"].alias("of_line"), g["exact"].alias("exact")))
     columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns if c != report]
     return joined.select(*columns, removed.alias(report))

@@ -93,6 +93,17 @@ def test_line_dedup_with_edits_of_every_parity_class(spark):
     assert {i: [tuple(r) for r in found[i]["removed_lines"]] for i, _ in rows} == {i: expected[i] for i, _ in rows}
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["Les.\n a line that is long enough to be near\n\nOf", "a line that is long enough to be nearer\n Les. \nof\n\n", "Les\nOf\nLes.\nOf", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = by_id(line_dedup.dedup_lines(docs, exact_chars=1))
+    removed = [[tuple(r) for r in found[i]["removed_lines"]] for i in range(4)]
+    near = [(0, 0, 1, False)]
+    assert removed == [[], [*near, (1, 0, 0, True)], [(1, 0, 3, True), (2, 0, 0, True), (3, 0, 3, True)], []]
+    assert [found[i]["text"] for i in range(4)] == [texts[0], "of\n\n", "Les", None]
+    assert [tuple(r) for r in by_id(line_dedup.dedup_lines(docs))[1]["removed_lines"]] == near
+
+
 def test_line_dedup_of_repeated_rows(repeated_docs):
     rows = line_dedup.dedup_lines(repeated_docs).collect()
     assert sorted((r["doc_id"] or 9, r["text"]) for r in rows if r["text"] is not None) == sorted(
