@@ -8,6 +8,9 @@ that holds a template of one shingle agrees with it in half of all shingles at l
 hold two of a template's in all, so a template is missed with a probability of at most
 2 ** -BANDS in each of its windows. Retrieved templates are matches if the text has at least
 ``containment`` of their shingles.
+
+A template of fewer than five words is one shingle of its own length, whose hash is its only band:
+every run of so many words of a text is looked up, so none is missed.
 """
 
 from __future__ import annotations
@@ -39,6 +42,23 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ]
 
+# Notices that op6_license_scan leaves out, since the SQL it is compared with has no short ones.
+NOTICES = [
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "MIT License"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("BSD", "SPDX-License-Identifier: BSD"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+]
+
 
 def words_of(text: Column) -> Column:
     folded = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")
@@ -73,30 +93,48 @@ def _bands(step: int, last: Column) -> Column:
     return F.flatten(F.transform(starts, of_window))
 
 
+def _runs(words: str, n: int) -> Column:
+    """A hash of each run of ``n`` words, from the hashes of the words; runs cut by the end come last."""
+    return F.transform(words, lambda x, i: F.xxhash64(F.lit(n), x, *[F.get(F.col(words), i + k) for k in range(1, n)]))
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, license, shingles, bands) of templates with five words or more, by their place."""
+    """(template, license, words, shingles, bands) of templates with words, by their place."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string")
-    rows = _with_shingles(rows.withColumn("w", words_of(F.col("text")))).where(F.size("h") > 0)
+    rows = rows.withColumn("w", words_of(F.col("text"))).withColumn("x", F.transform("w", lambda x: F.xxhash64(x)))
+    rows = _with_shingles(rows).where(F.size("w") > 0)
     # Whole windows at every word, or the one short window of a single shingle.
     bands = _bands(1, F.greatest(F.lit(1), F.size("h") - (WINDOW_SHINGLES - 1)))
-    return rows.select("template", "license", F.array_distinct("h").alias("shingles"), F.array_distinct(bands).alias("bands"))
+    short = F.coalesce(*[F.when(F.size("w") == n, F.slice(_runs("x", n), 1, 1)) for n in range(1, SHINGLE_WORDS)])
+    return rows.select(
+        "template", "license", F.size("w").alias("words"),
+        F.coalesce(short, F.array_distinct("h")).alias("shingles"), F.coalesce(short, F.array_distinct(bands)).alias("bands"),
+    )
 
 
 def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = 0.8) -> DataFrame:
     """One row per match: doc_id, license, template (its place in the list), n_shared, n_shingles.
 
     ``n_shared`` counts the different shingles of the template that the text has, which are at
-    least ``containment`` of its ``n_shingles``. Null texts and texts of fewer than five words
-    match nothing. Rows that repeat an id have matches of their own. Templates are a parameter of
-    bounded size; those with fewer than five words can't be found. Columns besides doc_id and
-    text are not read.
+    least ``containment`` of its ``n_shingles``; a template of fewer than five words has one, the
+    whole of it. Null texts match nothing. Rows that repeat an id have matches of their own.
+    Templates are a parameter of bounded size, TEMPLATES and NOTICES if it is left out; those
+    without words can't be found. Columns besides doc_id and text are not read.
     """
     spark = df.sparkSession
-    known = materialise(template_table(spark, TEMPLATES if templates is None else templates), "templates")
+    known = materialise(template_table(spark, [*TEMPLATES, *NOTICES] if templates is None else templates), "templates")
     keys = known.agg(F.array_distinct(F.flatten(F.collect_list("bands")))).scalar()
     rows = _with_shingles(df.select("doc_id", words_of(F.col("text")).alias("w")))
+    bands = _bands(WINDOW_SHINGLES, F.size("h"))
+    lengths = sorted(r["words"] for r in known.where(F.col("words") < SHINGLE_WORDS).select("words").distinct().collect())
+    if lengths:
+        short_keys = known.where(F.col("words") < SHINGLE_WORDS).agg(F.array_distinct(F.flatten(F.collect_list("bands")))).scalar()
+        rows = rows.withColumn("x", F.transform("w", lambda x: F.xxhash64(x)))
+        rows = rows.withColumn("short", F.array_intersect(F.concat(*[_runs("x", n) for n in lengths]), short_keys))
+        rows = rows.withColumn("bands", bands).withColumn("h", F.concat("h", "short"))
+        bands = F.concat("bands", "short")
     # The row number keeps the filter from being computed apart from the bands.
-    found = F.array_intersect(_bands(WINDOW_SHINGLES, F.size("h")), keys).alias("hits")
+    found = F.array_intersect(bands, keys).alias("hits")
     hits = rows.select("doc_id", "h", F.monotonically_increasing_id().alias("use"), found).where(F.size("hits") > 0)
     by_band = known.select("template", "license", "shingles", F.explode("bands").alias("band"))
     retrieved = hits.withColumn("band", F.explode("hits")).join(F.broadcast(by_band), "band")

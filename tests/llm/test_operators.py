@@ -304,6 +304,17 @@ def test_licenses(spark):
     assert found[0, 0]["n_shared"] == found[0, 0]["n_shingles"] == 1
 
 
+def test_short_notices(spark):
+    texts = ["All rights reserved.", "x y\nALL RIGHTS\nreserved", "all rights are reserved", "rights reserved all", "all rights", None, "", "SPDX-License-Identifier: MIT", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [("A", "All rights reserved."), ("B", "..."), ("C", "one"), ("D", "MIT"), ("E", "identifier mit"), ("F", "SPDX license identifier: MIT")]
+    found = sorted((r["doc_id"], r["license"], r["n_shared"], r["n_shingles"]) for r in licenses.scan(docs, own).collect())
+    assert found == [(0, "A", 1, 1), (1, "A", 1, 1), (7, "D", 1, 1), (7, "E", 1, 1), (7, "F", 1, 1), (8, "C", 1, 1)]
+    whole = {(i, t) for i, (_, t) in enumerate([*licenses.TEMPLATES, *licenses.NOTICES])}
+    found = {(r["doc_id"], r["template"]) for r in licenses.scan(spark.createDataFrame(whole, "doc_id long, text string")).collect()}
+    assert {(i, i) for i, _ in whole} <= found
+
+
 # Quality rules
 
 
