@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 ORDER = 3
 UNKNOWN = "und"
-# Training reads whole texts of each language up to so many bytes, the lowest digests of the id first.
+# Training reads so many bytes of each language, the lowest digests of the id first; the last text is cut there.
 TRAIN_BYTES = 3_000_000
 MAX_LANGUAGES = 64
 CHUNK_BYTES = 1 << 20
@@ -153,10 +153,11 @@ class Trees:
 
 
 def count_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, depth, string, n): strings of every order, added up per batch."""
+    """(lang, depth, string, n): strings of every order in the first ``room`` bytes of each text,
+    added up per batch."""
     for batch in batches:
         for lang, rows in batch.groupby("lang"):
-            texts = [t.encode() for t in rows["text"]]
+            texts = [t.encode()[:room] for t, room in zip(rows["text"], rows["room"])]
             for order in range(ORDER + 1):
                 found, n = np.unique(strings(texts, order), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "depth": order, "string": found.astype(np.int64), "n": n})
@@ -165,20 +166,26 @@ def count_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(df: DataFrame, train_bytes: int = TRAIN_BYTES) -> Trees | None:
     """Trees from the rows of ``df`` (text, lang, doc_id) that have both; None if there are none.
 
-    Only whole texts are counted, at most ``train_bytes`` of a language in the order of a digest
-    of the id, so the trees are bounded: at most as many strings of a length as bytes. The
-    ``MAX_LANGUAGES`` languages with most rows are learned.
+    The first ``train_bytes`` of a language are counted in the order of a digest of the id, or of
+    the text where the id is null, so the trees are bounded: at most as many strings of a length
+    as bytes. The text that crosses the bound is counted up to there. The ``MAX_LANGUAGES``
+    languages with most rows are learned.
     """
-    rows = df.where("text is not null and lang is not null").select("lang", "text", F.md5(F.col("doc_id").cast("string")).alias("digest"), F.octet_length("text").alias("bytes"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
+    size = F.least(F.octet_length("text"), F.lit(train_bytes))
+    rows = df.where("text <> '' and lang is not null").select("lang", "text", digest.alias("digest"), size.alias("bytes"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("digest").alias("first")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return None
-    # A share of the digests that holds twice the bytes wanted bounds what the window sorts.
+    # A share of the digests that holds twice the bytes wanted bounds what the window sorts; the
+    # lowest digest is learned also where the share holds none.
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * train_bytes / max(1, r["total"]))))])
+    lowest = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(r["first"]))])
     part = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") / 2**32
-    few = rows.where(part < F.try_element_at(share, F.col("lang")))
+    few = rows.where((part < F.try_element_at(share, F.col("lang"))) | (F.col("digest") == F.try_element_at(lowest, F.col("lang"))))
     upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("digest", "text").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = few.withColumn("upto", upto).where(F.col("upto") <= train_bytes).select("lang", "text")
+    room = F.least(F.col("bytes"), F.lit(train_bytes) - F.col("upto") + F.col("bytes"))
+    chosen = few.withColumn("upto", upto).select("lang", "text", room.cast("int").alias("room")).where("room > 0")
     counted = chosen.mapInPandas(count_strings, "lang string, depth int, string long, n long").groupBy("lang", "depth", "string").agg(F.sum("n").alias("n"))
     table = counted.toPandas()  # at most MAX_LANGUAGES * (ORDER + 1) * train_bytes rows
     languages = sorted(table["lang"].unique())

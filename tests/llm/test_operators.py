@@ -397,6 +397,16 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
 
 
+def test_language_of_texts_beyond_the_bound(spark):
+    """The only texts of aa are longer than the bound, of which dd's have null ids."""
+    rows = [(i, "ab cad bra " * 100, "aa") for i in (1, 2)] + [(i, "xyz zzy yx", "bb") for i in range(10, 40)]
+    rows += [(None, "mno pqr " * 200 + str(i), "dd") for i in range(3)]
+    rows += [(i, text, None) for i, text in ((101, "bra ab cad"), (102, "yx xyz"), (103, "pqr mno"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = by_id(language_id.identify(docs, train_bytes=300))
+    assert [found[i]["lang_pred"] for i in (1, 2, 101, 102, 103)] == ["aa", "aa", "aa", "bb", "dd"]
+
+
 def test_code_lengths_of_the_tree():
     def counts(text):
         out = []
