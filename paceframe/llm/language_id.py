@@ -22,11 +22,15 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceframe.session import materialise
+
 ORDER = 3
 UNKNOWN = "und"
 # Training reads so many bytes of each language, the lowest digests of the id first; the last text is cut there.
 TRAIN_BYTES = 3_000_000
-MAX_LANGUAGES = 64
+# Trees of so many languages are in memory at once; more are scored block by block.
+BLOCK_LANGUAGES = 64
+SCORED = "doc_id string, text string, held_out boolean, lang_pred string, bits double, mass double"
 CHUNK_BYTES = 1 << 20
 # Byte 0 stands for what precedes a text.
 _SHIFTS = [0, 8, 16, 24]
@@ -163,18 +167,22 @@ def count_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "depth": order, "string": found.astype(np.int64), "n": n})
 
 
-def train(df: DataFrame, train_bytes: int = TRAIN_BYTES) -> Trees | None:
-    """Trees from the rows of ``df`` (text, lang, doc_id) that have both; None if there are none.
+def languages_of(df: DataFrame) -> list[str]:
+    """Every language that a text of ``df`` has, by name."""
+    return sorted(r["lang"] for r in df.where("text <> '' and lang is not null").select("lang").distinct().collect())
+
+
+def train(df: DataFrame, languages: list[str], train_bytes: int = TRAIN_BYTES) -> Trees | None:
+    """Trees of ``languages`` from the rows of ``df`` (text, lang, doc_id); None if there are none.
 
     The first ``train_bytes`` of a language are counted in the order of a digest of the id, or of
     the text where the id is null, so the trees are bounded: at most as many strings of a length
-    as bytes. The text that crosses the bound is counted up to there. The ``MAX_LANGUAGES``
-    languages with most rows are learned.
+    as bytes. The text that crosses the bound is counted up to there.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
     size = F.least(F.octet_length("text"), F.lit(train_bytes))
-    rows = df.where("text <> '' and lang is not null").select("lang", "text", digest.alias("digest"), size.alias("bytes"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("digest").alias("first")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = df.where((F.col("text") != "") & F.col("lang").isin(languages)).select("lang", "text", digest.alias("digest"), size.alias("bytes"))
+    sizes = rows.groupBy("lang").agg(F.sum("bytes").alias("total"), F.min("digest").alias("first")).collect()
     if not sizes:
         return None
     # A share of the digests that holds twice the bytes wanted bounds what the window sorts; the
@@ -187,7 +195,7 @@ def train(df: DataFrame, train_bytes: int = TRAIN_BYTES) -> Trees | None:
     room = F.least(F.col("bytes"), F.lit(train_bytes) - F.col("upto") + F.col("bytes"))
     chosen = few.withColumn("upto", upto).select("lang", "text", room.cast("int").alias("room")).where("room > 0")
     counted = chosen.mapInPandas(count_strings, "lang string, depth int, string long, n long").groupBy("lang", "depth", "string").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()  # at most MAX_LANGUAGES * (ORDER + 1) * train_bytes rows
+    table = counted.toPandas()  # at most len(languages) * (ORDER + 1) * train_bytes rows
     languages = sorted(table["lang"].unique())
     if not languages:
         return None
@@ -206,22 +214,34 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def predict(trees: Broadcast):
+def predict(trees: Broadcast, last: bool):
+    """Rows of SCORED with the languages of ``trees`` added; ``last`` gives the score in place of
+    the text, of ``bits``, the least code length so far, and ``mass``, the sum of the likelihoods
+    of all languages so far, relative to that of ``lang_pred``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Trees | None = cloudpickle.loads(trees.value)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             known = np.array([model is not None and has_letter(t) for t in texts], dtype=bool)
-            lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+            lang = batch["lang_pred"].to_numpy(dtype=object, copy=True)
+            least, mass = (batch[c].to_numpy(dtype=float, copy=True) for c in ("bits", "mass"))
             if known.any():
                 data = [t.encode() for t, k in zip(texts, known) if k]
                 bits = model.lengths(data)
                 best = bits.argmin(axis=1)
+                own, before = bits.min(axis=1), least[known]
+                now = np.minimum(own, before)
                 # Probability of the language when all are as likely before.
-                gap = (bits - bits.min(axis=1, keepdims=True)) * math.log(2)
-                lang[known] = np.array(model.languages, dtype=object)[best]
-                score[known] = 1 / np.exp(-gap).sum(axis=1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang, "score": score})
+                gap = (bits - now[:, None]) * math.log(2)
+                mass[known] = mass[known] * np.exp((now - before) * math.log(2)) + np.exp(-gap).sum(axis=1)
+                lang[known] = np.where(own < before, np.array(model.languages, dtype=object)[best], lang[known])
+                least[known] = now
+            out = {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang}
+            if last:
+                yield pd.DataFrame(out | {"score": np.divide(1, mass, out=np.zeros(len(mass)), where=mass > 0)})
+            else:
+                yield pd.DataFrame(out | {"text": batch["text"], "bits": least, "mass": mass})
 
     return run
 
@@ -233,12 +253,27 @@ def identify(df: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     are null or have no letter, and all texts when there is nothing to learn from, are ``und``
     with score 0. Ties go to the first language by name. A null id is not held out. Rows that
     repeat an id have a row each. Columns besides doc_id, text and lang are not read.
+
+    Every language is learned. Beyond BLOCK_LANGUAGES the texts are written once for each further
+    block, with the best language so far.
     """
     rows = df.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    trees = train(rows.where("not held_out"), train_bytes)
-    # Packed with its class, which executors need not have.
-    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(trees))
+    labelled = rows.where("not held_out")
+    languages = languages_of(labelled)
     # An integer id becomes a float beside a null in pandas, so it travels as text.
-    typed = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out")
-    out = typed.mapInPandas(predict(sent), "doc_id string, held_out boolean, lang_pred string, score double")
+    out = rows.select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out",
+        F.lit(UNKNOWN).alias("lang_pred"), F.lit(math.inf).alias("bits"), F.lit(0.0).alias("mass"),
+    )
+    # By name, so that ties go to the first language.
+    blocks = [languages[i : i + BLOCK_LANGUAGES] for i in range(0, len(languages), BLOCK_LANGUAGES)] or [[]]
+    for block in blocks:
+        trees = train(labelled, block, train_bytes) if block else None
+        # Packed with its class, which executors need not have.
+        sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(trees))
+        if block is blocks[-1]:
+            out = out.mapInPandas(predict(sent, True), "doc_id string, held_out boolean, lang_pred string, score double")
+        else:
+            out = materialise(out.mapInPandas(predict(sent, False), SCORED), "scored", compression="zstd")
+            sent.destroy()
     return out.withColumn("doc_id", F.col("doc_id").cast(df.schema["doc_id"].dataType))

@@ -407,6 +407,18 @@ def test_language_of_texts_beyond_the_bound(spark):
     assert [found[i]["lang_pred"] for i in (1, 2, 101, 102, 103)] == ["aa", "aa", "aa", "bb", "dd"]
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    letters = [chr(0x4E00 + 40 * k) + chr(0x4E01 + 40 * k) for k in range(70)]
+    rows = [(i, letters[i % 70] * (9 if i < 350 else 2), f"l{i % 70:02}") for i in range(420)] + [(999, None, "l69"), (None, letters[69], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = by_id(language_id.identify(docs))
+    assert [found[i]["lang_pred"] for i in range(420)] == [r[2] for r in rows[:420]]
+    assert (found[999]["lang_pred"], found[999]["score"], found[None]["lang_pred"]) == ("und", 0, "l69")
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 100)
+    whole = by_id(language_id.identify(docs))
+    assert all(whole[i]["lang_pred"] == r["lang_pred"] and whole[i]["score"] == pytest.approx(r["score"], rel=1e-4) for i, r in found.items())
+
+
 def test_code_lengths_of_the_tree():
     def counts(text):
         out = []
