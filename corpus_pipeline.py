@@ -2,7 +2,8 @@
 
 Every stage works on all rows that its predecessor kept. All but the last return the columns of
 ``documents``: the first and third drop rows, the second shortens texts, the fourth repeats rows
-or leaves some out, as its weights ask. The last returns the ids of every text that is left.
+or leaves some out, as its weights ask. The last returns the ids of every text that is left, and
+whether they give it back.
 """
 
 from __future__ import annotations
@@ -45,10 +46,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the piece ids of every text; null texts have none."""
+    """doc_id, source and the piece ids of every text, and whether the text made from them again is
+    the same; null texts have none."""
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
-        encoded = pieces.encode_pieces(docs.select("doc_id", "source", "text"), file.read())
-    return encoded.select("doc_id", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids")
+        model = file.read()
+    encoded = pieces.encode_pieces(docs.select("doc_id", "source", "text", F.sha2("text", 256).alias("sha")), model)
+    decoded = pieces.decode_pieces(encoded.withColumn("piece_ids", F.col("ids")), model)
+    return decoded.select(
+        "doc_id",
+        "source",
+        F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_ids"),
+        F.col("piece_ids").alias("ids"),
+        F.col("sha").eqNullSafe(F.sha2("text", 256)).alias("exact"),
+    )
 
 
 STAGES = [

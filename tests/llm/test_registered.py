@@ -115,3 +115,13 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd_docs, repeated_docs, no_
 def test_run_gives_ids(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(r["n_ids"] == len(r["ids"]) for r in rows)
+
+
+def test_last_stage_decodes(spark, sf_dir, odd_docs, texts, monkeypatch):
+    stage = dict(corpus_pipeline.STAGES)["SentencePiece encoding and decoding"]
+    assert [r["exact"] for r in stage(spark, odd_docs, sf_dir).collect()] == [True] * len(texts)
+    decode = corpus_pipeline.pieces.decode_pieces
+    spoiled = lambda df, model: decode(df, model).withColumn("text", corpus_pipeline.F.concat("text", corpus_pipeline.F.lit("x")))
+    monkeypatch.setattr(corpus_pipeline.pieces, "decode_pieces", spoiled)
+    found = {r["doc_id"]: r["exact"] for r in stage(spark, odd_docs, sf_dir).collect()}
+    assert [found[i] for i in range(len(texts))] == [t is None for t in texts]
