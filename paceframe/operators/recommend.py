@@ -14,6 +14,7 @@ from paceframe.session import materialise, shared_dir
 from paceframe.sources.readers import rows
 
 INT_MAX = 2**31 - 1
+# Items of a block, which are scored together.
 MAX_ITEMS = 1000
 
 
@@ -95,15 +96,12 @@ def fit_als(indexed: DataFrame, max_iter: int = 5, reg: float = 0.01, seed: int
 def top_items(model: ALSModel, k: int = 3, max_items: int = MAX_ITEMS) -> DataFrame:
     """The best ``k`` items of every user as (user_no, recommendations) lists.
 
-    The factors of the items, one per activity, travel to the user factors as one array; each
-    user is scored where it lies, without pairing the two tables. Catalogues beyond
-    ``max_items`` go through Spark's blocked product instead.
+    Scores are sums of doubles and ties go to the smaller id, whatever the size of the catalogue.
+    The factors of up to ``max_items`` items, one per activity, travel to the user factors as one
+    array; each user is scored where it lies, without pairing the two tables. Larger catalogues
+    are dealt into blocks of about so many, and the best of each block meet in an aggregation.
     """
-    if model.itemFactors.count() > max_items:
-        return model.recommendForAllUsers(k)
-    items = model.itemFactors.agg(
-        F.array_sort(F.collect_list(F.struct("id", "features"))).alias("items")
-    ).scalar()
+    listed = F.array_sort(F.collect_list(F.struct("id", "features"))).alias("items")
 
     def scored(item: Column) -> Column:
         products = F.zip_with("features", item["features"], lambda x, y: x.cast("double") * y)
@@ -111,7 +109,16 @@ def top_items(model: ALSModel, k: int = 3, max_items: int = MAX_ITEMS) -> DataFr
         return F.struct((-score).alias("minus"), item["id"].alias("id"))
 
     best = F.slice(F.array_sort(F.transform("items", scored)), 1, k)
-    return model.userFactors.withColumn("items", items).select(
+    blocks = -(-model.itemFactors.count() // max(1, max_items))
+    if blocks <= 1:
+        users = model.userFactors.withColumn("items", model.itemFactors.agg(listed).scalar())
+    else:
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+        items = materialise(model.itemFactors.groupBy(block).agg(listed), "items")
+        found = model.userFactors.crossJoin(items.select("items")).select("id", best.alias("best"))
+        users = found.groupBy("id").agg(F.flatten(F.collect_list("best")).alias("best"))
+        best = F.slice(F.array_sort("best"), 1, k)
+    return users.select(
         F.col("id").alias("user_no"),
         F.transform(
             best, lambda b: F.struct(b["id"].alias("item_id"), (-b["minus"]).alias("rating"))

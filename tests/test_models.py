@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -161,6 +163,34 @@ def test_scores_equal_the_blocked_product(telemetry):
         assert [b["rating"] for b in best] == pytest.approx([b["rating"] for b in theirs[user]], abs=1e-4)
 
 
+def test_blocks_of_items_change_nothing(spark):
+    rng = random.Random(13)
+    vector = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]  # noqa: E731  # many ties
+    users = {i: vector() for i in range(20)}
+    items = {i: vector() for i in range(50)}
+    factors = [spark.createDataFrame(list(t.items()), "id int, features array<float>") for t in (users, items)]
+
+    class Model:
+        userFactors, itemFactors = factors
+
+        def recommendForAllUsers(self, k):
+            raise AssertionError("ties by no rule")
+
+    expected = {u: sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in items.items())[:4] for u, x in users.items()}
+    for size in (50, 7, 1):
+        found = recommend.top_items(Model(), 4, max_items=size).collect()
+        assert {r["user_no"]: [(-b["rating"], b["item_id"]) for b in r["recommendations"]] for r in found} == expected
+        assert len(found) == 20
+
+
+def test_scores_equal_those_of_spark(telemetry):
+    model = recommend.fit_als(recommend.index_ratings(summaries.ratings(telemetry)).ratings)
+    ours = {r["user_no"]: [b["rating"] for b in r["recommendations"]] for r in recommend.top_items(model, 3, max_items=1).collect()}
+    theirs = {r["user_no"]: [b["rating"] for b in r["recommendations"]] for r in model.recommendForAllUsers(3).collect()}
+    assert set(ours) == set(theirs)
+    assert all(ours[user] == pytest.approx(best, abs=1e-4) for user, best in theirs.items())
+
+
 def test_dense_ids_are_consecutive(spark):
     df = spark.range(100).select((F.col("id") * 10**10).alias("u")).union(spark.range(5).select("id"))
     ids = sorted(r["n"] for r in recommend.dense_ids(df, "u", "n").collect())
