@@ -5,10 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from paceframe.llm import exact_dedup, jaccard_join, language_id, licenses, line_dedup, mixing, pieces, quality_rules, suffix_dedup, token_files
+from paceframe.llm import (
+    conversations,
+    exact_dedup,
+    hard_negatives,
+    jaccard_join,
+    language_id,
+    licenses,
+    line_dedup,
+    mixing,
+    pieces,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
 from paceframe.llm.common import documents
 from paceframe.plans.registry import Registry
-from paceframe.session import scratch_path
+from paceframe.session import materialise, scratch_path
 
 QUERIES = Registry()
 
@@ -90,3 +104,39 @@ def op6_license_scan(spark, sf):
 def op8_suffix_dedup(spark, sf):
     """What stays of every text without strings of 200 bytes that occur elsewhere."""
     return suffix_dedup.remove_repeats(documents(spark, sf)).drop("rest")
+
+
+@QUERIES.add
+def op11_token_counts(spark, sf):
+    """Tokens of every text, as the tokenizer of the file cuts it."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as model:
+        counted = token_counts.count_tokens(documents(spark, sf).select("doc_id", "text"), model.read())
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@QUERIES.add
+def op12_hard_negatives(spark, sf):
+    """Rows of other labels that score just below the nearest rows of an anchor's label."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@QUERIES.add
+def op13_conversation_repair(spark, sf):
+    """Faults of damaged conversations and their cheapest repair."""
+    given = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = conversations.damaged(given)
+    found = materialise(conversations.audits(rows), "audits")
+    digests = conversations.repaired_digests(rows, found)
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    ids = given.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    # A null id is an id like any other; a conversation without rows has no audit.
+    whole = ids.join(found, F.col("id").eqNullSafe(found["conv_id"]), "left").drop("conv_id")
+    whole = whole.join(digests, F.col("id").eqNullSafe(digests["conv_id"]), "left").drop("conv_id")
+    return whole.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
