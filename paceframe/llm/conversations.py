@@ -166,8 +166,9 @@ def align(codes: bytes) -> tuple[int, str]:
     for i, k in starts:
         # Behind a system turn: the rows before it are deleted.
         lead = "D" * (i - 1) + "K" if i else ""
-        audits.append(_with_forced(lead + table.audit(i, k), rows))
-    return base + best, min(audits)
+        audits.append(lead + table.audit(i, k))
+    # Forced deletions stand at the same places in all.
+    return base + best, min(_with_forced(a, rows) for a in audits)
 
 
 def _with_forced(audit: str, rows: np.ndarray) -> str:

@@ -154,3 +154,89 @@ GROUP BY rid, doc_id, license, template HAVING count(*) * 100 >= any_value(n_shi
 
 
 ORACLE["op6_license_scan"] = license_sql()
+
+
+ORACLE["op12_hard_negatives"] = """
+WITH given AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id,
+    CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, r.q)]) AS BIGINT) AS score
+  FROM given a JOIN given r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+# The cheapest repair as a walk through the states of the grammar: '' before any turn, else the
+# initial of the last one. Each step takes a row and then inserts what is useful.
+ORACLE["op13_conversation_repair"] = r"""
+WITH RECURSIVE white AS (SELECT chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' AS w),
+named AS (
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(
+      flatten([[(CAST(ascii(substr(name, CAST(i AS BIGINT), 1)) AS BIGINT) >> CAST(k AS BIGINT)) & 1 FOR k IN range(0, 8)] FOR i IN range(1, len(name) + 1)]),
+      lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS fault
+  FROM named),
+hurt AS (
+  SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM summed WHERE fault <> 0),
+placed AS (
+  SELECT conv, turn, role, text, left(role, 1) AS initial, rtrim(text, w) AS body,
+    row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS i
+  FROM hurt, white),
+marked AS (
+  SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS duplicate,
+    lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair
+  FROM placed),
+faulty AS (SELECT *, NOT blank AND NOT duplicate AND right(body, 1) NOT IN ('.', '!', '?') AS truncated FROM marked),
+steps(st, initial, nxt) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+inserts(st, nxt, cost, audit, made) AS (VALUES
+  ('', '', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''),
+  ('', 'u', 2, 'I', 'user:'), ('', 'a', 4, 'II', 'user:' || chr(10) || 'assistant:'),
+  ('s', 'u', 2, 'I', chr(10) || 'user:'), ('s', 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('u', 'a', 2, 'I', chr(10) || 'assistant:'), ('a', 'u', 2, 'I', chr(10) || 'user:')),
+edits AS (
+  SELECT conv, i, st, st AS nxt, 3 AS cost, 'D' AS audit, '' AS made FROM faulty, (VALUES (''), ('s'), ('u'), ('a')) v(st)
+  UNION ALL
+  SELECT conv, i, st, nxt, CAST(truncated AS INTEGER), 'K', CASE WHEN st = '' THEN '' ELSE chr(10) END || role || ':' || text
+  FROM faulty JOIN steps USING (initial) WHERE NOT blank AND NOT duplicate
+  UNION ALL
+  SELECT conv, i, st, nxt, 2 + CAST(truncated AS INTEGER), 'R',
+    CASE WHEN st = '' THEN '' ELSE chr(10) END || CASE steps.initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text
+  FROM faulty, steps WHERE steps.initial <> 's' AND NOT blank AND NOT duplicate),
+walk AS (
+  SELECT conv, 0 AS i, nxt AS st, {'cost': cost, 'audit': audit, 'made': made} AS best
+  FROM (SELECT DISTINCT conv FROM placed), inserts WHERE st = ''
+  UNION ALL
+  SELECT e.conv, e.i, n.nxt, min({'cost': w.best.cost + e.cost + n.cost, 'audit': w.best.audit || e.audit || n.audit, 'made': w.best.made || e.made || n.made})
+  FROM walk w JOIN edits e ON e.conv = w.conv AND e.i = w.i + 1 AND e.st = w.st JOIN inserts n ON n.st = e.nxt
+  GROUP BY e.conv, e.i, n.nxt),
+counts AS (
+  SELECT conv, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv),
+ended AS (
+  SELECT conv, min(best) AS best FROM walk JOIN counts USING (conv) WHERE walk.i = counts.n AND st IN ('', 'a') GROUP BY conv),
+ids AS (SELECT DISTINCT conv_id, conv FROM named)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(best.made, '')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (conv) LEFT JOIN ended USING (conv)
+"""

@@ -18,14 +18,14 @@ def docs(spark, sf_dir):
 
 
 def test_one_query_an_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in entry.oracle_sql()])
 def test_against_sql(spark, sf_dir, name):
     connection = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "embeddings", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{os.path.join(sf_dir, table)}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     result = connection.execute(entry.oracle_sql()[name])
