@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceframe.operators.quantiles import (
-    AT_ONCE,
+    ACCURACY,
     _join_on,
     aggregate_with_quantiles,
     quantile_column,
@@ -61,14 +61,14 @@ def histogram(df: DataFrame, metric: str, bins: int) -> DataFrame:
 
 
 def box_summary(
-    df: DataFrame, metric: str, by: Sequence[str] = (), at_once: int = AT_ONCE
+    df: DataFrame, metric: str, by: Sequence[str] = (), accuracy: int = ACCURACY
 ) -> DataFrame:
     """Extremes, quartiles and whisker ends (last values inside 1.5 IQR of the box)."""
     value = F.col(metric).cast("double")
     aggs = [F.min(metric).cast("double").alias("low"), F.max(metric).cast("double").alias("high")]
     q = F.col(quantile_column(metric))
     figures = (
-        aggregate_with_quantiles(df, (metric,), (0.25, 0.5, 0.75), by, aggs, at_once)
+        aggregate_with_quantiles(df, (metric,), (0.25, 0.5, 0.75), by, aggs, accuracy)
         .select(*by, "low", "high", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
         .withColumns(
             {
@@ -91,7 +91,7 @@ def box_summary(
 
 
 def density_curve(
-    df: DataFrame, metric: str, bins: int = 512, at_once: int = AT_ONCE
+    df: DataFrame, metric: str, bins: int = 512, accuracy: int = ACCURACY
 ) -> DataFrame:
     """Gaussian kernel density on a grid, as drawn by a violin plot.
 
@@ -107,7 +107,7 @@ def density_curve(
         F.min(metric).cast("double").alias("lo"),
         F.max(metric).cast("double").alias("hi"),
     ]
-    figures = aggregate_with_quantiles(df, (metric,), (0.25, 0.75), (), aggs, at_once)
+    figures = aggregate_with_quantiles(df, (metric,), (0.25, 0.75), (), aggs, accuracy)
     spread = F.least(F.col("sd"), (F.col(q)[1] - F.col(q)[0]) / NORMAL_IQR)
     shape = (
         figures.withColumn("bw", SILVERMAN * spread * F.pow(F.col("n"), F.lit(-0.2)))

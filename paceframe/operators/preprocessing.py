@@ -8,14 +8,14 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceframe.operators.quantiles import AT_ONCE, aggregate_with_quantiles, quantile_column
+from paceframe.operators.quantiles import ACCURACY, aggregate_with_quantiles, quantile_column
 
 
 def impute_median(
-    df: DataFrame, columns: Sequence[str], at_once: int = AT_ONCE
+    df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY
 ) -> DataFrame:
     """Missing values become the exact median of their column."""
-    medians = aggregate_with_quantiles(df, columns, (0.5,), at_once=at_once).select(
+    medians = aggregate_with_quantiles(df, columns, (0.5,), accuracy=accuracy).select(
         F.struct(*[F.col(quantile_column(c))[0].alias(c) for c in columns]).alias("m")
     )
     filled = df.withColumn("_m", medians.scalar())
@@ -44,7 +44,7 @@ def standardise(df: DataFrame, columns: Sequence[str], with_mean: bool = True, p
 
 
 def fit_impute_scale(
-    df: DataFrame, columns: Sequence[str], at_once: int = AT_ONCE
+    df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY
 ) -> SQLTransformer:
     """Median imputation followed by population scaling, fitted into one SQL stage.
 
@@ -58,7 +58,7 @@ def fit_impute_scale(
             F.avg(c).alias(f"{c}__mean"),
             F.var_pop(c).alias(f"{c}__var"),
         ]
-    row = aggregate_with_quantiles(df, columns, (0.5,), (), aggs, at_once).first()
+    row = aggregate_with_quantiles(df, columns, (0.5,), (), aggs, accuracy).first()
     terms = []
     for c in columns:
         known, gaps = row[f"{c}__n"], row["_n"] - row[f"{c}__n"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceframe.functions.columns import label_text, missing, percent, preview_text
-from paceframe.operators.quantiles import AT_ONCE, aggregate_with_quantiles, quantile_column
+from paceframe.operators.quantiles import ACCURACY, aggregate_with_quantiles, quantile_column
 from paceframe.schemas import METRICS, VALID_RANGES, ValidRange
 
 
@@ -120,10 +120,10 @@ def _iqr_bounds(metric: str) -> tuple[Column, Column]:
 
 
 def outlier_bounds(
-    df: DataFrame, metrics: Sequence[str] = METRICS, at_once: int = AT_ONCE
+    df: DataFrame, metrics: Sequence[str] = METRICS, accuracy: int = ACCURACY
 ) -> DataFrame:
     """One row with ``<metric>__low`` and ``<metric>__high``."""
-    quartiles = aggregate_with_quantiles(df, metrics, (0.25, 0.75), at_once=at_once)
+    quartiles = aggregate_with_quantiles(df, metrics, (0.25, 0.75), accuracy=accuracy)
     return quartiles.select(
         *[
             bound.alias(f"{m}__{side}")
@@ -138,10 +138,10 @@ def _attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def outlier_report(
-    df: DataFrame, metrics: Sequence[str] = METRICS, at_once: int = AT_ONCE
+    df: DataFrame, metrics: Sequence[str] = METRICS, accuracy: int = ACCURACY
 ) -> DataFrame:
     """Rows outside 1.5 IQR of the quartiles, per metric."""
-    bounds = outlier_bounds(df, metrics, at_once)
+    bounds = outlier_bounds(df, metrics, accuracy)
     counted = _attach(df.select(*metrics), bounds).agg(
         F.count("*").alias("_n"),
         F.any_value("_b").alias("_b"),
@@ -166,15 +166,15 @@ def outlier_report(
     )
 
 
-def outlier_rows(df: DataFrame, metric: str, at_once: int = AT_ONCE) -> DataFrame:
+def outlier_rows(df: DataFrame, metric: str, accuracy: int = ACCURACY) -> DataFrame:
     """Rows strictly outside the bounds of ``metric``."""
-    bounded = _attach(df, outlier_bounds(df, (metric,), at_once))
+    bounded = _attach(df, outlier_bounds(df, (metric,), accuracy))
     v = F.col(metric)
     return bounded.where((v < F.col(f"_b.{metric}__low")) | (v > F.col(f"_b.{metric}__high"))).drop("_b")
 
 
-def inlier_rows(df: DataFrame, metric: str, at_once: int = AT_ONCE) -> DataFrame:
+def inlier_rows(df: DataFrame, metric: str, accuracy: int = ACCURACY) -> DataFrame:
     """Rows inside the bounds of ``metric``, ends included."""
-    bounded = _attach(df, outlier_bounds(df, (metric,), at_once))
+    bounded = _attach(df, outlier_bounds(df, (metric,), accuracy))
     v = F.col(metric)
     return bounded.where((v >= F.col(f"_b.{metric}__low")) & (v <= F.col(f"_b.{metric}__high"))).drop("_b")

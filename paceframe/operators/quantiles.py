@@ -1,18 +1,19 @@
-"""Exact quantiles (linear interpolation) that do not gather a group in one task.
-
-Spark's ``percentile`` keeps a map of all distinct values of a group in one reducer. Here the
-wanted order statistics are located by narrowing an interval of values around each rank. While
-an interval holds more than ``at_once`` rows, values taken from its data split it into cells;
-rows are counted per cell with map-side aggregation, and the interval shrinks to the cell with
-the rank. A splitting value is a cell of its own, so every round gets nearer, also with hot
-values, and values are only compared, so infinite ones are like others. The distinct values of
-what is left are ranked. Rows of equal value are merged before every shuffle, and the result
-is exact for any distribution.
+"""Exact quantiles (linear interpolation) in two scans, without gathering a group in one task.
+
+Spark's ``percentile`` keeps a map of all distinct values of a group in one reducer. Here the first
+scan makes mergeable sketches of bounded rank error, whose values bracket every wanted rank. The
+second scan counts the rows between the brackets and keeps the distinct values in them, with their
+numbers of rows, merged map-side. That small share of the table is put in order by ranges, a running
+count over the ranges gives the rank of every kept value, and the wanted ones are picked. Values are
+only compared, so infinite ones are like others. The counts show whether a bracket missed its rank;
+then, and only then, the second scan is repeated with wider ones, so the result is exact anyway.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from paceframe.session import materialise
 from paceframe.sources.readers import rows
 
-# Rows of an interval whose distinct values one task may sort, and splitting values of a round.
-AT_ONCE = 100_000
-SPLITS = 64
-
+# Rank error of a sketch is at most one in so many rows; a bracket is some errors wide on each side.
+ACCURACY = 10_000
+ERRORS = 2.0
+WIDER = 16
+INFINITY = float("inf")
 
 def quantile_column(metric: str) -> str:
     """Name of the array column that holds the quantiles of ``metric``."""
@@ -36,16 +38,16 @@ def aggregate_with_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     aggs: Sequence[Column] = (),
-    at_once: int = AT_ONCE,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """``aggs`` per group of ``by``, plus one array of quantiles per metric.
 
-    The two kinds of figures come from separate aggregations: beside ``percentile`` the plain
-    ones would lose their generated code.
+    The two kinds of figures come from separate aggregations: beside sketches the plain ones
+    would lose their generated code.
     """
-    found = _located_quantiles(df, metrics, probs, by, at_once)
+    found = _located_quantiles(df, metrics, probs, by, accuracy)
     wide = found.groupBy(*by).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("values"))).alias(quantile_column(m)) for m in metrics]
+        *[F.max(F.when(F.col("metric_no") == i, F.col("values"))).alias(quantile_column(m)) for i, m in enumerate(metrics)]
     )
     if not aggs:
         return wide
@@ -63,10 +65,10 @@ def quantile_rows(
     metrics: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    at_once: int = AT_ONCE,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group, metric and probability."""
-    wide = aggregate_with_quantiles(df, metrics, probs, by, at_once=at_once)
+    wide = aggregate_with_quantiles(df, metrics, probs, by, accuracy=accuracy)
     cells = [
         F.struct(
             F.lit(m).alias("metric"),
@@ -88,16 +90,62 @@ def _join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "i
     return left.join(renamed, condition, how).drop(*[f"_r_{b}" for b in by])
 
 
-def _long(df: DataFrame, metrics: Sequence[str], by: Sequence[str]) -> DataFrame:
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"))
-                for m in metrics
-            ]
-        )
-    ).alias("pair")
-    return df.select(*by, pairs).select(*by, "pair.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+def _metric_column(number: int) -> str:
+    return f"_m{number}"
+
+
+def _values(df: DataFrame, metrics: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The metrics as doubles, NaN as null."""
+    doubles = [F.col(m).cast("double") for m in metrics]
+    named = [F.when(~F.isnan(v), v).alias(_metric_column(i)) for i, v in enumerate(doubles)]
+    return df.select(*by, *named)
+
+
+def _sketches(values: DataFrame, count: int, by: Sequence[str], ends: Sequence[float], accuracy: int) -> DataFrame:
+    """Per group and metric the number of values, and those near the shares ``ends`` of the ranks."""
+    figures = []
+    for i in range(count):
+        v = _metric_column(i)
+        wanted = F.array(*[F.lit(e) for e in ends])
+        figures += [F.count(v).alias(f"{v}_n"), F.percentile_approx(v, wanted, F.lit(accuracy)).alias(f"{v}_e")]
+    return values.groupBy(*by).agg(*figures)
+
+
+def _cells(bracketed: DataFrame, count: int, by: Sequence[str], low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """Rows per group, metric, place and, inside a bracket, value.
+
+    Every row has the sketched ends of its group. ``low`` and ``high`` are the shares of the ends;
+    a bracket is open where its share is beyond 0 or 1. ``place`` is the number of ends below a
+    value, so it rises with the values; inside a bracket more begin than end.
+    """
+    cells = []
+    for i in range(count):
+        v, ends = F.col(_metric_column(i)), F.col(f"{_metric_column(i)}_e")
+        begun = [F.lit(1) if low[k] <= 0 else (v >= ends[k]).cast("int") for k in range(len(low))]
+        over = [F.lit(0) if high[k] >= 1 else (v > ends[len(low) + k]).cast("int") for k in range(len(high))]
+        inside = reduce(add, begun) > reduce(add, over)
+        place = reduce(add, [*begun, *over])
+        cell = F.struct(F.lit(i).alias("metric_no"), place.alias("place"), F.when(inside, v).alias("v"))
+        cells.append(F.when(v.isNotNull(), cell))
+    found = bracketed.select(*by, F.explode(F.array(*cells)).alias("cell")).where(F.col("cell").isNotNull())
+    return found.select(*by, "cell.*").groupBy(*by, "metric_no", "place", "v").agg(F.count("*").alias("n"))
+
+
+def _ranked(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The kept values with the ranks they hold: from ``upto - n`` to before ``upto``.
+
+    Ranges are counted apart, so no task has all values of a group.
+    """
+    ordered = cells.repartitionByRange("metric_no", *by, "place", "v").withColumn("part", F.spark_partition_id())
+    ordered = materialise(ordered, "quantile_order")
+    group = [*by, "metric_no"]
+    parts = ordered.groupBy(*group, "part").agg(F.sum("n").alias("part_n"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("before", F.coalesce(F.sum("part_n").over(earlier), F.lit(0))).drop("part_n")
+    here = Window.partitionBy(*group, "part").orderBy("place", "v").rowsBetween(Window.unboundedPreceding, 0)
+    running = ordered.withColumn("here", F.sum("n").over(here))
+    counted = _join_on(running, before, [*group, "part"]).withColumn("upto", F.col("before") + F.col("here"))
+    return counted.where(F.col("v").isNotNull()).select(*group, "v", "n", "upto")
 
 
 def _located_quantiles(
@@ -105,9 +153,9 @@ def _located_quantiles(
     metrics: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str],
-    at_once: int,
+    accuracy: int,
 ) -> DataFrame:
-    values = _long(df, metrics, by)
+    values = _values(df, metrics, by)
 
     def keep(step: DataFrame, name: str) -> DataFrame:
         # Without groups a step has at most two rows per metric and probability; those few
@@ -116,102 +164,55 @@ def _located_quantiles(
             return materialise(step, name)
         return rows(df.sparkSession, [tuple(r) for r in step.collect()], step.schema)
 
-    groups = keep(
-        values.groupBy(*by, "metric").agg(
-            F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ),
-        "quantile_groups",
-    )
-    levels = F.array(
-        *[F.struct(F.lit(i).alias("prob_no"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)]
-    )
-    wanted = (
-        groups.withColumn("level", F.explode(levels))
-        .select("*", "level.prob_no", "level.prob")
-        .withColumn("pos", F.col("prob") * (F.col("n") - 1))
-        .withColumns({"below_pos": F.floor("pos"), "above_pos": F.ceil("pos")})
-    )
-    ranks = (
-        wanted.withColumn("rank", F.explode(F.array_distinct(F.array("below_pos", "above_pos"))))
-        .select(*by, "metric", "rank", "lo", "hi", F.lit(0).cast("bigint").alias("before"), F.col("n").alias("rows"))
-        .distinct()
-    )
-    key = [*by, "metric", "rank"]
-    search = keep(ranks, "quantile_ranks")
-    too_big = (F.col("lo") < F.col("hi")) & (F.col("rows") > at_once)
-    while not search.where(too_big).isEmpty():
-        open_ranks, settled = search.where(too_big), search.where(~too_big)
-        search = keep(settled.unionByName(_narrow(values, _with_splits(values, open_ranks, by), by, _cell())), "quantile_round")
-
-    fixed = search.where(F.col("lo") == F.col("hi"))
-    small = search.where(F.col("lo") < F.col("hi"))
-    exact = keep(
-        fixed.unionByName(_narrow(values, small, by, F.col("v"))).select(*key, F.col("lo").alias("v")),
-        "quantile_values",
-    )
-
-    low = exact.withColumnsRenamed({"rank": "below_pos", "v": "low_value"})
-    high = exact.withColumnsRenamed({"rank": "above_pos", "v": "high_value"})
-    paired = _join_on(wanted, low, [*by, "metric", "below_pos"])
-    paired = _join_on(paired, high, [*by, "metric", "above_pos"])
+    margin, found, ranks = ERRORS / accuracy, None, None
+    while found is None:
+        low, high = [p - margin for p in probs], [p + margin for p in probs]
+        ends = [min(1.0, max(0.0, e)) for e in (*low, *high)]
+        sketches = keep(_sketches(values, len(metrics), by, ends, accuracy), "quantile_sketches")
+        ranks = keep(_wanted(sketches, metrics, probs, by), "quantile_ranks")
+        if by:
+            bracketed = _join_on(values, sketches, by)
+        else:
+            ends_of = sketches.select(F.struct(*sketches.columns).alias("s")).scalar()
+            bracketed = values.withColumn("_s", ends_of).select(*values.columns, "_s.*")
+        cells = materialise(_cells(bracketed, len(metrics), by, low, high), "quantile_cells")
+        distinct = ranks.select(*by, "metric_no", F.explode(F.array("below_pos", "above_pos")).alias("rank")).distinct()
+        held = _join_on(_ranked(cells, by), distinct, [*by, "metric_no"])
+        exact = keep(
+            held.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).select(
+                *by, "metric_no", "rank", "v"
+            ),
+            "quantile_values",
+        )
+        if exact.count() == distinct.count():
+            found = exact
+        margin *= WIDER
+
+    low_values = found.withColumnsRenamed({"rank": "below_pos", "v": "low_value"})
+    high_values = found.withColumnsRenamed({"rank": "above_pos", "v": "high_value"})
+    paired = _join_on(ranks, low_values, [*by, "metric_no", "below_pos"])
+    paired = _join_on(paired, high_values, [*by, "metric_no", "above_pos"])
     value = F.when(F.col("below_pos") == F.col("above_pos"), F.col("low_value")).otherwise(
         (F.col("above_pos") - F.col("pos")) * F.col("low_value")
         + (F.col("pos") - F.col("below_pos")) * F.col("high_value")
     )
     pair = F.struct("prob_no", value.alias("value"))
-    return paired.groupBy(*by, "metric").agg(
+    return paired.groupBy(*by, "metric_no").agg(
         F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["value"]).alias("values")
     )
 
 
-def _inside(values: DataFrame, intervals: DataFrame, by: Sequence[str]) -> DataFrame:
-    return _join_on(values, intervals, [*by, "metric"]).where(F.col("v").between(F.col("lo"), F.col("hi")))
-
-
-def _with_splits(values: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The ranks with values of their interval that split it into parts of about equal size."""
-    interval = [*by, "metric", "lo", "hi"]
-    shares = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    splits = _inside(values, ranks.select(*interval).distinct(), by).groupBy(*interval).agg(
-        F.array_distinct(F.percentile_approx("v", shares, F.lit(1000))).alias("splits")
-    )
-    return _join_on(ranks, splits, interval)
-
-
-def _cell() -> Column:
-    """Twice the splitting values below a value, and one more if it is one itself."""
-    below = F.size(F.filter("splits", lambda s: s < F.col("v")))
-    return below + F.size(F.filter("splits", lambda s: s <= F.col("v")))
-
-
-def _narrow(values: DataFrame, ranks: DataFrame, by: Sequence[str], cell: Column) -> DataFrame:
-    """For each wanted rank the cell of its interval that holds it.
-
-    Ranks that still share an interval share its counts. ``ranks`` is a written table, so the
-    true size of its intervals decides between a broadcast and a shuffle join. The window runs
-    over cells, at most a few per splitting value or ``at_once`` per interval.
-    """
-    interval = [*by, "metric", "lo", "hi"]
-    extra = ["splits"] if "splits" in ranks.columns else []
-    intervals = ranks.select(*interval, "before", *extra).distinct()
-    ranks = ranks.drop(*extra)
-    cells = (
-        _inside(values, intervals, by)
-        .withColumn("cell", cell)
-        .groupBy(*interval, "before", "cell")
-        .agg(F.count("*").alias("cell_rows"), F.min("v").alias("cell_lo"), F.max("v").alias("cell_hi"))
-    )
-    running = Window.partitionBy(*interval).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    upto = cells.withColumn("upto", F.col("before") + F.sum("cell_rows").over(running)).drop("before")
-    hit = _join_on(ranks.drop("before", "rows"), upto, interval).where(
-        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("cell_rows"))
-    )
-    return hit.select(
-        *by,
-        "metric",
-        "rank",
-        F.col("cell_lo").alias("lo"),
-        F.col("cell_hi").alias("hi"),
-        (F.col("upto") - F.col("cell_rows")).alias("before"),
-        F.col("cell_rows").alias("rows"),
-    )
+def _wanted(sketches: DataFrame, metrics: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """The position of every quantile among the ordered values, and the ranks beside it."""
+    cells = [
+        F.struct(
+            F.lit(i).alias("metric_no"),
+            F.lit(k).alias("prob_no"),
+            (F.lit(float(p)) * (F.col(f"{_metric_column(i)}_n") - 1)).alias("pos"),
+            F.col(f"{_metric_column(i)}_n").alias("rows"),
+        )
+        for i in range(len(metrics))
+        for k, p in enumerate(probs)
+    ]
+    wanted = sketches.select(*by, F.explode(F.array(*cells)).alias("w")).select(*by, "w.*").where(F.col("rows") > 0)
+    return wanted.drop("rows").withColumns({"below_pos": F.floor("pos"), "above_pos": F.ceil("pos")})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceframe.functions.moments import correlation, kurtosis_sample, skewness_sample
-from paceframe.operators.quantiles import AT_ONCE, aggregate_with_quantiles, quantile_column
+from paceframe.operators.quantiles import ACCURACY, aggregate_with_quantiles, quantile_column
 from paceframe.schemas import METRICS
 
 
@@ -40,18 +40,18 @@ def describe_basic(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame
 
 
 def describe_quartiles(
-    df: DataFrame, metrics: Sequence[str] = METRICS, at_once: int = AT_ONCE
+    df: DataFrame, metrics: Sequence[str] = METRICS, accuracy: int = ACCURACY
 ) -> DataFrame:
     """The basic figures with quartiles and variance."""
     figures = {m: {**_basic(m), "variance": F.var_samp(m)} for m in metrics}
-    return _with_quartiles(df, metrics, figures, at_once)
+    return _with_quartiles(df, metrics, figures, accuracy)
 
 
 def detailed_statistics(
     df: DataFrame,
     metrics: Sequence[str] = METRICS,
     digits: int | None = 2,
-    at_once: int = AT_ONCE,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Location, spread, quartiles and shape per metric, rounded half to even."""
     figures = {
@@ -62,17 +62,17 @@ def detailed_statistics(
         }
         for m in metrics
     }
-    out = _with_quartiles(df, metrics, figures, at_once).withColumn("iqr", F.col("q3") - F.col("q1"))
+    out = _with_quartiles(df, metrics, figures, accuracy).withColumn("iqr", F.col("q3") - F.col("q1"))
     if digits is None:
         return out
     return out.select("metric", *[F.bround(c, digits).alias(c) for c in out.columns if c != "metric"])
 
 
 def _with_quartiles(
-    df: DataFrame, metrics: Sequence[str], figures: dict[str, dict[str, Column]], at_once: int
+    df: DataFrame, metrics: Sequence[str], figures: dict[str, dict[str, Column]], accuracy: int
 ) -> DataFrame:
     aggs = [c.alias(f"{m}__{k}") for m in metrics for k, c in figures[m].items()]
-    wide = aggregate_with_quantiles(df, metrics, (0.25, 0.5, 0.75), (), aggs, at_once)
+    wide = aggregate_with_quantiles(df, metrics, (0.25, 0.5, 0.75), (), aggs, accuracy)
     named = {
         m: {
             **{k: F.col(f"{m}__{k}") for k in figures[m]},
@@ -83,7 +83,7 @@ def _with_quartiles(
     return _per_metric(wide, metrics, named)
 
 
-def kpi_statistics(df: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+def kpi_statistics(df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
     """Records, users, and mean / standard deviation / median of the headline metrics."""
     aggs = [
         F.count("*").alias("num_records"),
@@ -97,7 +97,7 @@ def kpi_statistics(df: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
         F.avg("sleep_hours").alias("avg_sleep"),
     ]
     metrics = ("steps", "calories_burned")
-    wide = aggregate_with_quantiles(df, metrics, (0.5,), (), aggs, at_once)
+    wide = aggregate_with_quantiles(df, metrics, (0.5,), (), aggs, accuracy)
     return wide.withColumns(
         {
             "median_steps": F.col(quantile_column("steps"))[0],
@@ -107,14 +107,14 @@ def kpi_statistics(df: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
 
 
 def activity_stats(
-    df: DataFrame, digits: int | None = 2, at_once: int = AT_ONCE
+    df: DataFrame, digits: int | None = 2, accuracy: int = ACCURACY
 ) -> DataFrame:
     """Mean, median and standard deviation per activity, and mean sleep."""
     short = {"steps": "steps", "calories_burned": "calories", "heart_rate_avg": "hr"}
     aggs = [F.avg("sleep_hours").alias("mean_sleep")]
     for metric, name in short.items():
         aggs += [F.avg(metric).alias(f"mean_{name}"), F.stddev_samp(metric).alias(f"std_{name}")]
-    wide = aggregate_with_quantiles(df, tuple(short), (0.5,), ("activity_type",), aggs, at_once)
+    wide = aggregate_with_quantiles(df, tuple(short), (0.5,), ("activity_type",), aggs, accuracy)
     out = wide.withColumns(
         {f"median_{name}": F.col(quantile_column(metric))[0] for metric, name in short.items()}
     ).drop(*[quantile_column(m) for m in short])

@@ -17,7 +17,7 @@ from paceframe.sources.adapters import (
     line_telemetry,
     table,
 )
-from paceframe.streaming import lifecycle, sinks, sources, windows
+from paceframe.streaming import lifecycle, sinks, sources, upsert, windows
 
 QUERIES = Registry()
 
@@ -98,35 +98,47 @@ def _arrivals(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     return events.withColumn("_s", span).withColumn("arrival", half + delay).drop("_s"), 3
 
 
-def _deliver_and_run(spark: SparkSession, sf: str, start) -> None:
+def _deliver_and_run(spark: SparkSession, arrivals: DataFrame, count: int, start) -> None:
     """Delivers the events part by part and resumes the same query after each delivery."""
     inbox = scratch_path(spark, "inbox")
-    arrivals, count = _arrivals(spark, sf)
     for number in range(count):
         due = arrivals.where(F.col("arrival") == number).drop("arrival")
         due.write.mode("append").parquet(inbox)
         stream = as_event_telemetry(sources.file_stream(spark, inbox, EVENTS_SCHEMA, files_per_batch=None))
-        lifecycle.finish(start(windows.flat_windows(windows.windowed_counts(stream))))
+        lifecycle.finish(start(stream))
+
+
+# Events of all times come in every delivery of the update query, so no window may close before the last.
+UPDATE_LATENESS = "3660 days"
+UPDATE_DELIVERIES = 3
 
 
 @QUERIES.add
 def stream_window_update(spark, sf):
-    """Running counts: changed windows of every batch, reduced to the latest per window."""
-    log, checkpoint = scratch_path(spark, "window_log"), scratch_path(spark, "window_log_checkpoint")
-    _deliver_and_run(
-        spark, sf, lambda counts: sinks.upsert_to_log(counts, log, checkpoint, trigger=sinks.AVAILABLE_NOW)
-    )
-    current = sinks.latest_per_key(sinks.read_log(spark, log), WINDOW_KEYS)
-    return _plain_times(current, "window_start", "window_end")
+    """Hourly counts in a keyed table: every delivery has events of all hours, so that windows change
+    again and again."""
+    path, checkpoint = scratch_path(spark, "window_table"), scratch_path(spark, "window_table_checkpoint")
+    counts = upsert.KeyedTable(spark, path, WINDOW_KEYS, bucket_by=("window_start",), buckets=16)
+    arrivals = table(spark, sf, "events").withColumn("arrival", F.pmod("event_id", F.lit(UPDATE_DELIVERIES)))
+
+    def start(stream: DataFrame):
+        flat = windows.flat_windows(windows.windowed_counts(stream, "1 hour", UPDATE_LATENESS))
+        return upsert.upsert_to_table(flat, counts, checkpoint, trigger=sinks.AVAILABLE_NOW)
+
+    _deliver_and_run(spark, arrivals, UPDATE_DELIVERIES, start)
+    return _plain_times(counts.read(), "window_start", "window_end")
 
 
 @QUERIES.add
 def stream_late_data(spark, sf):
     """Closed windows when a part of the events arrives after its windows were closed."""
     out, checkpoint = scratch_path(spark, "late"), scratch_path(spark, "late_checkpoint")
-    _deliver_and_run(
-        spark, sf, lambda counts: sinks.append_to_parquet(counts, out, checkpoint, trigger=sinks.AVAILABLE_NOW)
-    )
+
+    def start(stream: DataFrame):
+        flat = windows.flat_windows(windows.windowed_counts(stream))
+        return sinks.append_to_parquet(flat, out, checkpoint, trigger=sinks.AVAILABLE_NOW)
+
+    _deliver_and_run(spark, *_arrivals(spark, sf), start)
     return _plain_times(spark.read.parquet(out), "window_start", "window_end")
 
 

@@ -1,11 +1,8 @@
-"""Stream sinks: checkpointed Parquet, an upsert log for updates, a memory table for demos."""
+"""Stream sinks: checkpointed Parquet, and a memory table for demos; updates go to ``upsert``."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 EVERY_5_SECONDS = {"processingTime": "5 seconds"}
@@ -21,48 +18,6 @@ def append_to_parquet(
     return (writer.queryName(name) if name else writer).start()
 
 
-def upsert_to_log(
-    stream: DataFrame, path: str, checkpoint: str, name: str | None = None, trigger: dict | None = None
-) -> StreamingQuery:
-    """Update mode: every batch writes its changed rows to a folder of its own.
-
-    A batch that is repeated after a failure replaces its folder, so the log stays correct.
-    ``latest_per_key`` reads the current state.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    writer = stream.writeStream.outputMode("update").foreachBatch(write)
-    writer = writer.option("checkpointLocation", checkpoint).trigger(**(trigger or EVERY_5_SECONDS))
-    return (writer.queryName(name) if name else writer).start()
-
-
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def latest_per_key(log: DataFrame, keys: Sequence[str], order: str = "batch") -> DataFrame:
-    """The most recent row of each key, by an aggregation with map-side merge."""
-    values = [c for c in log.columns if c not in (*keys, order)]
-    return (
-        log.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), F.col(order)).alias("_v"))
-        .select(*keys, "_v.*")
-    )
-
-
-def compact_log(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> None:
-    """Writes the current state of a log as a new one of a single batch.
-
-    The batch number is the last one of the old log, so batches that follow still count as
-    newer. Meant for a log whose query is stopped.
-    """
-    log = read_log(spark, path)
-    last = log.agg(F.max("batch").alias("batch")).first()["batch"]
-    latest_per_key(log, keys).write.mode("overwrite").parquet(f"{target}/batch={last}")
-
-
 def to_memory(
     stream: DataFrame, name: str, mode: str = "append", trigger: dict | None = None
 ) -> StreamingQuery:

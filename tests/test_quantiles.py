@@ -35,7 +35,7 @@ CASES = {
 @pytest.mark.parametrize("case", CASES)
 def test_located_quantiles_are_exact(spark, case):
     values = CASES[case]
-    found = by_prob(quantile_rows(frame(spark, values), ("x",), PROBS, at_once=100))
+    found = by_prob(quantile_rows(frame(spark, values), ("x",), PROBS, accuracy=100))
     ordered = np.sort(values)
     for prob, value in zip(PROBS, found):
         pos = prob * (len(values) - 1)
@@ -56,7 +56,7 @@ def test_both_ways_agree_per_group_with_missing_keys_and_values(spark):
         }
     )
     small = quantile_rows(df, ("x", "y"), PROBS, ("g",))
-    located = quantile_rows(df, ("x", "y"), PROBS, ("g",), at_once=50)
+    located = quantile_rows(df, ("x", "y"), PROBS, ("g",), accuracy=50)
     key = lambda r: (str(r["g"]), r["metric"], r["prob"])
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, located.collect()), key=str)
     assert len({key(r) for r in located.collect()}) == 3 * 2 * len(PROBS)
@@ -64,8 +64,8 @@ def test_both_ways_agree_per_group_with_missing_keys_and_values(spark):
 
 def test_figures_and_quantiles_come_together(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": ["a", "a", "b"], "x": [1.0, 3.0, 5.0]}))
-    for limit in (1, 100):
-        rows = aggregate_with_quantiles(df, ("x",), (0.5,), ("g",), [F.count("*").alias("n")], at_once=limit)
+    for limit in (2, 100):
+        rows = aggregate_with_quantiles(df, ("x",), (0.5,), ("g",), [F.count("*").alias("n")], accuracy=limit)
         assert sorted((r["g"], r["n"], r["x__q"]) for r in rows.collect()) == [("a", 2, [2.0]), ("b", 1, [5.0])]
 
 
@@ -78,5 +78,5 @@ def test_empty_input_gives_nulls(spark):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=60))
 def test_any_values(spark, values):
-    found = by_prob(quantile_rows(frame(spark, values), ("x",), PROBS, at_once=5))
+    found = by_prob(quantile_rows(frame(spark, values), ("x",), PROBS, accuracy=5))
     assert found == pytest.approx(expected(values), rel=1e-9, abs=1e-30)

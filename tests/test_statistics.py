@@ -115,7 +115,7 @@ def test_box_whiskers_stop_inside_the_fences(telemetry):
     q1, q3 = pdf["calories_burned"].quantile([0.25, 0.75])
     inside = pdf["calories_burned"][pdf["calories_burned"].between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))]
     assert (row["whisker_low"], row["whisker_high"]) == (inside.min(), inside.max())
-    groups = distributions.box_summary(df, "steps", ("activity_type",), at_once=100).collect()
+    groups = distributions.box_summary(df, "steps", ("activity_type",), accuracy=100).collect()
     assert len(groups) == 3
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paceframe.operators import summaries
 from paceframe.schemas import RAW_STREAM
 from paceframe.sources.readers import rows
-from paceframe.streaming import lifecycle, sinks, sources, windows
+from paceframe.streaming import lifecycle, sinks, sources, upsert, windows
 
 KEYS = ("window_start", "window_end", "activity_type")
 
@@ -46,42 +46,38 @@ def test_one_file_per_batch_and_parsed_times(spark, tmp_path):
     assert newest["activity_type"] == "running"
 
 
+def counts_table(spark, path, **settings):
+    return upsert.KeyedTable(spark, str(path), KEYS, ("window_start",), **settings)
+
+
+def run_update(spark, tmp_path, table):
+    query = upsert.upsert_to_table(
+        flat_counts(stream_of(spark, tmp_path / "in")), table, str(tmp_path / "cp"), trigger=sinks.AVAILABLE_NOW
+    )
+    return lifecycle.finish(query)
+
+
 def test_late_rows_are_dropped_one_batch_after_their_window_closed(spark, tmp_path):
     for second, activity in ((5, "run"), (300, "yoga"), (21, "run"), (22, "run"), (23, "run")):
         drop_file(spark, tmp_path / "in", [event(second, activity)])
-    query = sinks.upsert_to_log(
-        flat_counts(stream_of(spark, tmp_path / "in")),
-        str(tmp_path / "log"),
-        str(tmp_path / "cp"),
-        trigger=sinks.AVAILABLE_NOW,
-    )
-    lifecycle.finish(query)
+    table = counts_table(spark, tmp_path / "table")
+    query = run_update(spark, tmp_path, table)
     assert lifecycle.dropped_late_rows(query) == 2
-    current = sinks.latest_per_key(sinks.read_log(spark, str(tmp_path / "log")), KEYS)
-    assert sorted((r["activity_type"], r["num_records"]) for r in current.collect()) == [("run", 2), ("yoga", 1)]
+    assert sorted((r["activity_type"], r["num_records"]) for r in table.read().collect()) == [("run", 2), ("yoga", 1)]
 
 
-def test_update_log_over_many_batches_equals_the_table(spark, tmp_path):
+def test_updates_over_many_batches_equal_the_table(spark, tmp_path):
     batches = [[event(10 * i + j, "abc"[(i + j) % 3]) for j in range(9)] for i in range(5)]
     for batch in batches:
         drop_file(spark, tmp_path / "in", batch)
-    query = sinks.upsert_to_log(
-        flat_counts(stream_of(spark, tmp_path / "in")),
-        str(tmp_path / "log"),
-        str(tmp_path / "cp"),
-        trigger=sinks.AVAILABLE_NOW,
-    )
-    lifecycle.finish(query)
-    log = sinks.read_log(spark, str(tmp_path / "log"))
-    current = sinks.latest_per_key(log, KEYS)
-    assert log.count() > current.count()
-    table = sources.with_event_time(spark.read.schema(RAW_STREAM).parquet(str(tmp_path / "in")))
-    expected = flat_counts(table)
-    assert sorted(map(tuple, current.select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
-    compacted = str(tmp_path / "compacted")
-    sinks.compact_log(spark, str(tmp_path / "log"), compacted, KEYS)
-    again = sinks.latest_per_key(sinks.read_log(spark, compacted), KEYS)
-    assert sorted(map(tuple, again.select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+    table = counts_table(spark, tmp_path / "table", buckets=4)
+    run_update(spark, tmp_path, table)
+    rows_in = sources.with_event_time(spark.read.schema(RAW_STREAM).parquet(str(tmp_path / "in")))
+    expected = flat_counts(rows_in)
+    assert sorted(map(tuple, table.read().select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+    # A batch for each file and one that closes windows; no trace of earlier ones but the last.
+    assert table.version().batch >= 4
+    assert len(list((tmp_path / "table" / "versions").glob("*.json"))) == 2
 
 
 def test_a_restarted_query_continues_without_repeating_rows(spark, tmp_path):
