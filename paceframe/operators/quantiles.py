@@ -11,6 +11,7 @@ then, and only then, the second scan is repeated with wider ones, so the result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from paceframe.session import materialise
 from paceframe.sources.readers import rows
 
-# Rank error of a sketch is at most one in so many rows; a bracket is some errors wide on each side.
-ACCURACY = 10_000
+# Size of a sketch, from 8 on. Its rank error, as a share of the rows, falls with the size by a law
+# whose two constants are those published with the sketch; a bracket is some errors wide on each side.
+ACCURACY = 4096
+ERROR_SCALE, ERROR_POWER = 2.296, 0.9021
 ERRORS = 2.0
 WIDER = 16
-INFINITY = float("inf")
 
 def quantile_column(metric: str) -> str:
     """Name of the array column that holds the quantiles of ``metric``."""
@@ -45,10 +47,7 @@ def aggregate_with_quantiles(
     The two kinds of figures come from separate aggregations: beside sketches the plain ones
     would lose their generated code.
     """
-    found = _located_quantiles(df, metrics, probs, by, accuracy)
-    wide = found.groupBy(*by).agg(
-        *[F.max(F.when(F.col("metric_no") == i, F.col("values"))).alias(quantile_column(m)) for i, m in enumerate(metrics)]
-    )
+    wide = _by_group(df, metrics, probs, by, accuracy) if by else _whole_table(df, metrics, probs, accuracy)
     if not aggs:
         return wide
     base = df.groupBy(*by).agg(*aggs)
@@ -103,32 +102,33 @@ def _values(df: DataFrame, metrics: Sequence[str], by: Sequence[str]) -> DataFra
 
 def _sketches(values: DataFrame, count: int, by: Sequence[str], ends: Sequence[float], accuracy: int) -> DataFrame:
     """Per group and metric the number of values, and those near the shares ``ends`` of the ranks."""
-    figures = []
+    figures, found = [], []
+    wanted = F.array(*[F.lit(e) for e in ends])
     for i in range(count):
         v = _metric_column(i)
-        wanted = F.array(*[F.lit(e) for e in ends])
-        figures += [F.count(v).alias(f"{v}_n"), F.percentile_approx(v, wanted, F.lit(accuracy)).alias(f"{v}_e")]
-    return values.groupBy(*by).agg(*figures)
+        figures += [F.count(v).alias(f"{v}_n"), F.kll_sketch_agg_double(v, accuracy).alias(f"{v}_s")]
+        # An empty sketch has no quantiles.
+        found += [F.col(f"{v}_n"), F.when(F.col(f"{v}_n") > 0, F.kll_sketch_get_quantile_double(f"{v}_s", wanted)).alias(f"{v}_e")]
+    return values.groupBy(*by).agg(*figures).select(*by, *found)
 
 
 def _cells(bracketed: DataFrame, count: int, by: Sequence[str], low: Sequence[float], high: Sequence[float]) -> DataFrame:
     """Rows per group, metric, place and, inside a bracket, value.
 
-    Every row has the sketched ends of its group. ``low`` and ``high`` are the shares of the ends;
+    Every row has the sketched ends of its group as ``_ends``. ``low`` and ``high`` are the shares of the ends;
     a bracket is open where its share is beyond 0 or 1. ``place`` is the number of ends below a
     value, so it rises with the values; inside a bracket more begin than end.
     """
-    cells = []
-    for i in range(count):
-        v, ends = F.col(_metric_column(i)), F.col(f"{_metric_column(i)}_e")
-        begun = [F.lit(1) if low[k] <= 0 else (v >= ends[k]).cast("int") for k in range(len(low))]
-        over = [F.lit(0) if high[k] >= 1 else (v > ends[len(low) + k]).cast("int") for k in range(len(high))]
-        inside = reduce(add, begun) > reduce(add, over)
-        place = reduce(add, [*begun, *over])
-        cell = F.struct(F.lit(i).alias("metric_no"), place.alias("place"), F.when(inside, v).alias("v"))
-        cells.append(F.when(v.isNotNull(), cell))
-    found = bracketed.select(*by, F.explode(F.array(*cells)).alias("cell")).where(F.col("cell").isNotNull())
-    return found.select(*by, "cell.*").groupBy(*by, "metric_no", "place", "v").agg(F.count("*").alias("n"))
+    # One short piece of code for all metrics: the compiler leaves long methods interpreted.
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("metric_no"), F.col(_metric_column(i)).alias("v")) for i in range(count)]))
+    long = bracketed.select(*by, "_ends", each.alias("cell")).select(*by, "_ends", "cell.*").where(F.col("v").isNotNull())
+    v, ends = F.col("v"), F.col("_ends")[F.col("metric_no")]
+    begun = [F.lit(1) if low[k] <= 0 else (v >= ends[k]).cast("int") for k in range(len(low))]
+    over = [F.lit(0) if high[k] >= 1 else (v > ends[len(low) + k]).cast("int") for k in range(len(high))]
+    placed = long.withColumns({"begun": reduce(add, begun), "over": reduce(add, over)})
+    kept = F.when(F.col("begun") > F.col("over"), v)
+    cells = placed.select(*by, "metric_no", (F.col("begun") + F.col("over")).alias("place"), kept.alias("v"))
+    return cells.groupBy(*by, "metric_no", "place", "v").agg(F.count("*").alias("n"))
 
 
 def _ranked(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -148,58 +148,82 @@ def _ranked(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     return counted.where(F.col("v").isNotNull()).select(*group, "v", "n", "upto")
 
 
-def _located_quantiles(
-    df: DataFrame,
-    metrics: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str],
-    accuracy: int,
-) -> DataFrame:
-    values = _values(df, metrics, by)
+def _ends(accuracy: int, probs: Sequence[float], widened: int) -> tuple[list[float], list[float]]:
+    """Shares of the ranks where the brackets of ``probs`` begin and end."""
+    margin = ERRORS * ERROR_SCALE / accuracy**ERROR_POWER * WIDER**widened
+    return [p - margin for p in probs], [p + margin for p in probs]
+
+
+def _within(shares: Sequence[float]) -> list[float]:
+    return [min(1.0, max(0.0, s)) for s in shares]
 
-    def keep(step: DataFrame, name: str) -> DataFrame:
-        # Without groups a step has at most two rows per metric and probability; those few
-        # become local data. With groups their number is open, so the step is written out.
-        if by:
-            return materialise(step, name)
-        return rows(df.sparkSession, [tuple(r) for r in step.collect()], step.schema)
 
-    margin, found, ranks = ERRORS / accuracy, None, None
+def _whole_table(df: DataFrame, metrics: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """One row with an array of quantiles per metric. What the scans leave, a few figures a metric and
+    probability, passes through the driver."""
+    spark, values, found, widened = df.sparkSession, _values(df, metrics, ()), None, 0
     while found is None:
-        low, high = [p - margin for p in probs], [p + margin for p in probs]
-        ends = [min(1.0, max(0.0, e)) for e in (*low, *high)]
-        sketches = keep(_sketches(values, len(metrics), by, ends, accuracy), "quantile_sketches")
-        ranks = keep(_wanted(sketches, metrics, probs, by), "quantile_ranks")
-        if by:
-            bracketed = _join_on(values, sketches, by)
-        else:
-            ends_of = sketches.select(F.struct(*sketches.columns).alias("s")).scalar()
-            bracketed = values.withColumn("_s", ends_of).select(*values.columns, "_s.*")
-        cells = materialise(_cells(bracketed, len(metrics), by, low, high), "quantile_cells")
-        distinct = ranks.select(*by, "metric_no", F.explode(F.array("below_pos", "above_pos")).alias("rank")).distinct()
-        held = _join_on(_ranked(cells, by), distinct, [*by, "metric_no"])
-        exact = keep(
-            held.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).select(
-                *by, "metric_no", "rank", "v"
-            ),
-            "quantile_values",
-        )
-        if exact.count() == distinct.count():
-            found = exact
-        margin *= WIDER
+        low, high = _ends(accuracy, probs, widened)
+        sketch = _sketches(values, len(metrics), (), _within([*low, *high]), accuracy).first()
+        counts = [sketch[f"{_metric_column(i)}_n"] for i in range(len(metrics))]
+        positions = {(i, k): p * (n - 1) for i, n in enumerate(counts) if n for k, p in enumerate(probs)}
+        wanted = {(i, rank) for (i, _), pos in positions.items() for rank in (math.floor(pos), math.ceil(pos))}
+        ends = rows(spark, [([sketch[f"{_metric_column(i)}_e"] for i in range(len(metrics))],)], "e array<array<double>>")
+        cells = _cells(values.withColumn("_ends", ends.scalar()), len(metrics), (), low, high)
+        ranks = rows(spark, sorted(wanted), "metric_no int, rank bigint")
+        held = _picked(_ranked(materialise(cells, "quantile_cells"), ()), ranks, ()).collect()
+        found = {(r["metric_no"], r["rank"]): r["v"] for r in held} if len(held) == len(wanted) else None
+        widened += 1
+
+    def at(i: int, pos: float) -> float:
+        below, above = math.floor(pos), math.ceil(pos)
+        low_value, high_value = found[i, below], found[i, above]
+        return low_value if below == above else (above - pos) * low_value + (pos - below) * high_value
+
+    wide = [[at(i, positions[i, k]) for k in range(len(probs))] if counts[i] else None for i in range(len(metrics))]
+    return rows(spark, [tuple(wide)], ", ".join(f"`{quantile_column(m)}` array<double>" for m in metrics))
+
+
+def _picked(ranked: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The values that hold the wanted ranks."""
+    held = _join_on(ranked, ranks, [*by, "metric_no"])
+    return held.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).select(
+        *by, "metric_no", "rank", "v"
+    )
+
+
+def _by_group(
+    df: DataFrame, metrics: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int
+) -> DataFrame:
+    """The same for every group. Their number is open, so the figures stay in tables."""
+    values, found, widened = _values(df, metrics, by), None, 0
+    while found is None:
+        low, high = _ends(accuracy, probs, widened)
+        sketches = _sketches(values, len(metrics), by, _within([*low, *high]), accuracy)
+        sketches = materialise(sketches, "quantile_sketches")
+        wanted = _wanted(sketches, metrics, probs, by)
+        ends_of = sketches.select(*by, F.array(*[f"{_metric_column(i)}_e" for i in range(len(metrics))]).alias("_ends"))
+        cells = _cells(_join_on(values, ends_of, by), len(metrics), by, low, high)
+        ranks = wanted.select(*by, "metric_no", F.explode(F.array("below_pos", "above_pos")).alias("rank")).distinct()
+        exact = materialise(_picked(_ranked(materialise(cells, "quantile_cells"), by), ranks, by), "quantile_values")
+        found = exact if exact.count() == ranks.count() else None
+        widened += 1
 
     low_values = found.withColumnsRenamed({"rank": "below_pos", "v": "low_value"})
     high_values = found.withColumnsRenamed({"rank": "above_pos", "v": "high_value"})
-    paired = _join_on(ranks, low_values, [*by, "metric_no", "below_pos"])
+    paired = _join_on(wanted, low_values, [*by, "metric_no", "below_pos"])
     paired = _join_on(paired, high_values, [*by, "metric_no", "above_pos"])
     value = F.when(F.col("below_pos") == F.col("above_pos"), F.col("low_value")).otherwise(
         (F.col("above_pos") - F.col("pos")) * F.col("low_value")
         + (F.col("pos") - F.col("below_pos")) * F.col("high_value")
     )
     pair = F.struct("prob_no", value.alias("value"))
-    return paired.groupBy(*by, "metric_no").agg(
+    each = paired.groupBy(*by, "metric_no").agg(
         F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["value"]).alias("values")
     )
+    return each.groupBy(*by).agg(
+        *[F.max(F.when(F.col("metric_no") == i, F.col("values"))).alias(quantile_column(m)) for i, m in enumerate(metrics)]
+    )
 
 
 def _wanted(sketches: DataFrame, metrics: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:

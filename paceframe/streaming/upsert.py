@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from paceframe.sources.files import Files
 from paceframe.streaming.sinks import EVERY_5_SECONDS
 
 BUCKETS = 64
@@ -33,42 +34,6 @@ class Version(NamedTuple):
     folders: dict[int, int]
 
 
-class Files:
-    """Small files in whatever store Spark reads."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark._jvm
-        self.fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, path: str) -> Any:
-        return self.jvm.org.apache.hadoop.fs.Path(path)
-
-    def names(self, folder: str) -> list[str]:
-        path = self._path(folder)
-        return [s.getPath().getName() for s in self.fs.listStatus(path)] if self.fs.exists(path) else []
-
-    def read(self, path: str) -> str:
-        stream = self.fs.open(self._path(path))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def put(self, path: str, text: str) -> None:
-        """Writes beside the place and moves; readers never see a part of a file."""
-        beside = f"{path}.writing"
-        stream = self.fs.create(self._path(beside), True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        if self.fs.exists(self._path(path)) or not self.fs.rename(self._path(beside), self._path(path)):
-            raise FileExistsError(path)
-
-    def remove(self, path: str) -> None:
-        self.fs.delete(self._path(path), True)
-
-
 class KeyedTable:
     """One row a key, below ``path``.
 
