@@ -16,7 +16,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceframe.operators.preprocessing import assembler, fit_impute_scale, one_hot, string_indexer
@@ -42,21 +42,23 @@ LIGHT = ForestSize(trees=30, depth=12, leaf=10)
 FULL = ForestSize(trees=100, depth=30, leaf=1)
 
 
-# Fits depend on how rows are dealt out, so this is fixed by a parameter and not by the cluster.
-TRAINING_PARTITIONS = 32
+# Fits depend on how rows are dealt out, so that follows from the number of rows and not from the cluster.
+ROWS_PER_PARTITION = 100_000
 
 
 @contextmanager
-def training_frame(df: DataFrame, *columns: str, partitions: int = TRAINING_PARTITIONS) -> Iterator[DataFrame]:
+def training_frame(df: DataFrame, *columns: str, rows_per_partition: int = ROWS_PER_PARTITION) -> Iterator[DataFrame]:
     """The needed columns, kept while an iterative fit runs over them.
 
-    Rows are dealt out by their values to ``partitions`` and sorted there, so that the same rows
-    give the same fit whatever files and cores there are. Spilled to disk when memory is short,
-    and recomputed for a lost executor.
+    Rows are dealt out by their values to as many partitions as their number asks for and sorted
+    there, so that the same rows give the same fit whatever files and cores there are. Spilled to
+    disk when memory is short, and recomputed for a lost executor.
     """
-    vectors = [c for c, kind in df.select(*columns).dtypes if kind == "vector"]
+    chosen = df.select(*columns)
+    partitions = max(1, -(-chosen.count() // rows_per_partition))
+    vectors = [c for c, kind in chosen.dtypes if kind == "vector"]
     keys = [F.to_json(vector_to_array(c)) if c in vectors else F.col(c) for c in columns]
-    dealt = df.select(*columns).repartition(partitions, *keys).sortWithinPartitions(*keys)
+    dealt = chosen.repartition(partitions, *keys).sortWithinPartitions(*keys)
     kept = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
@@ -223,7 +225,7 @@ def segment_users_stored(path: str, profiles: DataFrame) -> DataFrame:
 
 
 def cluster_quality(profiles: DataFrame, ks: Iterable[int] = range(2, 9), seed: int = 42) -> DataFrame:
-    """Silhouette and within-cluster cost for each number of clusters."""
+    """Silhouette and within-cluster cost for each number of clusters; see :func:`score_centres`."""
     with training_frame(profiles, *PROFILE_FEATURES) as rows:
         prepare = PipelineModel(
             stages=[
@@ -232,12 +234,66 @@ def cluster_quality(profiles: DataFrame, ks: Iterable[int] = range(2, 9), seed:
             ]
         )
         with training_frame(prepare.transform(rows), "features") as vectors:
-            found = []
-            for k in ks:
-                model = KMeans(featuresCol="features", k=k, seed=seed).fit(vectors)
-                scored = model.transform(vectors)
-                found.append((k, silhouette(scored), float(model.summary.trainingCost)))
-    return literal_rows(profiles.sparkSession, found, "k int, silhouette double, cost double")
+            fits = {k: KMeans(featuresCol="features", k=k, seed=seed).fit(vectors) for k in ks}
+            centres = {k: [list(map(float, c)) for c in model.clusterCenters()] for k, model in fits.items()}
+            return materialise(score_centres(vectors, centres), "cluster_quality")
+
+
+def score_centres(vectors: DataFrame, centres: dict[int, list[list[float]]], features: str = "features") -> DataFrame:
+    """(k, silhouette, cost) of several sets of centres, from two scans for all of them.
+
+    Every row is assigned to its nearest centre of every set at once. The first scan sums the
+    vectors and their squared lengths per set and cluster; the mean squared distance of a row to a
+    cluster follows from those sums, so the second scan has the silhouette of every row. Rows alone
+    in their cluster have 0, and a set of whose clusters only one has rows has null.
+    """
+    spark = vectors.sparkSession
+    sets = rows_of_centres(spark, centres)
+    point = vectors.select(vector_to_array(features).alias("x"))
+
+    def distance(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+
+    def nearest(x: Column, points: Column) -> Column:
+        scored = F.transform(points, lambda c, i: F.struct(distance(x, c).alias("d"), i.alias("cluster")))
+        return F.array_min(scored)
+
+    listed = F.array_sort(F.collect_list(F.struct("k", "centres")))
+    each = point.withColumn("set", F.explode(sets.agg(listed).scalar())).select("x", F.col("set.k").alias("k"), F.col("set.centres").alias("c"))
+    assigned = each.withColumn("at", nearest(F.col("x"), F.col("c"))).select("k", "x", "at.cluster", "at.d")
+    size = len(next(iter(centres.values()))[0])
+    length = F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)
+    sums = assigned.groupBy("k", "cluster").agg(
+        F.count("*").alias("n"),
+        F.sum("d").alias("cost"),
+        F.sum(length).alias("squares"),
+        F.array(*[F.sum(F.col("x")[i]) for i in range(size)]).alias("total"),
+    )
+    # A row per set and cluster: as small as the sets of centres themselves.
+    sums = materialise(sums, "cluster_sums")
+    clusters = sums.groupBy("k").agg(F.collect_list(F.struct("cluster", "n", "squares", "total")).alias("clusters"))
+
+    def mean_distance(x: Column, c: Column, n: Column) -> Column:
+        """Sum of the squared distances of ``x`` to the rows of a cluster, over ``n``."""
+        dot = F.aggregate(F.zip_with(x, c["total"], lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+        square = F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v)
+        return (c["n"] * square + c["squares"] - 2 * dot) / n
+
+    joined = assigned.join(clusters, "k").where(F.size("clusters") > 1)
+    own = F.filter("clusters", lambda c: c["cluster"] == F.col("cluster"))[0]
+    others = F.filter("clusters", lambda c: c["cluster"] != F.col("cluster"))
+    inner = mean_distance(F.col("x"), F.col("own"), F.greatest(F.col("own")["n"] - 1, F.lit(1)))
+    outer = F.array_min(F.transform(others, lambda c: mean_distance(F.col("x"), c, c["n"])))
+    scored = joined.withColumn("own", own).withColumns({"a": inner, "b": outer})
+    value = F.when(F.col("own")["n"] == 1, 0.0).when(F.col("a") < F.col("b"), 1 - F.col("a") / F.col("b"))
+    value = value.when(F.col("a") > F.col("b"), F.col("b") / F.col("a") - 1).otherwise(0.0)
+    mean = scored.groupBy("k").agg(F.avg(value).alias("silhouette"))
+    cost = sums.groupBy("k").agg(F.sum("cost").alias("cost"))
+    return cost.join(mean, "k", "left").select("k", "silhouette", "cost").orderBy("k")
+
+
+def rows_of_centres(spark: SparkSession, centres: dict[int, list[list[float]]]) -> DataFrame:
+    return literal_rows(spark, sorted(centres.items()), "k int, centres array<array<double>>")
 
 
 def silhouette(scored: DataFrame, features: str = "features") -> float:

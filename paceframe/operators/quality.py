@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paceframe.functions.columns import label_text, missing, percent, preview_text
 from paceframe.operators.quantiles import ACCURACY, aggregate_with_quantiles, quantile_column
 from paceframe.schemas import METRICS, VALID_RANGES, ValidRange
+from paceframe.sources.readers import rows
 
 
 def _rows(wide: DataFrame, structs: list[Column]) -> DataFrame:
@@ -67,20 +68,22 @@ def duplicate_report(df: DataFrame, digest: Sequence[str] = ()) -> DataFrame:
 def column_profile(df: DataFrame) -> DataFrame:
     """Type, number of distinct values and a sample value per column.
 
-    The sample is taken from the first row in column order, so it does not depend on how the
-    table is split.
+    The distinct values of every column are counted by an aggregation of its own, which reads that
+    column only: all of them together read the table once, and no row is repeated per column. The
+    sample is taken from the first row in column order, so it does not depend on how the table is
+    split.
     """
-    # Apart from the distinct counts, which read every row once per column.
     first = df.agg(F.min(F.struct(*df.columns)).alias("first")).scalar()
-    wide = df.agg(*[F.count_distinct(c).alias(f"{c}__n") for c in df.columns]).withColumn("_first", first)
     types = dict(df.dtypes)
+    counts = {c: df.select(c).agg(F.count_distinct(c).alias("n")).scalar() for c in df.columns}
+    one = rows(df.sparkSession, [(0,)], "_at int").withColumn("_first", first)
     return _rows(
-        wide,
+        one,
         [
             F.struct(
                 F.lit(c).alias("column"),
                 F.lit(types[c]).alias("data_type"),
-                F.col(f"{c}__n").alias("unique_values"),
+                counts[c].alias("unique_values"),
                 preview_text(F.col("_first")[c]).alias("sample_value"),
             )
             for c in df.columns

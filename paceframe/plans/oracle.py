@@ -79,6 +79,10 @@ ORACLE["raw_layout_parquet_roundtrip"] = events(
 FROM t GROUP BY 1, 2, 3"""
 )
 ORACLE["raw_layout_csv_roundtrip"] = events(_RAW)
+ORACLE["raw_layout_twins"] = events(
+    """SELECT format, CAST(date AS VARCHAR) AS date, count(*) AS num_records, CAST(sum(steps) AS BIGINT) AS sum_steps
+FROM t, (VALUES ('parquet', -1), ('csv', 50)) f(format, least) WHERE least < 0 OR steps > least GROUP BY 1, 2"""
+)
 ORACLE["summary_document"] = lines(
     f""", o AS (SELECT count(*) AS all_records, CAST(min(date) AS VARCHAR) AS first_date,
            CAST(max(date) AS VARCHAR) AS last_date FROM t),
@@ -506,6 +510,13 @@ SELECT window_start, window_end, activity_type, count(*) AS num_records FROM k
 WHERE window_end <= (SELECT max(event_time) - INTERVAL 1 MINUTE FROM t) GROUP BY 1, 2, 3"""
 )
 
+# A batch counts a window and activity once, however many of its late rows it drops.
+ORACLE["stream_late_totals"] = events(
+    f"""{_DELIVERED}
+SELECT (SELECT count(*) FROM d) AS num_input_rows, count(DISTINCT (arrival, window_start, activity_type)) AS num_late_groups
+FROM d JOIN m USING (arrival) WHERE window_end <= newest - INTERVAL 1 MINUTE"""
+)
+
 # Feature steps
 
 ORACLE["feature_vector"] = lines(

@@ -17,7 +17,7 @@ from paceframe.sources.adapters import (
     line_telemetry,
     table,
 )
-from paceframe.streaming import lifecycle, sinks, sources, upsert, windows
+from paceframe.streaming import lifecycle, progress, sinks, sources, upsert, windows
 
 QUERIES = Registry()
 
@@ -142,6 +142,20 @@ def stream_late_data(spark, sf):
     return _plain_times(spark.read.parquet(out), "window_start", "window_end")
 
 
+@QUERIES.add
+def stream_late_totals(spark, sf):
+    """Input rows and late groups of the late-data stream over all its deliveries and restarts."""
+    out, checkpoint, log = (scratch_path(spark, n) for n in ("late", "late_checkpoint", "late_progress"))
+
+    def start(stream: DataFrame):
+        flat = windows.flat_windows(windows.windowed_counts(stream))
+        return sinks.append_to_parquet(flat, out, checkpoint, trigger=sinks.AVAILABLE_NOW)
+
+    with progress.ProgressLog(spark, log):
+        _deliver_and_run(spark, *_arrivals(spark, sf), start)
+    return progress.totals(spark, log).select("num_input_rows", "num_late_groups")
+
+
 @QUERIES.add
 def stream_window_latest(spark, sf):
     """Closed windows, latest first."""

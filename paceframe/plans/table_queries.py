@@ -51,9 +51,7 @@ def scan_recursive(spark, sf):
 def scan_glob_filter(spark, sf):
     """Parquet files of a tree that also holds CSV copies of the same rows."""
     root = scratch_path(spark, "raw")
-    raw = _raw_events(spark, sf)
-    writers.write_raw_layout(raw, f"{root}/a", "parquet")
-    writers.write_raw_layout(raw, f"{root}/b", "csv")
+    writers.write_raw_layout(_raw_events(spark, sf), root, "parquet", "csv")
     return readers.read_tree(spark, root, RAW_DAILY, glob="*.parquet")
 
 
@@ -113,6 +111,23 @@ def raw_layout_csv_roundtrip(spark, sf):
     return readers.read_csv_tree(spark, root, RAW_DAILY)
 
 
+@QUERIES.add
+def raw_layout_twins(spark, sf):
+    """Both formats in the same daily folders: the Parquet files written first, and replaced beside the
+    CSV files, which stay."""
+    root = scratch_path(spark, "raw")
+    raw = _raw_events(spark, sf)
+    writers.write_raw_layout(raw.where("steps > 50"), root, "parquet", "csv")
+    writers.write_raw_layout(raw, root, "parquet")
+    daily = [
+        readers.read_tree(spark, root, RAW_DAILY).withColumn("format", F.lit("parquet")),
+        readers.read_csv_tree(spark, root, RAW_DAILY).withColumn("format", F.lit("csv")),
+    ]
+    return readers.concat(daily).groupBy("format", "date").agg(
+        F.count("*").alias("num_records"), F.sum("steps").alias("sum_steps")
+    )
+
+
 @QUERIES.add
 def summary_document(spark, sf):
     """The nested document, flattened to one row per month and activity."""

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -117,6 +118,33 @@ def test_cluster_quality(telemetry):
     assert [r["k"] for r in found] == [2, 3] and all(-1 <= r["silhouette"] <= 1 for r in found)
 
 
+def test_all_sets_of_centres_are_scored_together(telemetry):
+    profiles = models.profiles_of(telemetry)
+    vectors = preprocessing.assembler(models.PROFILE_FEATURES).transform(profiles).select("features").persist()
+    fits = {k: KMeans(k=k, seed=2).fit(vectors) for k in range(2, 9)}
+    centres = {k: [list(map(float, c)) for c in m.clusterCenters()] for k, m in fits.items()}
+    # A centre without rows, and a set with all rows in one cluster.
+    centres[20] = [*centres[2], [1e9, 1e9, 1e9]]
+    centres[30] = [centres[2][0], [1e9, 1e9, 1e9]]
+    found = {r["k"]: r for r in models.score_centres(vectors, centres).collect()}
+    for k, model in fits.items():
+        assert found[k]["silhouette"] == pytest.approx(models.silhouette(model.transform(vectors)), abs=1e-9)
+        points = np.array([r["features"].toArray() for r in vectors.collect()])
+        squares = ((points[:, None, :] - np.array(centres[k])[None]) ** 2).sum(axis=2).min(axis=1)
+        assert found[k]["cost"] == pytest.approx(squares.sum(), rel=1e-9)
+    assert found[20]["silhouette"] == pytest.approx(found[2]["silhouette"], abs=1e-9) and found[30]["silhouette"] is None
+
+
+def test_fits_do_not_depend_on_the_layout(telemetry, spark):
+    profiles = models.profiles_of(telemetry)
+    fits = []
+    for parts in (1, 4, 8):
+        with models.training_frame(profiles.repartition(parts), *models.PROFILE_FEATURES, rows_per_partition=20) as kept:
+            assert kept.rdd.getNumPartitions() == -(-profiles.count() // 20)
+        fits.append(models.fit_segments_scaled(profiles.repartition(parts)).stages[-1].clusterCenters())
+    assert all(np.array_equal(fits[0], f) for f in fits[1:])
+
+
 def test_stored_models_predict_the_same(telemetry, spark, tmp_path):
     model = models.fit_forest_regressor(telemetry, size=models.ForestSize(3, 3, 1))
     path = str(tmp_path / "m")

@@ -59,3 +59,11 @@ def test_profile_shows_the_first_row(spark):
     assert found["k"]["sample_value"] == "1" and found["s"]["sample_value"] == "z" * 50
     assert (found["k"]["unique_values"], found["s"]["unique_values"]) == (2, 2)
     assert found["s"]["data_type"] == "string"
+
+
+def test_column_profile_repeats_no_row(spark):
+    df = rows(spark, [(1, "a", None), (1, "b", 2.0), (2, "b", 2.0)], "k int, name string, x double")
+    found = quality.column_profile(df)
+    assert "Expand" not in found._jdf.queryExecution().toString()
+    assert [(r["column"], r["unique_values"]) for r in found.collect()] == [("k", 2), ("name", 2), ("x", 1)]
+    assert [(r["column"], r["unique_values"]) for r in quality.column_profile(df.where("false")).collect()] == [("k", 0), ("name", 0), ("x", 0)]

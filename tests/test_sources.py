@@ -93,3 +93,79 @@ def test_shared_folder_comes_from_the_session(spark):
         assert shared_dir(spark) == configured
     df = materialise(spark.range(10))
     assert df.count() == 10 and "FileScan parquet" in plan(df)
+
+
+def days(spark, *values):
+    return readers.rows(spark, [(k, f"2023-04-{d:02d}", 1, 1.0, 1, 1.0, "yoga") for k, d in values], RAW_DAILY)
+
+
+def by_format(spark, root):
+    formats = (readers.read_tree(spark, root, RAW_DAILY), readers.read_csv_tree(spark, root, RAW_DAILY))
+    return [sorted((r["user_id"], r["date"]) for r in f.collect()) for f in formats]
+
+
+def test_formats_live_side_by_side(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    writers.write_raw_layout(days(spark, (1, 5), (2, 6)), root, "parquet", "csv")
+    both = [(1, "2023-04-05"), (2, "2023-04-06")]
+    assert by_format(spark, root) == [both, both]
+    writers.write_raw_layout(days(spark, (3, 6), (4, 7)), root, "csv")
+    assert by_format(spark, root) == [both, [(3, "2023-04-06"), (4, "2023-04-07")]]
+    assert {f.name for f in (tmp_path / "raw").iterdir()} == {"year=2023"}
+    day = tmp_path / "raw" / "year=2023" / "month=04" / "day=06"
+    assert sorted(f.suffix for f in day.iterdir() if not f.name.startswith(".")) == [".csv", ".parquet"]
+    with pytest.raises(ValueError, match="formats"):
+        writers.write_raw_layout(days(spark, (1, 5)), root, "xml")
+
+
+def test_a_failed_write_leaves_the_old_files(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "raw")
+    old = [(1, "2023-04-05")]
+    writers.write_raw_layout(days(spark, (1, 5)), root, "parquet", "csv")
+    with pytest.raises(Exception):  # noqa: B017
+        writers.write_raw_layout(days(spark, (2, 6)).withColumn("steps", F.raise_error(F.lit("lost"))), root, "parquet", "csv")
+    assert by_format(spark, root) == [old, old]
+
+    def fail(self, path, text, replace=False):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(writers.Files, "put", fail)
+        with pytest.raises(OSError):
+            writers.write_raw_layout(days(spark, (2, 6)), root, "parquet")
+    assert by_format(spark, root) == [old, old]
+    # What failed writes have left goes with the next one.
+    writers.write_raw_layout(days(spark, (2, 6)), root, "parquet")
+    assert by_format(spark, root) == [[(2, "2023-04-06")], old]
+    assert not list((tmp_path / "raw").glob("_*"))
+
+
+@pytest.mark.parametrize("steps", range(6))
+def test_a_write_with_a_manifest_is_completed(spark, tmp_path, monkeypatch, steps):
+    root = str(tmp_path / "raw")
+    writers.write_raw_layout(days(spark, (1, 5), (2, 6)), root, "parquet", "csv")
+    done = []
+
+    def some(method):
+        def run(self, *args):
+            if len(done) == steps:
+                raise OSError("lost")
+            done.append(args)
+            return method(self, *args)
+
+        return run
+
+    new = [(3, "2023-04-06"), (4, "2023-04-08")]
+    with monkeypatch.context() as patch:
+        put = writers.Files.put
+
+        def then_fail(self, *args, **more):
+            put(self, *args, **more)
+            for name in ("move", "remove"):
+                patch.setattr(writers.Files, name, some(getattr(writers.Files, name)))
+
+        patch.setattr(writers.Files, "put", then_fail)
+        with pytest.raises(OSError):
+            writers.write_raw_layout(days(spark, (3, 6), (4, 8)), root, "parquet", "csv")
+    assert writers.finish_raw_layout(spark, root) and not writers.finish_raw_layout(spark, root)
+    assert by_format(spark, root) == [new, new]

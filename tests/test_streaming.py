@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paceframe.operators import summaries
 from paceframe.schemas import RAW_STREAM
 from paceframe.sources.readers import rows
-from paceframe.streaming import lifecycle, sinks, sources, upsert, windows
+from paceframe.streaming import lifecycle, progress, sinks, sources, upsert, windows
 
 KEYS = ("window_start", "window_end", "activity_type")
 
@@ -127,3 +127,24 @@ def test_windows_of_a_table_need_no_watermark(spark):
     counts = windows.latest_windows(windows.flat_windows(windows.windowed_counts(df)))
     assert [r["num_records"] for r in counts.collect()] == [1, 2]
     assert counts.select(F.unix_timestamp("window_end") - F.unix_timestamp("window_start")).first()[0] == 30
+
+
+def test_totals_cover_all_batches_and_restarts(spark, tmp_path):
+    """More batches than a query remembers, with one late group each from the third on."""
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    late = 104
+    try:
+        with progress.ProgressLog(spark, str(tmp_path / "log")):
+            for part in range(2):
+                drop_file(spark, tmp_path / "in", [event(30_000 + part, "yoga")])
+                for i in range(late // 2):
+                    drop_file(spark, tmp_path / "in", [event(1 + i % 9, "run"), event(2, "run")])
+                query = run_update(spark, tmp_path, counts_table(spark, tmp_path / "table", buckets=1))
+                assert len(query.recentProgress) <= 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    found = progress.totals(spark, str(tmp_path / "log")).first()
+    # The first batch behind the one that closes the windows is still taken.
+    assert (found["num_input_rows"], found["num_late_groups"]) == (2 + 2 * late, late - 1)
+    assert found["num_batches"] >= late + 2
