@@ -15,11 +15,19 @@ from paceframe.operators.quantiles import (
     quantile_column,
 )
 from paceframe.session import materialise
+from paceframe.sources.readers import rows
 
 # Fixed values of the density curve: Silverman's rule, and evaluation points per bandwidth.
 SILVERMAN = 1.059
 NORMAL_IQR = 1.349
 STEPS_PER_BANDWIDTH = 3
+# Points of a density curve at most, parts of the values that a long-tailed grid is dealt out to, cells
+# of a bandwidth, power sums of a cell, and bandwidths beyond which a value adds nothing.
+GRID = 512
+SEGMENTS = 32
+CELLS_PER_BANDWIDTH = 4
+POWERS = 9
+REACH = 10
 
 
 def _range(df: DataFrame, metric: str) -> Column:
@@ -80,59 +88,99 @@ def box_summary(
     names = ("low", "q1", "median", "q3", "high", "fence_low", "fence_high")
     if by:
         # Written out first: the join below then knows how small (or big) the table is.
-        rows = _join_on(df.select(*by, metric), materialise(figures, "box"), by)
+        bounded = _join_on(df.select(*by, metric), materialise(figures, "box"), by)
     else:
-        rows = df.select(metric).withColumn("_f", figures.select(F.struct(*names).alias("f")).scalar())
-        rows = rows.select(metric, "_f.*")
+        bounded = df.select(metric).withColumn("_f", figures.select(F.struct(*names).alias("f")).scalar())
+        bounded = bounded.select(metric, "_f.*")
     inside = F.when(value.between(F.col("fence_low"), F.col("fence_high")), value)
-    return rows.groupBy(*by, *names).agg(
+    return bounded.groupBy(*by, *names).agg(
         F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high")
     ).drop("fence_low", "fence_high")
 
 
-def density_curve(
-    df: DataFrame, metric: str, bins: int = 512, accuracy: int = ACCURACY
-) -> DataFrame:
-    """Gaussian kernel density on a grid, as drawn by a violin plot.
+def density_curve(df: DataFrame, metric: str, accuracy: int = ACCURACY) -> DataFrame:
+    """Gaussian kernel density on a grid of at most GRID points, as drawn by a violin plot.
+
+    The bandwidth follows Silverman's rule with the smaller of standard deviation and scaled IQR.
+    The grid spans two bandwidths beyond the extremes in steps of a third of a bandwidth. Where
+    that takes too many points, as on a long tail, as many points lie between each two of 33
+    quantiles, so that they are dense where the values are.
 
-    The bandwidth follows Silverman's rule with the smaller of standard deviation and scaled
-    IQR; the grid spans two bandwidths beyond the extremes in steps of a third of a bandwidth.
-    Values enter as bin midpoints with counts: the rows are reduced to ``bins`` weights first,
-    and each grid point sums over those.
+    Values enter through cells of a quarter of a bandwidth. A cell has the power sums of its values'
+    distances from its middle, and the kernel's expansion in Hermite polynomials gives their sum at
+    any point. With nine sums and distances up to an eighth of a bandwidth the error is below 1e-10
+    of the kernel's height; cells more than ten bandwidths away add less than that and are left out.
+    No rows without at least two different values, or with infinite ones.
     """
-    q = quantile_column(metric)
+    shares = [i / SEGMENTS for i in range(SEGMENTS + 1)]
     aggs = [
         F.count(metric).alias("n"),
         F.stddev_samp(metric).alias("sd"),
         F.min(metric).cast("double").alias("lo"),
         F.max(metric).cast("double").alias("hi"),
     ]
-    figures = aggregate_with_quantiles(df, (metric,), (0.25, 0.75), (), aggs, accuracy)
-    spread = F.least(F.col("sd"), (F.col(q)[1] - F.col(q)[0]) / NORMAL_IQR)
-    shape = (
-        figures.withColumn("bw", SILVERMAN * spread * F.pow(F.col("n"), F.lit(-0.2)))
-        .where(F.col("bw") > 0)
-        .select("n", "lo", "hi", "bw")
-    )
-    weights = (
-        _binned(df, metric, bins)
-        .agg(F.array_sort(F.collect_list(F.struct("bin", "num_records"))).alias("w"))
-        .scalar()
-    )
-    start = F.col("lo") - 2 * F.col("bw")
-    span = F.col("hi") - F.col("lo") + 4 * F.col("bw")
-    steps = F.ceil(span / (F.col("bw") / STEPS_PER_BANDWIDTH))
-    grid = (
-        shape.withColumns({"start": start, "span": span, "points": steps, "w": weights})
-        .withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("points"))))
-        .withColumn("x", F.col("start") + F.col("point") * (F.col("span") / F.col("points")))
+    found = aggregate_with_quantiles(df, (metric,), shares, (), aggs, accuracy).first()
+    n, lo, hi, knots = found["n"], found["lo"], found["hi"], found[quantile_column(metric)]
+    schema = "point bigint, x double, density double"
+    if n < 2 or not math.isfinite(hi - lo):
+        return rows(df.sparkSession, [], schema)
+    spread = min(found["sd"], (knots[SEGMENTS * 3 // 4] - knots[SEGMENTS // 4]) / NORMAL_IQR)
+    bw = SILVERMAN * spread * n**-0.2
+    if not bw > 0:
+        return rows(df.sparkSession, [], schema)
+    grid = _grid(lo, hi, bw, knots)
+    width = bw / CELLS_PER_BANDWIDTH
+    reach = REACH * CELLS_PER_BANDWIDTH
+
+    def whole(c: Column) -> Column:
+        """Rounded down, as a double: a tail may be more cells long than an integer holds."""
+        return c - F.pmod(c, F.lit(1.0))
+
+    value = F.col(metric).cast("double")
+    placed = df.where(value.isNotNull() & ~F.isnan(value)).select(value.alias("v"))
+    placed = placed.withColumn("cell", whole((F.col("v") - lo) / width))
+    placed = placed.select("cell", ((F.col("v") - (lo + (F.col("cell") + 0.5) * width)) / bw).alias("d"))
+    sums = [F.sum(F.pow("d", F.lit(float(m)))).alias(f"s{m}") if m else F.count("*").cast("double").alias("s0") for m in range(POWERS)]
+    cells = placed.groupBy("cell").agg(*sums).withColumn("block", whole(F.col("cell") / reach))
+
+    # A point meets the cells of its own block and of the two beside it.
+    points = rows(df.sparkSession, list(enumerate(grid)), "point bigint, x double")
+    block = whole((F.col("x") - lo) / (width * reach))
+    near = points.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+    u = (F.col("x") - (lo + (F.col("cell") + 0.5) * width)) / bw
+    series = F.lit(0.0)
+    for m, polynomial in enumerate(_hermite(POWERS)):
+        term = F.lit(0.0)
+        for c in reversed(polynomial):
+            term = term * F.col("u") + c
+        series = series + term / math.factorial(m) * F.col(f"s{m}")
+    met = cells.join(near, "block").withColumn("u", u).withColumn("share", F.exp(-0.5 * F.col("u") * F.col("u")) * series)
+    total = met.groupBy("point").agg(F.sum("share").alias("total"))
+    norm = n * bw * math.sqrt(2 * math.pi)
+    return points.join(total, "point", "left").select(
+        "point", "x", (F.coalesce("total", F.lit(0.0)) / norm).alias("density")
     )
-    width = (F.col("hi") - F.col("lo")) / bins
 
-    def kernel(cell: Column) -> Column:
-        z = (F.col("x") - (F.col("lo") + width * (cell["bin"] + 0.5))) / F.col("bw")
-        return cell["num_records"] * F.exp(-0.5 * z * z)
 
-    total = F.aggregate("w", F.lit(0.0), lambda acc, cell: acc + kernel(cell))
-    norm = F.col("n") * F.col("bw") * math.sqrt(2 * math.pi)
-    return grid.select("point", "x", (total / norm).alias("density"))
+def _grid(lo: float, hi: float, bw: float, knots: Sequence[float]) -> list[float]:
+    start, span = lo - 2 * bw, hi - lo + 4 * bw
+    steps = span / (bw / STEPS_PER_BANDWIDTH)
+    if steps <= GRID - 1:
+        count = math.ceil(steps)
+        return [start + k * (span / count) for k in range(count + 1)]
+    ends = [start, *knots[1:-1], start + span]
+    each = (GRID - 1) // SEGMENTS
+    inner = [a + (b - a) * k / each for a, b in zip(ends, ends[1:]) if b > a for k in range(each)]
+    return [*inner, ends[-1]]
+
+
+def _hermite(count: int) -> list[list[float]]:
+    """Coefficients of the first polynomials for the weight exp(-u**2 / 2), lowest power first."""
+    found = [[1.0], [0.0, 1.0]]
+    while len(found) < count:
+        m = len(found) - 1
+        raised = [0.0, *found[m]]
+        for k, c in enumerate(found[m - 1]):
+            raised[k] -= m * c
+        found.append(raised)
+    return found[:count]

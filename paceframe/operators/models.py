@@ -10,15 +10,16 @@ from typing import NamedTuple
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceframe.functions.columns import hash_unit
 from paceframe.operators.preprocessing import assembler, fit_impute_scale, one_hot, string_indexer
 from paceframe.operators.summaries import user_profile
 from paceframe.session import materialise
@@ -42,6 +43,9 @@ LIGHT = ForestSize(trees=30, depth=12, leaf=10)
 FULL = ForestSize(trees=100, depth=30, leaf=1)
 
 
+# The logistic fit goes on until its loss hardly falls, so that its gradient is close to zero.
+LOGISTIC_STEPS, LOGISTIC_TOLERANCE = 500, 1e-10
+
 # Fits depend on how rows are dealt out, so that follows from the number of rows and not from the cluster.
 ROWS_PER_PARTITION = 100_000
 
@@ -74,12 +78,27 @@ def fit_logistic(
         string_indexer(label, "label"),
         assembler(features, "features_unscaled"),
         StandardScaler(inputCol="features_unscaled", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label"),
+        LogisticRegression(featuresCol="features", labelCol="label", maxIter=LOGISTIC_STEPS, tol=LOGISTIC_TOLERANCE),
     ]
     with training_frame(df, *features, label) as rows:
         return _with_label_names(Pipeline(stages=stages).fit(rows))
 
 
+def logistic_gradient(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """(num_rows, max_gradient): the largest partial derivative of the mean loss of a logistic fit by a
+    coefficient or an intercept, over all rows of ``df`` and on the fit's own scale. It is 0 at the optimum."""
+    fitted = next(s for s in model.stages if hasattr(s, "coefficientMatrix"))
+    classes, size = fitted.numClasses, fitted.numFeatures
+    scored = model.transform(df).select(
+        vector_to_array("probability").alias("p"), vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y")
+    )
+    parts = []
+    for k in range(classes):
+        error = F.col("p")[k] - F.when(F.col("y") == k, 1.0).otherwise(0.0)
+        parts += [F.abs(F.avg(error)), *[F.abs(F.avg(error * F.col("x")[j])) for j in range(size)]]
+    return scored.agg(F.count("*").alias("num_rows"), F.array_max(F.array(*parts)).alias("max_gradient"))
+
+
 def _with_label_names(model: PipelineModel) -> PipelineModel:
     """Adds ``predicted``, the name of the predicted class."""
     indexer = next(s for s in model.stages if s.hasParam("outputCol") and s.getOutputCol() == "label")
@@ -161,6 +180,88 @@ def fit_forest_regressor(
         return Pipeline(stages=stages).fit(rows)
 
 
+# Trees that are grown and held together, and rows that each group is grown on at most (about).
+GROUP_TREES = 10
+GROUP_ROWS = 1_000_000
+
+
+def fit_forest_groups(
+    df: DataFrame,
+    path: str,
+    classify: bool,
+    size: ForestSize = FULL,
+    group_trees: int = GROUP_TREES,
+    group_rows: int = GROUP_ROWS,
+    seed: int = 42,
+) -> int:
+    """A forest of the full size, grown and stored below ``path`` in groups of trees; their number.
+
+    Deep trees with single-row leaves are as large as their data, so each group is grown on a sample
+    of about ``group_rows`` rows, chosen anew by a hash of the row, or on all rows if there are no
+    more. The preparation is fitted on all rows. Only one group at a time is in the driver's memory;
+    :func:`score_forest_groups` averages them.
+    """
+    numeric = CLASSIFIER_FEATURES if classify else REGRESSOR_FEATURES
+    label = "activity_type" if classify else "calories_burned"
+    with training_frame(df, *dict.fromkeys((*numeric, "activity_type", label))) as rows:
+        if classify:
+            stages = [fit_impute_scale(rows, numeric), string_indexer(label, "label"), assembler([f"{c}_scaled" for c in numeric])]
+        else:
+            stages = regression_preprocessing(rows, numeric, "activity_type")
+        prepare = Pipeline(stages=stages).fit(rows)
+        prepare.write().overwrite().save(f"{path}/prepare")
+        ready, share = prepare.transform(rows), group_rows / max(1, rows.count())
+        groups = -(-size.trees // group_trees)
+        for g in range(groups):
+            part = ready.where(hash_unit(rows.columns, seed + g) < share) if share < 1 else ready
+            forest = (RandomForestClassifier if classify else RandomForestRegressor)(
+                labelCol="label" if classify else label,
+                featuresCol="features",
+                numTrees=min(group_trees, size.trees - g * group_trees),
+                maxDepth=size.depth,
+                minInstancesPerNode=size.leaf,
+                seed=seed + g,
+            )
+            forest.fit(part).write().overwrite().save(f"{path}/group={g}")
+    return groups
+
+
+def score_forest_groups(df: DataFrame, path: str, groups: int, classify: bool) -> DataFrame:
+    """``df`` with the prediction of a forest stored in groups: the mean over all its trees.
+
+    A classifier adds ``probability`` (array) and ``predicted``, the name of the likeliest class, of
+    equal ones the more frequent. A group's shares are added to the rows and the rows written out before
+    the next group is loaded.
+    """
+    prepare = PipelineModel.load(f"{path}/prepare")
+    load = RandomForestClassificationModel.load if classify else RandomForestRegressionModel.load
+    rows, total, trees = df, free_column(df, "_sum"), 0
+    for g in range(groups):
+        model = load(f"{path}/group={g}")
+        count = model.getNumTrees
+        scored = model.transform(prepare.transform(rows))
+        if classify:
+            share = F.transform(vector_to_array("probability"), lambda p: p * count)
+            added = share if g == 0 else F.zip_with(total, share, lambda a, b: a + b)
+        else:
+            added = F.col("prediction") * count + (0.0 if g == 0 else F.col(total))
+        rows = materialise(scored.withColumn(total, added).select(*df.columns, total), "forest-group")
+        trees += count
+    if not classify:
+        return rows.withColumn("prediction", F.col(total) / trees).drop(total)
+    indexer = next(s for s in prepare.stages if s.hasParam("outputCol") and s.getOutputCol() == "label")
+    probability = F.transform(F.col(total), lambda p: p / trees)
+    names = F.array(*[F.lit(n) for n in indexer.labels])
+    best = F.array_position("probability", F.array_max("probability")).cast("int")
+    return rows.withColumn("probability", probability).withColumn("predicted", F.element_at(names, best)).drop(total)
+
+
+def free_column(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def fit_segments_scaled(profiles: DataFrame, k: int = 3, seed: int = 1) -> PipelineModel:
     """K-means on centred profiles divided by the sample deviation; one start."""
     stages = [

@@ -14,8 +14,7 @@ from paceframe.session import materialise, shared_dir
 from paceframe.sources.readers import rows
 
 INT_MAX = 2**31 - 1
-# Items of a block, which are scored together.
-MAX_ITEMS = 1000
+REGULARISATION = 0.01
 
 
 class IndexedRatings(NamedTuple):
@@ -80,7 +79,7 @@ def index_ratings(ratings: DataFrame) -> IndexedRatings:
     return IndexedRatings(indexed.join(users, "user_id"), label_table(spark, indexer), users)
 
 
-def fit_als(indexed: DataFrame, max_iter: int = 5, reg: float = 0.01, seed: int = 42) -> ALSModel:
+def fit_als(indexed: DataFrame, max_iter: int = 5, reg: float = REGULARISATION, seed: int = 42) -> ALSModel:
     """Explicit-feedback factorisation of the activity counts."""
     return ALS(
         maxIter=max_iter,
@@ -93,37 +92,45 @@ def fit_als(indexed: DataFrame, max_iter: int = 5, reg: float = 0.01, seed: int
     ).fit(indexed.withColumn("rating", F.col("rating").cast("float")))
 
 
-def top_items(model: ALSModel, k: int = 3, max_items: int = MAX_ITEMS) -> DataFrame:
-    """The best ``k`` items of every user as (user_no, recommendations) lists.
+def top_items(model: ALSModel, k: int = 3) -> DataFrame:
+    """The best ``k`` items of every user as (user_no, recommendations) lists, equal scores by item."""
+    # Written out, since scoring is the costly part and readers may look at the lists again.
+    lists = materialise(model.recommendForAllUsers(k), "recommendations")
+    ordered = F.array_sort(
+        F.transform("recommendations", lambda r: F.struct((-r["rating"]).alias("minus"), r["item_id"].alias("item_id")))
+    )
+    named = F.transform(ordered, lambda r: F.struct(r["item_id"].alias("item_id"), (-r["minus"]).alias("rating")))
+    return lists.select("user_no", named.alias("recommendations"))
 
-    Scores are sums of doubles and ties go to the smaller id, whatever the size of the catalogue.
-    The factors of up to ``max_items`` items, one per activity, travel to the user factors as one
-    array; each user is scored where it lies, without pairing the two tables. Larger catalogues
-    are dealt into blocks of about so many, and the best of each block meet in an aggregation.
-    """
-    listed = F.array_sort(F.collect_list(F.struct("id", "features"))).alias("items")
 
-    def scored(item: Column) -> Column:
-        products = F.zip_with("features", item["features"], lambda x, y: x.cast("double") * y)
-        score = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-        return F.struct((-score).alias("minus"), item["id"].alias("id"))
+def user_residuals(model: ALSModel, ratings: DataFrame, reg: float = REGULARISATION) -> DataFrame:
+    """(user_no, residual): how far a user's factors are from solving the user's own system.
 
-    best = F.slice(F.array_sort(F.transform("items", scored)), 1, k)
-    blocks = -(-model.itemFactors.count() // max(1, max_items))
-    if blocks <= 1:
-        users = model.userFactors.withColumn("items", model.itemFactors.agg(listed).scalar())
-    else:
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-        items = materialise(model.itemFactors.groupBy(block).agg(listed), "items")
-        found = model.userFactors.crossJoin(items.select("items")).select("id", best.alias("best"))
-        users = found.groupBy("id").agg(F.flatten(F.collect_list("best")).alias("best"))
-        best = F.slice(F.array_sort("best"), 1, k)
-    return users.select(
-        F.col("id").alias("user_no"),
-        F.transform(
-            best, lambda b: F.struct(b["id"].alias("item_id"), (-b["minus"]).alias("rating"))
-        ).alias("recommendations"),
+    The factorisation ends with the users, so each user's factors u solve (V'V + reg n I) u = V'r for
+    the factors V of the n items rated and the ratings r. One aggregation sums the products of every
+    user; the residual is the largest difference of the two sides, as a share of the largest of V'r.
+    """
+    rank = model.rank
+    items = model.itemFactors.select(F.col("id").alias("item_id"), F.col("features").cast("array<double>").alias("v"))
+    rated = ratings.select("user_no", "item_id", F.col("rating").cast("double").alias("r")).join(items, "item_id")
+    pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
+    v = F.col("v")
+    sums = rated.groupBy("user_no").agg(
+        F.count("*").alias("n"),
+        F.array(*[F.sum(v[i] * v[j]) for i, j in pairs]).alias("vv"),
+        F.array(*[F.sum(v[i] * F.col("r")) for i in range(rank)]).alias("vr"),
     )
+    users = model.userFactors.select(F.col("id").alias("user_no"), F.col("features").cast("array<double>").alias("u"))
+    both = sums.join(users, "user_no")
+    u, at = F.col("u"), {pair: k for k, pair in enumerate(pairs)}
+    gaps = []
+    for i in range(rank):
+        side = reg * F.col("n") * u[i] - F.col("vr")[i]
+        for j in range(rank):
+            side = side + F.col("vv")[at[min(i, j), max(i, j)]] * u[j]
+        gaps.append(F.abs(side))
+    largest = F.array_max(F.transform("vr", F.abs))
+    return both.select("user_no", (F.array_max(F.array(*gaps)) / F.greatest(largest, F.lit(1e-30))).alias("residual"))
 
 
 def recommend(model: ALSModel, ratings: IndexedRatings, k: int = 3) -> DataFrame:

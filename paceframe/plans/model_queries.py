@@ -8,15 +8,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceframe.operators import metrics, models, preprocessing, recommend, sampling, summaries
+from paceframe.operators import metrics, models, preprocessing, recommend, sampling, segments, summaries
 from paceframe.plans.registry import Registry, rounded
 from paceframe.schemas import METRICS
-from paceframe.session import scratch_path
+from paceframe.session import materialise, scratch_path
 from paceframe.sources.readers import rows
 from paceframe.sources.adapters import event_telemetry, line_telemetry
 
 QUERIES = Registry()
 
+# Mean steps of the line telemetry lie between 22 and 29.
+LINE_TIERS = ((24.0, "Low"), (26.0, "Middle"), (None, "High"))
+
 ROW_KEY = ("user_id", "date", *METRICS, "activity_type")
 
 
@@ -122,6 +125,13 @@ def classify_logistic(spark, sf):
     return metrics.confusion_long(scored, "activity_type", "predicted")
 
 
+@QUERIES.add
+def logistic_optimality(spark, sf):
+    """How far the logistic fit is from the optimum: the largest gradient of its loss over all rows."""
+    train, _ = _split(spark, sf)
+    return models.logistic_gradient(models.fit_logistic(train), train)
+
+
 @QUERIES.add
 def classify_forest_light(spark, sf):
     train, test = _split(spark, sf)
@@ -140,8 +150,9 @@ def top10_confident(spark, sf):
 
 @QUERIES.add
 def regress_linear(spark, sf):
-    train, test = _split(spark, sf)
-    return metrics.regression_metrics(models.fit_linear(train).transform(test), "calories_burned")
+    # Split by a digest that SQL can reproduce.
+    train, test = sampling.hash_split(line_telemetry(spark, sf), ("user_id", "date", "steps"), portable=True)
+    return rounded(metrics.regression_metrics(models.fit_linear(train).transform(test), "calories_burned"))
 
 
 @QUERIES.add
@@ -194,34 +205,42 @@ def kmeans_elbow(spark, sf):
     return models.cluster_quality(models.profiles_of(line_telemetry(spark, sf)))
 
 
+@QUERIES.add
+def segment_report(spark, sf):
+    """Users, shares, profiles and tiers of the clusters of a fitted segmentation."""
+    profiles = models.profiles_of(line_telemetry(spark, sf))
+    assigned = materialise(models.segment_users(models.fit_segments_scaled(profiles), profiles), "segments")
+    shares = segments.cluster_shares(assigned).select("prediction", "share_pct")
+    return segments.cluster_tiers(assigned, LINE_TIERS).join(shares, "prediction")
+
+
 @QUERIES.add
 def model_comparison(spark, sf):
-    """The headline score of each model, computed on held-out rows or all users."""
+    """The headline score of each model, the forests' on held-out rows and the segments' on all users."""
     train, test = _split(spark, sf)
     profiles = models.profiles_of(line_telemetry(spark, sf))
-    segmenter = models.fit_segments_scaled(profiles, k=5)
-    score = models.silhouette(segmenter.transform(profiles))
-    classified = models.fit_logistic(train).transform(test)
-    regressed = models.fit_linear(train).transform(test)
+    score = models.silhouette(models.fit_segments_scaled(profiles, k=5).transform(profiles))
+    classified = models.fit_forest_classifier(train).transform(test)
+    regressed = models.fit_forest_regressor(train).transform(test)
     segmentation = rows(
         spark,
         [("User Segmentation", "K-Means", "Silhouette Score", score)],
         "model string, algorithm string, metric string, score double",
     )
 
-    def row(figures: DataFrame, model: str, algorithm: str, metric: str, column: str) -> DataFrame:
+    def row(figures: DataFrame, model: str, metric: str, column: str) -> DataFrame:
         return figures.select(
             F.lit(model).alias("model"),
-            F.lit(algorithm).alias("algorithm"),
+            F.lit("Random Forest").alias("algorithm"),
             F.lit(metric).alias("metric"),
             F.col(column).alias("score"),
         )
 
     accuracy = metrics.accuracy(classified, "activity_type", "predicted")
     errors = metrics.regression_metrics(regressed, "calories_burned")
-    return segmentation.unionByName(
-        row(accuracy, "Activity Classification", "Logistic Regression", "Accuracy", "accuracy")
-    ).unionByName(row(errors, "Calorie Regression", "Linear Regression", "R² Score", "r2"))
+    return segmentation.unionByName(row(accuracy, "Activity Classification", "Accuracy", "accuracy")).unionByName(
+        row(errors, "Calorie Regression", "R² Score", "r2")
+    )
 
 
 @QUERIES.add
@@ -258,19 +277,24 @@ def model_save_load_same_predictions(spark, sf):
 
 @QUERIES.add
 def als_predict(spark, sf):
-    """Error of the factorisation on held-out ratings."""
+    """Error of the factorisation on held-out ratings, and how far any user's factors are from the
+    solution of the user's own least-squares system."""
     indexed = recommend.index_ratings(summaries.ratings(event_telemetry(spark, sf)))
     train, test = sampling.hash_split(indexed.ratings, ("user_id", "activity_type"))
-    scored = recommend.fit_als(train).transform(test)
-    return metrics.regression_metrics(scored.withColumn("rating", F.col("rating").cast("double")), "rating")
+    model = recommend.fit_als(train)
+    figures = metrics.regression_metrics(model.transform(test).withColumn("rating", F.col("rating").cast("double")), "rating")
+    residual = recommend.user_residuals(model, train).agg(F.max("residual").alias("r"))
+    return figures.withColumn("max_residual", residual.scalar())
 
 
 @QUERIES.add
 def recommend_top3(spark, sf):
-    """The nested lists, as item numbers."""
+    """The nested lists with item numbers and scores, a row an item."""
     indexed = recommend.index_ratings(summaries.ratings(event_telemetry(spark, sf)))
     lists = recommend.top_items(recommend.fit_als(indexed.ratings), 3)
-    return lists.select("user_no", F.size("recommendations").alias("num_items"))
+    return lists.select("user_no", F.posexplode("recommendations").alias("at", "r")).select(
+        "user_no", (F.col("at") + 1).alias("rank"), "r.item_id", "r.rating"
+    )
 
 
 @QUERIES.add

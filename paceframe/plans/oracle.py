@@ -417,15 +417,12 @@ ORACLE["density_grid"] = events(
      1.059 * least(stddev_samp(calories_burned),
        (quantile_cont(calories_burned, 0.75) - quantile_cont(calories_burned, 0.25)) / 1.349)
      * pow(count(*), -0.2) AS bw FROM t),
-w AS (SELECT least(floor((calories_burned - lo) / (hi - lo) * 512), 511) AS bin, count(*) AS c
-      FROM t, s GROUP BY 1),
 g AS (SELECT s.*, unnest(range(CAST(ceil((hi - lo + 4 * bw) / (bw / 3)) AS BIGINT) + 1)) AS point,
              ceil((hi - lo + 4 * bw) / (bw / 3)) AS points FROM s),
 x AS (SELECT *, lo - 2 * bw + point * ((hi - lo + 4 * bw) / points) AS x FROM g)
 SELECT point, round(x, 6) AS x,
-       round(sum(c * exp(-0.5 * pow((x - (lo + (hi - lo) / 512 * (bin + 0.5))) / bw, 2)))
-             / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) AS density
-FROM x, w GROUP BY point, x"""
+       round(sum(exp(-0.5 * pow((x - calories_burned) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 8) AS density
+FROM x, t GROUP BY point, x"""
 )
 ORACLE["trend_by_activity"] = lines(
     """SELECT activity_type, count(*) AS num_points, round(regr_slope(calories_burned, steps), 4) AS slope,
@@ -579,10 +576,27 @@ SELECT activity_type, round((x0 - m0) / s0, 4) AS f0, round((x1 - m1) / s1, 4) A
 # Scores with a known answer
 
 # Every user gets as many activities as asked for.
-ORACLE["recommend_top3"] = events(
-    "SELECT CAST(user_id AS INTEGER) AS user_no, CAST(3 AS INTEGER) AS num_items FROM t GROUP BY user_id"
+# Least squares with an intercept for every activity: the slopes from the rows less their activity's means.
+ORACLE["regress_linear"] = lines(
+    """, d AS (SELECT activity_type AS c, calories_burned AS y, steps AS x, heart_rate_avg AS h, sleep_hours AS s,
+     CAST('0x' || substr(md5('42|' || user_id || '|' || date || '|' || steps), 1, 8) AS BIGINT) / 4294967296.0 < 0.8 AS train
+   FROM t),
+g AS (SELECT c, avg(y) AS my, avg(x) AS mx, avg(h) AS mh, avg(s) AS ms,
+     count(*) * covar_pop(x, x) AS xx, count(*) * covar_pop(x, h) AS xh, count(*) * covar_pop(x, s) AS xs,
+     count(*) * covar_pop(h, h) AS hh, count(*) * covar_pop(h, s) AS hs, count(*) * covar_pop(s, s) AS ss,
+     count(*) * covar_pop(x, y) AS xy, count(*) * covar_pop(h, y) AS hy, count(*) * covar_pop(s, y) AS sy
+   FROM d WHERE train GROUP BY c),
+n AS (SELECT sum(xx) AS a, sum(xh) AS b, sum(xs) AS e, sum(hh) AS f, sum(hs) AS k, sum(ss) AS m,
+     sum(xy) AS p, sum(hy) AS q, sum(sy) AS r FROM g),
+w AS (SELECT a * (f * m - k * k) - b * (b * m - k * e) + e * (b * k - f * e) AS det,
+     p * (f * m - k * k) - b * (q * m - k * r) + e * (q * k - f * r) AS dx,
+     a * (q * m - k * r) - p * (b * m - k * e) + e * (b * r - q * e) AS dh,
+     a * (f * r - q * k) - b * (b * r - q * e) + p * (b * k - f * e) AS ds FROM n),
+o AS (SELECT y, my + dx / det * (x - mx) + dh / det * (h - mh) + ds / det * (s - ms) AS yhat
+   FROM d JOIN g USING (c), w WHERE NOT train)
+SELECT count(*) AS num_rows, round(sqrt(avg((y - yhat) * (y - yhat))), 4) AS rmse,
+       round(1 - avg((y - yhat) * (y - yhat)) / var_pop(y), 4) AS r2 FROM o"""
 )
-
 ORACLE["regress_linear_1d"] = lines(
     """SELECT steps, round(a + b * steps, 4) AS prediction, count(*) AS num_records
 FROM t, (SELECT regr_intercept(calories_burned, steps) AS a, regr_slope(calories_burned, steps) AS b FROM t)

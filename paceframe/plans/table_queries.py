@@ -507,7 +507,8 @@ def box_by_activity(spark, sf):
 
 @QUERIES.add
 def density_grid(spark, sf):
-    return rounded(distributions.density_curve(event_telemetry(spark, sf), "calories_burned"), 6)
+    curve = distributions.density_curve(event_telemetry(spark, sf), "calories_burned")
+    return curve.select("point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
 @QUERIES.add

@@ -1,5 +1,3 @@
-import random
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -182,41 +180,72 @@ def test_recommendations_for_any_user_ids(telemetry, offset):
     assert out.agg(F.min("user_id")).first()[0] >= offset
 
 
-def test_scores_equal_the_blocked_product(telemetry):
+def test_lists_hold_the_best_products(telemetry):
     model = recommend.fit_als(recommend.index_ratings(summaries.ratings(telemetry)).ratings)
-    ours = {r["user_no"]: r["recommendations"] for r in recommend.top_items(model, 3).collect()}
-    theirs = {r["user_no"]: r["recommendations"] for r in recommend.top_items(model, 3, max_items=0).collect()}
-    assert set(ours) == set(theirs)
-    for user, best in ours.items():
-        assert [b["rating"] for b in best] == pytest.approx([b["rating"] for b in theirs[user]], abs=1e-4)
-
+    users, items = ({r["id"]: np.array(r["features"]) for r in f.collect()} for f in (model.userFactors, model.itemFactors))
+    found = {r["user_no"]: r["recommendations"] for r in recommend.top_items(model, 2).collect()}
+    assert set(found) == set(users)
+    for user, best in found.items():
+        scores = sorted((float(users[user] @ v) for v in items.values()), reverse=True)[:2]
+        assert [b["rating"] for b in best] == pytest.approx(scores, rel=1e-4)
+        assert [float(users[user] @ items[b["item_id"]]) for b in best] == pytest.approx(scores, rel=1e-4)
 
-def test_blocks_of_items_change_nothing(spark):
-    rng = random.Random(13)
-    vector = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]  # noqa: E731  # many ties
-    users = {i: vector() for i in range(20)}
-    items = {i: vector() for i in range(50)}
-    factors = [spark.createDataFrame(list(t.items()), "id int, features array<float>") for t in (users, items)]
 
+def test_equal_scores_are_ordered_by_item(spark):
     class Model:
-        userFactors, itemFactors = factors
-
         def recommendForAllUsers(self, k):
-            raise AssertionError("ties by no rule")
-
-    expected = {u: sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in items.items())[:4] for u, x in users.items()}
-    for size in (50, 7, 1):
-        found = recommend.top_items(Model(), 4, max_items=size).collect()
-        assert {r["user_no"]: [(-b["rating"], b["item_id"]) for b in r["recommendations"]] for r in found} == expected
-        assert len(found) == 20
-
-
-def test_scores_equal_those_of_spark(telemetry):
-    model = recommend.fit_als(recommend.index_ratings(summaries.ratings(telemetry)).ratings)
-    ours = {r["user_no"]: [b["rating"] for b in r["recommendations"]] for r in recommend.top_items(model, 3, max_items=1).collect()}
-    theirs = {r["user_no"]: [b["rating"] for b in r["recommendations"]] for r in model.recommendForAllUsers(3).collect()}
-    assert set(ours) == set(theirs)
-    assert all(ours[user] == pytest.approx(best, abs=1e-4) for user, best in theirs.items())
+            item = "array<struct<item_id: int, rating: float>>"
+            return spark.createDataFrame([(1, [(5, 2.0), (3, 2.0), (9, 4.0)]), (2, [])], f"user_no int, recommendations {item}")
+
+    found = {r["user_no"]: [tuple(x) for x in r["recommendations"]] for r in recommend.top_items(Model(), 3).collect()}
+    assert found == {1: [(9, 4.0), (3, 2.0), (5, 2.0)], 2: []}
+
+
+def test_factors_of_every_user_solve_the_users_system(telemetry):
+    ratings = recommend.index_ratings(summaries.ratings(telemetry)).ratings
+    model = recommend.fit_als(ratings)
+    found = recommend.user_residuals(model, ratings).collect()
+    assert len(found) == ratings.select("user_no").distinct().count()
+    assert max(r["residual"] for r in found) < 1e-3
+    # Other ratings than those of the fit leave a gap.
+    other = ratings.withColumn("rating", F.col("rating") * 3)
+    assert max(r["residual"] for r in recommend.user_residuals(model, other).collect()) > 0.1
+
+
+def test_the_logistic_fit_is_at_its_optimum(telemetry):
+    model = models.fit_logistic(telemetry.withColumn("steps", F.col("steps") + 9000 * F.rand(1)))
+    noisy = telemetry.withColumn("steps", F.col("steps") + 9000 * F.rand(1))
+    at, away = models.logistic_gradient(model, noisy).first(), models.logistic_gradient(model, telemetry.limit(300)).first()
+    assert at["num_rows"] == 900 and at["max_gradient"] < 1e-4 < away["max_gradient"]
+
+
+@pytest.mark.parametrize("classify", [True, False])
+def test_full_size_forests_in_groups(telemetry, tmp_path, classify):
+    """A hundred trees of the full depth, ten at a time, each group on a sample of its own."""
+    groups = models.fit_forest_groups(telemetry, str(tmp_path), classify, group_rows=600)
+    assert groups == 10 and len(list(tmp_path.glob("group=*"))) == 10
+    scored = models.score_forest_groups(telemetry, str(tmp_path), groups, classify)
+    assert set(telemetry.columns) <= set(scored.columns) and scored.count() == telemetry.count()
+    if classify:
+        assert accuracy(scored) > 0.97
+        total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+        assert scored.agg(F.max(F.abs(total - 1))).first()[0] < 1e-9
+    else:
+        assert metrics.regression_metrics(scored, "calories_burned").first()["r2"] > 0.97
+
+
+def test_groups_average_to_one_forest(telemetry, tmp_path):
+    size = models.ForestSize(6, 5, 2)
+    parts = models.fit_forest_groups(telemetry, str(tmp_path), False, size, group_trees=4)
+    scored = models.score_forest_groups(telemetry, str(tmp_path), parts, False)
+    prepare = PipelineModel.load(f"{tmp_path}/prepare")
+    means = np.zeros(telemetry.count())
+    for g, trees in enumerate((4, 2)):
+        forest = models.RandomForestRegressionModel.load(f"{tmp_path}/group={g}")
+        out = forest.transform(prepare.transform(telemetry)).orderBy("calories_burned")
+        means += trees * np.array([r["prediction"] for r in out.select("prediction").collect()])
+    found = [r["prediction"] for r in scored.orderBy("calories_burned").collect()]
+    assert found == pytest.approx(list(means / 6))
 
 
 def test_dense_ids_are_consecutive(spark):

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from paceframe.functions.columns import nan_to_null
 from paceframe.functions.moments import kurtosis_sample, skewness_sample
 from paceframe.operators import distributions, statistics
 from paceframe.sources.readers import rows
@@ -123,3 +124,22 @@ def test_density_integrates_to_one(telemetry):
     _, df = telemetry
     points = distributions.density_curve(df, "steps").orderBy("point").toPandas()
     assert np.trapezoid(points["density"], points["x"]) == pytest.approx(1.0, abs=0.02)
+
+
+@pytest.mark.parametrize("sigma", [0.3, 1.5, 4.0])
+def test_density_of_long_tails_equals_the_direct_sum(spark, sigma):
+    values = np.exp(np.random.default_rng(5).normal(0, sigma, 5000))
+    df = spark.createDataFrame(pd.DataFrame({"x": [*values, None, float("nan")]}))
+    found = distributions.density_curve(nan_to_null(df), "x").orderBy("point").collect()
+    assert 10 < len(found) <= 512
+    spread = min(values.std(ddof=1), (np.quantile(values, 0.75) - np.quantile(values, 0.25)) / 1.349)
+    bw = 1.059 * spread * len(values) ** -0.2
+    x = np.array([r["x"] for r in found])
+    direct = np.exp(-0.5 * ((x[:, None] - values[None]) / bw) ** 2).sum(axis=1) / (len(values) * bw * np.sqrt(2 * np.pi))
+    assert np.abs(np.array([r["density"] for r in found]) - direct).max() < 1e-9 * direct.max()
+    assert x[0] == pytest.approx(values.min() - 2 * bw) and x[-1] == pytest.approx(values.max() + 2 * bw) and (np.diff(x) > 0).all()
+
+
+def test_density_without_spread_has_no_rows(spark):
+    for values in ([], [3.0], [3.0, 3.0], [1.0, float("inf")]):
+        assert distributions.density_curve(rows(spark, [(v,) for v in values], "x double"), "x").count() == 0
