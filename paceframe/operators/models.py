@@ -44,7 +44,7 @@ FULL = ForestSize(trees=100, depth=30, leaf=1)
 
 
 # The logistic fit goes on until its loss hardly falls, so that its gradient is close to zero.
-LOGISTIC_STEPS, LOGISTIC_TOLERANCE = 500, 1e-10
+LOGISTIC_STEPS, LOGISTIC_TOLERANCE = 500, 1e-8
 
 # Fits depend on how rows are dealt out, so that follows from the number of rows and not from the cluster.
 ROWS_PER_PARTITION = 100_000
