@@ -42,7 +42,7 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ]
 
-# Notices that op6_license_scan leaves out, since the SQL it is compared with has no short ones.
+# Notices of fewer than five words, each found as a whole.
 NOTICES = [
     ("All-Rights-Reserved", "All rights reserved."),
     ("MIT", "MIT License"),

@@ -19,7 +19,7 @@ FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY body ORDER BY chars
 """
 
 
-def quality_sql(source: str, columns: str, false_rejection: float = 0.02, error: float = 0.05, min_good: int = 500, max_strata: int = 200, min_bad_share: float = 0.9) -> str:
+def quality_sql(source: str, columns: str, false_rejection: float = 0.02, error: float = 0.05, min_bad_share: float = 0.9) -> str:
     """The verdicts on the rows of ``source``; ``columns`` are selected from them (alias ``v``)."""
     rate = false_rejection / len(quality.RULES)
     scores = ", ".join(
@@ -29,7 +29,7 @@ def quality_sql(source: str, columns: str, false_rejection: float = 0.02, error:
     values = " UNION ALL ".join(f"SELECT stratum, good, '{r}' AS rule, {r} AS value FROM labelled" for r in quality.RULES)
     fails = ", ".join(
         f"CASE WHEN {r} >= coalesce((SELECT cutoff FROM cutoffs c WHERE c.rule = '{r}' AND c.stratum = "
-        f"CASE WHEN lang IN (SELECT stratum FROM own) THEN lang ELSE '*' END), 2147483647) THEN '{r}' END"
+        f"coalesce(lang, '*')), 2147483647) THEN '{r}' END"
         for r in quality.RULES
     )
     return rf"""
@@ -53,15 +53,12 @@ s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 verdicts AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 labelled AS (SELECT coalesce(lang, '*') AS stratum, good, s.* EXCLUDE (lang) FROM s JOIN verdicts USING (doc_id) WHERE NOT base_failed),
 vals AS ({values}),
-own AS (SELECT stratum FROM labelled WHERE stratum <> '*' GROUP BY stratum HAVING count(*) FILTER (good) >= {min_good}
-        ORDER BY count(*) FILTER (good) DESC, stratum LIMIT {max_strata}),
-groups AS (SELECT * FROM vals WHERE stratum IN (SELECT stratum FROM own) UNION ALL SELECT '*', good, rule, value FROM vals),
 cum AS (SELECT stratum, rule, value, sum(count(*) FILTER (good)) OVER up AS g, sum(count(*) FILTER (NOT good)) OVER up AS b
-        FROM groups GROUP BY stratum, rule, value WINDOW up AS (PARTITION BY stratum, rule ORDER BY value DESC)),
-sizes AS (SELECT stratum, rule, count(*) FILTER (good) AS n FROM groups GROUP BY stratum, rule),
+        FROM vals GROUP BY stratum, rule, value WINDOW up AS (PARTITION BY stratum, rule ORDER BY value DESC)),
+sizes AS (SELECT stratum, rule, count(*) FILTER (good) AS n FROM vals GROUP BY stratum, rule),
 terms AS (SELECT stratum, rule, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({rate}) + (n - k) * ln(1 - {rate})) AS p
           FROM (SELECT *, unnest(range(0, greatest(1, ceil(n * {rate})::BIGINT) + 1)) AS k FROM sizes) WHERE k <= n),
-allowed AS (SELECT stratum, rule, max(k) FILTER (total <= {error} / ((SELECT count(*) FROM own) + 1) / {len(quality.RULES)}) AS k
+allowed AS (SELECT stratum, rule, max(k) FILTER (total <= {error} / (SELECT count(DISTINCT stratum) FROM vals) / {len(quality.RULES)}) AS k
             FROM (SELECT *, sum(p) OVER (PARTITION BY stratum, rule ORDER BY k) AS total FROM terms) GROUP BY stratum, rule),
 cutoffs AS (SELECT stratum, rule, min(value) AS cutoff FROM cum JOIN allowed USING (stratum, rule)
             WHERE value >= 1 AND g <= k AND b > 0 AND b >= {min_bad_share} * (g + b) GROUP BY stratum, rule),
@@ -132,23 +129,30 @@ def license_sql() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
-    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    templates = [*licenses.TEMPLATES, *licenses.NOTICES]
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
+    words = "[x FOR x IN string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' ') IF x <> '']"
 
-    def shingles(source: str, keys: str) -> str:
-        words = "[x FOR x IN string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' ') IF x <> '']"
+    def runs(source: str, keys: str, size: str) -> str:
         return (
-            f"SELECT DISTINCT {keys}, array_to_string(list_slice(w, i, i + 4), ' ') AS s "
-            f"FROM (SELECT {keys}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {keys}, {words} AS w FROM {source}) WHERE len(w) >= 5)"
+            f"SELECT DISTINCT {keys}, {size} AS size, array_to_string(list_slice(w, i, i + {size} - 1), ' ') AS s "
+            f"FROM (SELECT {keys}, w, unnest(range(1, len(w) - {size} + 2)) AS i FROM {source} WHERE len(w) >= {size})"
         )
 
+    # A template has runs of five words, or is one run itself; a text has runs of every length.
+    of_template = " UNION ALL ".join(
+        runs(f"(SELECT * FROM tw WHERE len(w) {'>=' if n == 5 else '='} {n})", "template, license", str(n)) for n in range(1, 6)
+    )
+    of_text = " UNION ALL ".join(runs("dw", "rid, doc_id", str(n)) for n in range(1, 6))
     return f"""
 WITH t(template, license, text) AS (VALUES {values}),
-ts AS ({shingles('t', 'template, license')}),
-d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-ds AS ({shingles('d', 'rid, doc_id')}),
+tw AS (SELECT *, {words} AS w FROM t),
+ts AS ({of_template}),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+ds AS ({of_text}),
 sizes AS (SELECT template, count(*) AS n_shingles FROM ts GROUP BY template)
 SELECT doc_id, license, template, count(*) AS n_shared, any_value(n_shingles) AS n_shingles
-FROM ts JOIN ds USING (s) JOIN sizes USING (template)
+FROM ts JOIN ds USING (size, s) JOIN sizes USING (template)
 GROUP BY rid, doc_id, license, template HAVING count(*) * 100 >= any_value(n_shingles) * 80
 """
 

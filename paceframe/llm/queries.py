@@ -96,8 +96,8 @@ def op5_sentencepiece(spark, sf):
 
 @QUERIES.add
 def op6_license_scan(spark, sf):
-    """License notices of five words or more in every text."""
-    return licenses.scan(documents(spark, sf), licenses.TEMPLATES)
+    """License notices in every text, short ones too."""
+    return licenses.scan(documents(spark, sf))
 
 
 @QUERIES.add
