@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 WORDS = 5
 # Texts are hashed together up to about so many bytes; a longer text goes alone.
 CHUNK_BYTES = 1 << 20
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -22,16 +22,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _byte_values() -> np.ndarray:
-    """A value for each byte, A-Z as a-z; 0 for white space."""
-    codes = np.arange(256, dtype=np.uint64)
-    codes[65:91] += np.uint64(32)
-    values = mixed((codes + np.uint64(1)) * _FACTOR)
-    values[[9, 10, 11, 12, 13, 32]] = 0
-    return values
+def _folded() -> np.ndarray:
+    """Every byte, A-Z as a-z."""
+    codes = np.arange(256, dtype=np.uint8)
+    codes[65:91] += 32
+    return codes
 
 
-_VALUES = _byte_values()
+_FOLDED = _folded()
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+# Words up to so many bytes are hashed eight bytes at a time, all words together; longer ones apart.
+_TOGETHER = 64
 
 
 def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -48,17 +49,29 @@ def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def _word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The start of each word in the buffer and its hash, from one running polynomial sum."""
-    values = _VALUES[buffer]
+    """The start of each word in the buffer and its hash.
+
+    Each step takes eight bytes of a word into its hash and spreads them over all bits, so that
+    words collide by chance only, whatever their pattern. ``buffer`` ends in white space.
+    """
     inside = np.zeros(len(buffer) + 2, dtype=np.int8)
-    inside[1:-1] = values != 0
+    inside[1:-1] = ~_WHITE[buffer]
     steps = np.diff(inside)
     starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-    powers = np.cumprod(np.full(len(buffer) + 1, _FACTOR))
-    total = np.zeros(len(buffer) + 1, dtype=np.uint64)
-    np.cumsum(values * powers[:-1], out=total[1:])
-    inverse = np.cumprod(np.full(len(buffer) + 1, _INVERSE))
-    return starts, mixed((total[ends] - total[starts]) * inverse[starts])
+    folded = np.append(_FOLDED[buffer], np.zeros(8, dtype=np.uint8))
+    lanes = np.ndarray(len(buffer) + 1, dtype="<u8", buffer=folded, strides=(1,))
+    lengths = ends - starts
+    hashes = mixed(lengths.astype(np.uint64) * _FACTOR)
+    for at in range(0, _TOGETHER, 8):
+        more = np.flatnonzero((lengths > at) & (lengths <= _TOGETHER))
+        if not len(more):
+            break
+        rest = np.minimum(lengths[more] - at, 8).astype(np.uint64)
+        lane = lanes[starts[more] + at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * rest))
+        hashes[more] = mixed((hashes[more] ^ lane) * _FACTOR)
+    for k in np.flatnonzero(lengths > _TOGETHER).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(folded[starts[k] : ends[k]].tobytes())
+    return starts, hashes
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -75,7 +88,7 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
         runs = np.zeros(max(0, len(words) - WORDS + 1), dtype=np.uint64)
         for k in range(WORDS):
-            runs = mixed(runs * _FACTOR + words[k : len(words) - WORDS + 1 + k])
+            runs = mixed(runs * _FACTOR + words[k : k + len(runs)])
         for first, last in zip(bounds[:-1], bounds[1:]):
             n = last - first
             if n >= WORDS:
