@@ -36,8 +36,11 @@ PROFILE = "doc_id long, n_shingles long, k1 long, k2 long, parity binary"
 POSTING = "gram long, doc_id long, n int, place int"
 PAIR = "a long, b long"
 # Shingles counted at once when frequent ones are sought, and how many of them are kept.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_500_000
 MAX_FREQUENT = 1_000_000
+# Rows that are in Python at a time, and digests of sets that a task remembers.
+ROWS = 1000
+SEEN = 10_000
 # Rounds that merge components before all pairs between them are tried, and partners a document
 # tries in each.
 ROUNDS = 3
@@ -54,6 +57,12 @@ def _texts(batch: pd.DataFrame) -> list[bytes]:
     return [(t or "").encode() for t in batch["text"]]
 
 
+def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch[at : at + ROWS]
+
+
 def frequent_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shingles of three or more documents of a block, with their number."""
     held: list[np.ndarray] = []
@@ -63,7 +72,7 @@ def frequent_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         grams, n = np.unique(np.concatenate(held), return_counts=True)
         return pd.DataFrame({"gram": grams[n > 2].view(np.int64), "n": n[n > 2]})
 
-    for batch in batches:
+    for batch in _small(batches):
         for found in shingle_sets(_texts(batch)):
             held.append(found)
             size += len(found)
@@ -95,7 +104,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Size, 128-bit digest and parity bits of each document's set."""
-    for batch in batches:
+    for batch in _small(batches):
         rows = []
         for doc_id, found in zip(batch["doc_id"], shingle_sets(_texts(batch))):
             digest = xxhash.xxh3_128_digest(found.tobytes())
@@ -117,12 +126,15 @@ def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def postings(order: Broadcast):
-    """Rows (gram, doc_id, n, place) of the prefixes; of equal sets in a batch only the first's."""
+    """Rows (gram, doc_id, n, place) of the prefixes; of equal sets only the first's, as far as a task
+    remembers them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, counts = order.value
-        for batch in batches:
-            seen: set[bytes] = set()
+        seen: set[bytes] = set()
+        for batch in _small(batches):
+            if len(seen) > SEEN:
+                seen.clear()
             grams, ids, sizes, places = [], [], [], []
             for doc_id, found in zip(batch["doc_id"], shingle_sets(_texts(batch))):
                 digest = xxhash.xxh3_128_digest(found.tobytes())
@@ -191,7 +203,7 @@ def overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pairs of rows (a, b, text_a, text_b: packed texts) that are links, counted in full."""
     unpack = zstandard.ZstdDecompressor()
     last: tuple[int | None, np.ndarray | None] = (None, None)
-    for batch in batches:
+    for batch in _small(batches):
         rows = []
         for a, b, packed_a, packed_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
             if last[0] != a:
@@ -205,7 +217,7 @@ def overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def packed_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in _small(batches):
         yield pd.DataFrame({"doc_id": batch["doc_id"], "packed": [pack.compress(t) for t in _texts(batch)]})
 
 
@@ -296,10 +308,11 @@ def jaccard_components(df: DataFrame, parts: int | None = None) -> DataFrame:
         order = ["n", "doc_id"] if not round_ else [F.xxhash64("doc_id", F.lit(round_))]
         dealt = rows.select("gram", "doc_id", "n", "c").repartition(parts, "gram").sortWithinPartitions("gram", *order)
         pairs = dealt.mapInPandas(neighbour_pairs, PAIR).groupBy("a", "b").agg(F.count("*").alias("overlap"))
-        # The partners with the highest partial overlaps, two at most: no group is collected.
+        # The partners with the highest partial overlaps, two at most, before anything is joined to
+        # them: no group is collected or multiplied. What is cut here the last product finds.
         ranked = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("overlap"), "b"))
-        pairs = join.possible(pairs).withColumn("rank", ranked).where(F.col("rank") <= PARTNERS)
-        found = join.links(pairs)
+        pairs = pairs.withColumn("rank", ranked).where(F.col("rank") <= PARTNERS)
+        found = join.links(join.possible(pairs))
         if found.isEmpty():
             break
         labels = merged(labels, found)
@@ -314,7 +327,7 @@ def jaccard_components(df: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def profiles_of_null(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _small(batches):
         yield pd.DataFrame({"n_shingles": [len(s) for s in shingle_sets(_texts(batch))]})
 
 
