@@ -1,7 +1,7 @@
 """Removal of repeated lines, nearly equal ones included, by a segment-partition edit join.
 
-A line that is at least MIN_CHARS long is removed if an equal line, or one within EDITS edits,
-stands earlier in the corpus, in the order of (doc_id, line number). Lines within that distance
+A line is removed if an equal line stands earlier in the corpus, in the order of (doc_id, line
+number), or, from MIN_CHARS characters on, one within EDITS edits. Lines within that distance
 share one of EDITS + 1 even segments: a line is cut into segments, which form an index by length,
 number and content, and every line probes it with those substrings that a segment of a line of
 each allowed length can have been moved to. Candidates are verified with a bit-parallel edit
@@ -10,9 +10,9 @@ distance that keeps only the diagonal band of the matrix that EDITS edits can re
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,10 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from paceframe.llm.shingles import mixed
 from paceframe.session import materialise
 
 EDITS = 2
 MIN_CHARS = 20
+# Characters or substrings of lines that are hashed together.
+SUBSTRINGS = 1 << 20
 _WHITE = " \t\n\v\f\r"
 _LAST = 2**63 - 1
 
@@ -34,7 +37,7 @@ SIGNATURE = "segment long, k1 long, bits int, probe boolean"
 MAX_BROADCAST = 2_000_000
 
 
-def compared(text: str | None, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, str]]:
+def compared(text: str | None, min_chars: int = 1) -> Iterator[tuple[int, str]]:
     """The lines of a text that are long enough to be compared, without white space around them."""
     for number, line in enumerate((text or "").split("\n")):
         line = line.strip(_WHITE)
@@ -73,37 +76,53 @@ def probes(length: int, partner: int) -> Iterator[tuple[int, int, int]]:
             yield i, at, size
 
 
-# For each length the substrings that a line of it looks up, as (seed, start, end, own).
-_PLANS: dict[int, list[tuple[int, int, int, bool]]] = {}
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-def _plan(n: int) -> list[tuple[int, int, int, bool]]:
-    if n not in _PLANS:
-        own = [(n * (EDITS + 1) + i, start, start + size, True) for i, (start, size) in enumerate(segments(n))]
-        # Its own segments in their own places are found among the index entries.
-        others = {
-            (partner * (EDITS + 1) + i, at, at + size, False)
-            for partner in range(max(MIN_CHARS, n - EDITS), n + 1)
-            for i, at, size in probes(n, partner)
-        } - {(seed, start, end, False) for seed, start, end, _ in own}
-        _PLANS[n] = [*own, *sorted(others)]
-    return _PLANS[n]
+class Plan(NamedTuple):
+    """The substrings that lines of a length look up: seed, start, end, and whether it only probes."""
 
+    seeds: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    probe: np.ndarray
 
-def signatures(line: str) -> Iterator[tuple[int, bool]]:
-    """Keys under which a line is found, then (True) those with which it looks for others."""
-    data = line.encode("utf-32-le")
-    for seed, start, end, own in _plan(len(line)):
-        yield xxhash.xxh3_64_intdigest(data[4 * start : 4 * end], seed=seed) - 2**63, not own
 
+@lru_cache(maxsize=4096)
+def _plan(n: int) -> Plan:
+    own = [(n * (EDITS + 1) + i, start, start + size) for i, (start, size) in enumerate(segments(n))]
+    # Its own segments in their own places are found among the index entries.
+    others = {
+        (partner * (EDITS + 1) + i, at, at + size)
+        for partner in range(max(MIN_CHARS, n - EDITS), n + 1)
+        for i, at, size in probes(n, partner)
+    } - set(own)
+    seeds, starts, ends = (np.array(c) for c in zip(*own, *sorted(others)))
+    return Plan(mixed(seeds.astype(np.uint64) * _FACTOR), starts, ends, np.arange(len(seeds)) >= len(own))
 
-def character_bits(line: str) -> int:
-    """32 parities of the characters of a line; an edit changes two of them at most."""
-    bits = 0
-    for c, n in Counter(line).items():
-        if n & 1:
-            bits ^= 1 << (ord(c) * 0x9E3779B1 >> 15 & 31)
-    return bits - 2**31
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines of one length: keys of their substrings (a row a line), which of the columns only
+    probe, and the parities of the characters.
+
+    A substring's key comes from the running sums of a polynomial. Keys that are equal by accident
+    make a candidate more, no link: those are verified on the texts.
+    """
+    n = len(lines[0])
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").reshape(len(lines), n)
+    plan = _plan(n)
+    total = np.zeros((len(lines), n + 1), dtype=np.uint64)
+    np.cumsum(mixed(codes.astype(np.uint64)) * np.cumprod(np.full(n, _FACTOR)), axis=1, out=total[:, 1:])
+    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE)))
+    sums = (total[:, plan.ends] - total[:, plan.starts]) * inverse[plan.starts]
+    return mixed(sums + plan.seeds).view(np.int64), plan.probe, character_bits(codes)
+
+
+def character_bits(codes: np.ndarray) -> np.ndarray:
+    """32 parities of the characters of lines (a row each); an edit changes two of them at most."""
+    classes = codes.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(15) & np.uint64(31)
+    return np.bitwise_xor.reduce(np.uint32(1) << classes.astype(np.uint32), axis=1).view(np.int32)
 
 
 def near_parities(a: str, b: str) -> Column:
@@ -181,28 +200,28 @@ def _occurrences(min_chars: int):
 
 
 def _different_lines(batch: pd.DataFrame) -> dict[tuple[int, int], str]:
-    return {line_key(line): line for line in {line for text in batch["text"] for _, line in compared(text)}}
+    return {line_key(line): line for line in {line for text in batch["text"] for _, line in compared(text, MIN_CHARS)}}
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keys, probe, ids, bits, sizes = array("q"), array("b"), array("q"), array("i"), array("q")
+        by_length: dict[int, list[tuple[int, str]]] = {}
         for (k1, _), line in _different_lines(batch).items():
-            before = len(keys)
-            for key, is_probe in signatures(line):
-                keys.append(key)
-                probe.append(is_probe)
-            ids.append(k1)
-            bits.append(character_bits(line))
-            sizes.append(len(keys) - before)
-        yield pd.DataFrame(
-            {
-                "segment": np.array(keys, dtype=np.int64),
-                "k1": np.repeat(np.array(ids, dtype=np.int64), sizes),
-                "bits": np.repeat(np.array(bits, dtype=np.int32), sizes),
-                "probe": np.array(probe, dtype=bool),
-            }
-        )
+            by_length.setdefault(len(line), []).append((k1, line))
+        for length, found in by_length.items():
+            # So many lines at a time that their substrings stay a few megabytes.
+            step = max(1, SUBSTRINGS // max(length, len(_plan(length).seeds)))
+            for at in range(0, len(found), step):
+                ids, lines = zip(*found[at : at + step])
+                keys, probe, bits = signatures(list(lines))
+                yield pd.DataFrame(
+                    {
+                        "segment": keys.ravel(),
+                        "k1": np.repeat(np.array(ids, dtype=np.int64), len(probe)),
+                        "bits": np.repeat(bits, len(probe)),
+                        "probe": np.tile(probe, len(lines)),
+                    }
+                )
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,7 +274,7 @@ def line_links(docs: DataFrame, parts: int) -> DataFrame:
     return pairs.join(a, "a1").join(b, "b1").mapInPandas(_verified, "a1 long, a2 long, b1 long, b2 long")
 
 
-def repeated_lines(df: DataFrame, parts: int | None = None, exact_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(df: DataFrame, parts: int | None = None, exact_chars: int = 1) -> DataFrame:
     """One row per removed line: doc_id, line, k1 (of its text), of_doc, of_line, exact.
 
     ``of_doc`` and ``of_line`` are the earliest line that is equal (``exact``) or, for lines of
@@ -304,13 +323,13 @@ def _without_lines(min_chars: int):
     return run
 
 
-def dedup_lines(df: DataFrame, parts: int | None = None, report: str = "removed_lines", exact_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(df: DataFrame, parts: int | None = None, report: str = "removed_lines", exact_chars: int = 1) -> DataFrame:
     """The rows of ``df`` with their repeated lines taken out of ``text``, and the column
     ``report``, which replaces one of that name: (line, of_doc, of_line, exact) of each, in order.
 
     Lines are compared without the white space around them, those of MIN_CHARS characters or more
-    with EDITS edits, shorter ones of ``exact_chars`` or more for equality (1: every line that is
-    not empty); lines that are shorter still stay. Null texts stay null; no row is dropped, also where no line is left.
+    with EDITS edits, shorter ones for equality; with ``exact_chars`` over 1 the shortest ones stay.
+    Lines that are empty but for white space always stay. Null texts stay null; no row is dropped, also where no line is left.
     Rows that share an id count as one document, within which a line at the same place is one
     line. All other columns pass unchanged, whatever their names.
     """

@@ -81,18 +81,20 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def removed_lines(rows, edits=2, min_chars=20):
-    """{doc_id: [(line, of_doc, of_line, exact)]} of rows with different ids."""
+def removed_lines(rows, edits=2, near_chars=20):
+    """{doc_id: [(line, of_doc, of_line, exact)]} of rows with different ids; lines of ``near_chars``
+    characters or more are compared with edits."""
     first, places = {}, []
     for doc_id, text in sorted(rows):
         for n, line in enumerate((text or "").split("\n")):
             line = line.strip(WHITE)
-            if len(line) >= min_chars:
+            if line:
                 places.append((doc_id, n, line))
                 first.setdefault(line, (doc_id, n))
     out = defaultdict(list)
     for doc_id, n, line in places:
-        earlier = [(first[x], x == line) for x in first if x == line or near_lines(x, line, edits)]
+        near = [x for x in first if x != line and len(x) >= near_chars and near_lines(x, line, edits)] if len(line) >= near_chars else []
+        earlier = [(first[x], x == line) for x in [line, *near]]
         earlier = [e for e in earlier if e[0] < (first[line] if not e[1] else (doc_id, n))]
         if earlier:
             (of_doc, of_line), exact = min(earlier)

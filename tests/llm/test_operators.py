@@ -21,6 +21,7 @@ from paceframe.llm import (
     mixing,
     pieces,
     quality_rules,
+    shingles,
     suffix_dedup,
     token_files,
 )
@@ -59,9 +60,9 @@ def test_lines_within_two_edits_share_a_segment():
             continue
         if len(a) < len(b):
             a, b = b, a
-        index = {s for s, probe in line_dedup.signatures(b) if not probe}
-        assert index & {s for s, _ in line_dedup.signatures(a)}, (a, b)
-        assert (line_dedup.character_bits(a) ^ line_dedup.character_bits(b)).bit_count() <= 4
+        (keys_a, _, bits_a), (keys_b, probe, bits_b) = (line_dedup.signatures([x]) for x in (a, b))
+        assert set(keys_b[0][~probe].tolist()) & set(keys_a[0].tolist()), (a, b)
+        assert np.bitwise_count((bits_a ^ bits_b).view(np.uint32))[0] <= 4
 
 
 def test_line_dedup(odd_docs, texts):
@@ -80,7 +81,7 @@ def test_line_dedup_with_edits_of_every_parity_class(spark):
     """In Spark, where the parities are compared as signed integers."""
     classes = {}
     for c in map(chr, [*range(33, 127), *range(0xC0, 0x180), *range(0x391, 0x450)]):
-        classes.setdefault(line_dedup.character_bits(c) + 2**31, c)
+        classes.setdefault(int(line_dedup.character_bits(np.array([[ord(c)]])).view(np.uint32)[0]), c)
     assert sorted(classes) == [1 << i for i in range(32)]
     rng, rows = random.Random(12), []
     for c in classes.values():
@@ -96,12 +97,50 @@ def test_line_dedup_with_edits_of_every_parity_class(spark):
 def test_line_dedup_of_short_lines(spark):
     texts = ["Les.\n a line that is long enough to be near\n\nOf", "a line that is long enough to be nearer\n Les. \nof\n\n", "Les\nOf\nLes.\nOf", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = by_id(line_dedup.dedup_lines(docs, exact_chars=1))
+    found = by_id(line_dedup.dedup_lines(docs))
     removed = [[tuple(r) for r in found[i]["removed_lines"]] for i in range(4)]
     near = [(0, 0, 1, False)]
     assert removed == [[], [*near, (1, 0, 0, True)], [(1, 0, 3, True), (2, 0, 0, True), (3, 0, 3, True)], []]
     assert [found[i]["text"] for i in range(4)] == [texts[0], "of\n\n", "Les", None]
-    assert [tuple(r) for r in by_id(line_dedup.dedup_lines(docs))[1]["removed_lines"]] == near
+    assert [tuple(r) for r in by_id(line_dedup.dedup_lines(docs, exact_chars=20))[1]["removed_lines"]] == near
+
+
+def test_signatures_of_several_lines_are_those_of_each():
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("abé漢😀") for _ in range(31)) for _ in range(9)]
+    keys, probe, bits = line_dedup.signatures(lines)
+    for line, row, parity in zip(lines, keys, bits):
+        alone = line_dedup.signatures([line])
+        assert (alone[0][0] == row).all() and alone[2][0] == parity and (alone[1] == probe).all()
+    # Equal substrings in their places have equal keys, whatever stands around them.
+    other = line_dedup.signatures([lines[0][:15] + "x" * 16])[0][0]
+    plan = line_dedup._plan(31)
+    assert ((keys[0] == other) == (plan.ends <= 15)).all()
+
+
+def unlike_words():
+    """Two words of 1,024 characters that differ in every place and agree in many polynomial hashes."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_unlike_words_are_not_linked(spark):
+    rows = [(i, f"{w} {'tail ' * n}") for n in (0, 2, 6) for i, w in enumerate(unlike_words(), 10 * n)]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_copies"]) for r in found} == {i: (i, 1) for i, _ in rows}
+
+
+def test_words_have_hashes_of_their_own():
+    rng = random.Random(2)
+    words = {"".join(rng.choice("abé_") for _ in range(rng.choice([1, 7, 8, 9, 16, 63, 64, 65, 200]))) for _ in range(3000)}
+    words = [*words, *unlike_words()]
+    buffer = np.frombuffer((" ".join(words) + " ").encode(), dtype=np.uint8)
+    _, hashes = shingles._word_hashes(buffer)
+    assert len(set(hashes.tolist())) == len(words)
+    _, upper = shingles._word_hashes(np.frombuffer((" \t".join(words) + "\n").encode().upper(), dtype=np.uint8))
+    assert (upper == hashes).all()
 
 
 def test_line_dedup_of_repeated_rows(repeated_docs):
