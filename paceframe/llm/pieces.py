@@ -9,11 +9,11 @@ on meet in one boundary: no later character can change what stands before it.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
-from paceframe.llm.common import worker_memory
-
 MARK = "▁"
 SCALE = 1_000_000
 # Added to the cost of a byte piece, as much as the library takes off for unknown characters.
 BYTE_PENALTY = 10
-# Ids of so many short strings between sure boundaries are kept.
-KEPT = 600_000
+# Short strings between sure boundaries are kept with their ids up to so many bytes, for one task.
+KEPT_BYTES = 24 << 20
 LONGEST_KEPT = 64
+# What an entry takes besides its characters and ids: two objects and a place in the table.
+ENTRY_BYTES = 150
 # Rows that are in Python at a time.
 ROWS = 500
 
@@ -58,13 +58,6 @@ class Pieces:
         for rank, i in enumerate(normal):
             cost = -processor.get_score(i) if stored else math.log(rank + 2)
             self.costs[self.names[i]] = (round(cost * SCALE), i)
-        # All pieces by their characters; under None what ends there, as (cost, ids).
-        self.tree: dict = {}
-        for name, (cost, i) in self.costs.items():
-            node = self.tree
-            for c in name:
-                node = node.setdefault(c, {})
-            node[None] = (cost, (i,))
         worst = max(c for c, _ in self.costs.values())
         self.byte_cost = worst + BYTE_PENALTY * SCALE
         self.longest = max(map(len, self.costs))
@@ -83,6 +76,18 @@ class Pieces:
         self.words = re.compile("|".join([*runs, f"{MARK}+", "."]), re.DOTALL)
 
 
+    @cached_property
+    def tree(self) -> dict:
+        """All pieces by their characters; under None what ends there, as (cost, ids)."""
+        root: dict = {}
+        for name, (cost, i) in self.costs.items():
+            node = root
+            for c in name:
+                node = node.setdefault(c, {})
+            node[None] = (cost, (i,))
+        return root
+
+
 class Stream:
     """The search over one text, fed in parts."""
 
@@ -172,7 +177,11 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.forget()
+
+    def forget(self) -> None:
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def _search(self, text: str) -> bytes:
         stream = Stream(self.pieces)
@@ -202,8 +211,9 @@ class Encoder:
         try:
             return b"".join([kept[w] for w in words])
         except KeyError:
-            if len(kept) >= KEPT:
-                kept.clear()
+            if self.kept_bytes >= KEPT_BYTES:
+                self.forget()
+                kept = self.kept
         out = []
         for word in words:
             ids = kept.get(word)
@@ -211,6 +221,7 @@ class Encoder:
                 ids = self._search(word)
                 if len(word) <= LONGEST_KEPT:
                     kept[word] = ids
+                    self.kept_bytes += ENTRY_BYTES + len(word) + len(ids)
             out.append(ids)
         return b"".join(out)
 
@@ -232,11 +243,8 @@ class Encoder:
 
 
 def _encoder(model: Broadcast, stored: bool) -> Encoder:
-    """The encoder of this worker process, which keeps its words from task to task."""
-    kept, key = worker_memory(), ("pieces", hashlib.sha256(model.value).digest(), stored)
-    if key not in kept:
-        kept[key] = Encoder(Pieces(model.value, stored))
-    return kept[key]
+    """A task's own encoder: workers outlive their tasks, and later ones need the memory."""
+    return Encoder(Pieces(model.value, stored))
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
