@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,12 @@ END_ID = 0
 # A block ends with the document that brings it to so many ids.
 BLOCK_TOKENS = 1 << 18
 # Texts are cut into words together up to so many characters.
-ENCODE_CHARS = 1 << 20
+ENCODE_CHARS = 1 << 22
+WHITE_PAIR = re.compile(r"\s\s")
+# New words that the library gets as one text.
+JOINED = 256
+# Fixed value: what stands for a space in a byte-level vocabulary.
+SPACE_LETTER = "\u0120"
 
 RAW = "doc_id long, ids binary"
 BLOCK = "part int, seq long, before long, doc_ids array<long>, lengths array<int>, control binary, data binary"
@@ -96,31 +102,75 @@ class WordEncoder:
             and bool(split.get("use_regex", True))
             and not split.get("add_prefix_space")
         )
-        special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r"\s\s", "\0", *special]))
+        self.special = ["\0", *(t["content"] for t in spec.get("added_tokens", []))]
+        self.spaced = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), dtype=bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
+
+    def _whole(self, text: str) -> bool:
+        return any(s in text for s in self.special) or WHITE_PAIR.search(text) is not None
 
     def _library(self, texts: list[str]) -> list[bytes]:
         codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, c.ids).tobytes() for c in codes]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that begin with their only space and end with no white space. Joined,
+        they still begin runs at their spaces, and only the first token of a run begins with one."""
+        texts = ["".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        if any(map(self._whole, texts)):
+            return self._library(pieces)
+        ids = np.frombuffer(b"".join(self._library(texts)), dtype=self.kind)
+        bounds = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+        if len(bounds) != len(pieces) + 1:
+            return self._library(pieces)
+        data, bounds = ids.tobytes(), (bounds * ids.itemsize).tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _learn(self, pieces: list[str]) -> None:
         known = self.known
-        stops = [p for p in pieces if len(p) > 1 and p[-1] in ",." and p[-2].isalpha()]
-        plain = [p for p in ({p[:-1] for p in stops} | pieces | {",", "."}).difference(stops) if p not in known]
-        known.update(zip(plain, self._library(plain)))
-        for piece in stops:
-            known[piece] = known[piece[:-1]] + known[piece[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, in the byte order and width of ``kind``."""
-        split = [None if not self.by_word or self.whole.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        stops, joined, alone = [], {}, {",": None, ".": None}
+        for piece in pieces:
+            if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
+                stops.append(piece)
+                piece = piece[:-1]
+                if piece in known:
+                    continue
+            (joined if piece[0] == " " and not piece[-1].isspace() else alone)[piece] = None
+        for new, learn in (joined, self._together), (alone, self._library):
+            known.update(zip(new, learn(list(new))))
+        known.update((piece, known[piece[:-1]] + known[piece[-1]]) for piece in stops)
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        marked = pa.array([t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts], pa.large_string())
+        split = pc.split_pattern(marked, "\0")
+        pieces = split.flatten().dictionary_encode()
+        words, places = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
         known = self.known
         if len(known) > self.CACHED:
             known.clear()
-        new = set().union(*filter(None, split)).difference(known)
+        known.setdefault("", b"")
+        found = list(map(known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
         if new:
-            self._learn(new)
-        return [self._library([t])[0] if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, split)]
+            self._learn([words[i] for i in new])
+        for i in new:
+            found[i] = known[words[i]]
+        ids = np.frombuffer(b"".join(found), dtype=self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        starts = (np.cumsum(sizes) - sizes)[places]
+        sizes = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)].tobytes()
+        bounds = (ends[split.offsets.to_numpy()] * ids.itemsize).tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, in the byte order and width of ``kind``."""
+        if not self.by_word:
+            return self._library(texts)
+        plain = [not self._whole(t) for t in texts]
+        found = iter(self._by_word([t for t, p in zip(texts, plain) if p]))
+        return [next(found) if p else self._library([t])[0] for t, p in zip(texts, plain)]
 
 
 def _word_encoder(model: str) -> WordEncoder:
