@@ -29,9 +29,10 @@ UNKNOWN = "und"
 # Training reads so many bytes of each language, the lowest digests of the id first; the last text is cut there.
 TRAIN_BYTES = 3_000_000
 # Trees of so many languages are in memory at once; more are scored block by block.
-BLOCK_LANGUAGES = 64
+BLOCK_LANGUAGES = 16
 SCORED = "doc_id string, text string, held_out boolean, lang_pred string, bits double, mass double"
-CHUNK_BYTES = 1 << 20
+# Costs that are held at once: bytes times languages.
+CHUNK_CELLS = 1 << 22
 # Byte 0 stands for what precedes a text.
 _SHIFTS = [0, 8, 16, 24]
 
@@ -127,23 +128,36 @@ class Trees:
         return ((keys * np.uint32(2654435761)) >> np.uint32(33 - size.bit_length())).astype(np.int64)
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code length in bits of each text in each language."""
+        """Code length in bits of each text in each language.
+
+        At most two times CHUNK_CELLS costs, a row a byte and a column a language, are in memory
+        at once. Longer texts are added up part by part, cut at fixed places of their own, so that
+        a text has the same sum whatever stands beside it.
+        """
         out = np.zeros((len(texts), len(self.languages)))
-        chunk: list[int] = []
+        most = max(1, CHUNK_CELLS // len(self.languages))
+        parts: list[tuple[int, int]] = []  # number of a text, first byte of its part
         size = 0
         for i, text in enumerate(texts):
-            chunk.append(i)
-            size += len(text)
-            if size >= CHUNK_BYTES or i == len(texts) - 1:
-                self._add_lengths(texts, chunk, out)
-                chunk, size = [], 0
+            for start in range(0, len(text), most):
+                parts.append((i, start))
+                size += min(most, len(text) - start)
+                if size >= most:
+                    self._add_lengths(texts, parts, most, out)
+                    parts, size = [], 0
+        if parts:
+            self._add_lengths(texts, parts, most, out)
         return out
 
-    def _add_lengths(self, texts: list[bytes], chunk: list[int], out: np.ndarray) -> None:
-        chunk = [i for i in chunk if texts[i]]
-        if not chunk:
-            return
-        found = strings([texts[i] for i in chunk], ORDER)
+    def _add_lengths(self, texts: list[bytes], parts: list[tuple[int, int]], most: int, out: np.ndarray) -> None:
+        leads = [min(ORDER, start) for _, start in parts]
+        cut = [texts[i][start - lead : start + most] for (i, start), lead in zip(parts, leads)]
+        sizes = np.array([len(c) for c in cut])
+        found = strings(cut, ORDER)
+        if any(leads):  # bytes that only lead to a part belong to the part before
+            place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = found[place >= np.repeat(leads, sizes)]
+            sizes = sizes - leads
         holder, row, size, known = self.slots
         slot = self._slot(found, size)
         hit = (holder[slot] == found) & (row[slot] < len(known))
@@ -152,8 +166,8 @@ class Trees:
         if not hit.all():
             others, back = np.unique(found[~hit], return_inverse=True)
             bits[~hit] = self.costs(others)[back]
-        ends = np.cumsum([len(texts[i]) for i in chunk])
-        out[chunk] = np.add.reduceat(bits, np.concatenate([[0], ends[:-1]]), axis=0)
+        sums = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0)
+        np.add.at(out, [i for i, _ in parts], sums)
 
 
 def count_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

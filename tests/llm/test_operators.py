@@ -474,6 +474,53 @@ def test_code_lengths_of_the_tree():
     assert trees.costs(np.array([0x6162617A], dtype=np.uint32))[0, 0] == pytest.approx(sum(steps))
 
 
+def plain_code_length(seen, text):
+    """Bits of a text by prediction by partial matching, byte by byte with dicts."""
+    def counted(order):
+        counts = {}
+        for t in seen:
+            padded = b"\0" * language_id.ORDER + t
+            for end in range(language_id.ORDER, len(padded)):
+                followers = counts.setdefault(padded[end - order : end], {})
+                followers[padded[end]] = followers.get(padded[end], 0) + 1
+        return counts
+
+    trees = [counted(order) for order in range(language_id.ORDER + 1)]
+    bits, padded = 0.0, b"\0" * language_id.ORDER + text
+    for end in range(language_id.ORDER, len(padded)):
+        for order in range(language_id.ORDER, -1, -1):
+            followers = trees[order].get(padded[end - order : end], {})
+            whole = sum(followers.values()) + len(followers)
+            if padded[end] in followers:
+                bits += np.log2(whole / followers[padded[end]])
+                break
+            if followers:
+                bits += np.log2(whole / len(followers))
+        else:
+            bits += 8
+    return bits
+
+
+@pytest.mark.parametrize("cells", [1, 2, 7, 40, 1 << 22])
+def test_code_lengths_equal_plain_ones_however_texts_are_cut(monkeypatch, cells):
+    rng = random.Random(11)
+
+    def text(letters, size):
+        return "".join(rng.choices(letters, k=size)).encode()
+
+    learned = [[text("abc d", 60) for _ in range(3)], [text("cdé\n", 50), b"", b"z"]]
+    counts = []
+    for seen in learned:
+        found = [np.unique(language_id.strings(seen, order), return_counts=True) for order in range(language_id.ORDER + 1)]
+        counts.append([(k, n.astype(float)) for k, n in found])
+    trees = language_id.Trees(counts, ["x", "y"])
+    texts = [b"", b"a", text("abcdé q", 200), b"", text("cd", 3), text("xyz", 41), b"\0\0a", b""]
+    monkeypatch.setattr(language_id, "CHUNK_CELLS", cells)
+    wanted = [[plain_code_length(seen, t) for seen in learned] for t in texts]
+    np.testing.assert_allclose(trees.lengths(texts), wanted, rtol=1e-5)
+    np.testing.assert_array_equal(trees.lengths(texts), np.vstack([trees.lengths([t]) for t in texts]))
+
+
 def test_language_of_no_rows_and_without_labels(no_docs, odd_docs, texts):
     assert language_id.identify(no_docs).count() == 0
     rows = language_id.identify(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()
