@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceframe.operators.quantiles import (
@@ -21,7 +21,7 @@ from paceframe.sources.readers import rows
 SILVERMAN = 1.059
 NORMAL_IQR = 1.349
 STEPS_PER_BANDWIDTH = 3
-# Points of a density curve at most, parts of the values that a long-tailed grid is dealt out to, cells
+# Points of a drawn density curve at most, parts of the values that a long-tailed grid is dealt out to, cells
 # of a bandwidth, power sums of a cell, and bandwidths beyond which a value adds nothing.
 GRID = 512
 SEGMENTS = 32
@@ -98,13 +98,14 @@ def box_summary(
     ).drop("fence_low", "fence_high")
 
 
-def density_curve(df: DataFrame, metric: str, accuracy: int = ACCURACY) -> DataFrame:
+def density_curve(df: DataFrame, metric: str, accuracy: int = ACCURACY, even: bool = False) -> DataFrame:
     """Gaussian kernel density on a grid of at most GRID points, as drawn by a violin plot.
 
     The bandwidth follows Silverman's rule with the smaller of standard deviation and scaled IQR.
     The grid spans two bandwidths beyond the extremes in steps of a third of a bandwidth. Where
     that takes too many points, as on a long tail, as many points lie between each two of 33
-    quantiles, so that they are dense where the values are.
+    quantiles, so that they are dense where the values are. With ``even`` the steps stay a third of
+    a bandwidth however many points that takes.
 
     Values enter through cells of a quarter of a bandwidth. A cell has the power sums of its values'
     distances from its middle, and the kernel's expansion in Hermite polynomials gives their sum at
@@ -128,7 +129,7 @@ def density_curve(df: DataFrame, metric: str, accuracy: int = ACCURACY) -> DataF
     bw = SILVERMAN * spread * n**-0.2
     if not bw > 0:
         return rows(df.sparkSession, [], schema)
-    grid = _grid(lo, hi, bw, knots)
+    points = _grid(df.sparkSession, lo, hi, bw, knots, even)
     width = bw / CELLS_PER_BANDWIDTH
     reach = REACH * CELLS_PER_BANDWIDTH
 
@@ -144,7 +145,6 @@ def density_curve(df: DataFrame, metric: str, accuracy: int = ACCURACY) -> DataF
     cells = placed.groupBy("cell").agg(*sums).withColumn("block", whole(F.col("cell") / reach))
 
     # A point meets the cells of its own block and of the two beside it.
-    points = rows(df.sparkSession, list(enumerate(grid)), "point bigint, x double")
     block = whole((F.col("x") - lo) / (width * reach))
     near = points.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
     u = (F.col("x") - (lo + (F.col("cell") + 0.5) * width)) / bw
@@ -162,16 +162,17 @@ def density_curve(df: DataFrame, metric: str, accuracy: int = ACCURACY) -> DataF
     )
 
 
-def _grid(lo: float, hi: float, bw: float, knots: Sequence[float]) -> list[float]:
+def _grid(spark: SparkSession, lo: float, hi: float, bw: float, knots: Sequence[float], even: bool) -> DataFrame:
     start, span = lo - 2 * bw, hi - lo + 4 * bw
     steps = span / (bw / STEPS_PER_BANDWIDTH)
-    if steps <= GRID - 1:
+    if even or steps <= GRID - 1:
         count = math.ceil(steps)
-        return [start + k * (span / count) for k in range(count + 1)]
+        numbers = spark.range(count + 1).withColumnRenamed("id", "point")
+        return numbers.withColumn("x", F.lit(start) + F.col("point") * F.lit(span / count))
     ends = [start, *knots[1:-1], start + span]
     each = (GRID - 1) // SEGMENTS
     inner = [a + (b - a) * k / each for a, b in zip(ends, ends[1:]) if b > a for k in range(each)]
-    return [*inner, ends[-1]]
+    return rows(spark, list(enumerate([*inner, ends[-1]])), "point bigint, x double")
 
 
 def _hermite(count: int) -> list[list[float]]:

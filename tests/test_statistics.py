@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from paceframe.functions.columns import nan_to_null
 from paceframe.functions.moments import kurtosis_sample, skewness_sample
 from paceframe.operators import distributions, statistics
+from paceframe.plans import table_queries
+from paceframe.plans.oracle import ORACLE
 from paceframe.sources.readers import rows
 
 
@@ -140,6 +143,33 @@ def test_density_of_long_tails_equals_the_direct_sum(spark, sigma):
     assert x[0] == pytest.approx(values.min() - 2 * bw) and x[-1] == pytest.approx(values.max() + 2 * bw) and (np.diff(x) > 0).all()
 
 
+def test_density_grid_keeps_its_step_beyond_512_points(spark):
+    values = np.random.default_rng(6).exponential(50, 4000)
+    values[0] = 3000.0
+    curve = distributions.density_curve(spark.createDataFrame(pd.DataFrame({"x": values})), "x", even=True)
+    found = curve.orderBy("point").collect()
+    bw = 1.059 * (np.quantile(values, 0.75) - np.quantile(values, 0.25)) / 1.349 * len(values) ** -0.2
+    lo, span = values.min() - 2 * bw, np.ptp(values) + 4 * bw
+    steps = int(np.ceil(span / (bw / 3)))
+    assert steps > 512 and [r["point"] for r in found] == list(range(steps + 1))
+    x = lo + np.arange(steps + 1) * (span / steps)
+    direct = np.exp(-0.5 * ((x[:, None] - values[None]) / bw) ** 2).sum(axis=1) / (len(values) * bw * np.sqrt(2 * np.pi))
+    assert np.allclose([r["x"] for r in found], x) and np.abs([r["density"] for r in found] - direct).max() < 1e-9 * direct.max()
+
+
+def test_density_query_equals_its_sql_beyond_512_points(spark, tmp_path):
+    drawn = np.random.default_rng(7).exponential(50, 3000)
+    drawn[:1] = 3000.0
+    frame = pd.DataFrame({"event_id": range(3000), "user_id": 1, "event_type": "view", "value": drawn.round(2), "props": '{"k": 1}'})
+    frame["ts"] = pd.Timestamp("2024-01-01")
+    spark.createDataFrame(frame).withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    found = [tuple(r) for r in table_queries.QUERIES["density_grid"](spark, str(tmp_path)).orderBy("point").collect()]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    wanted = duck.execute(f"SELECT point, x, density FROM ({ORACLE['density_grid']}) ORDER BY point").fetchall()
+    assert len(wanted) > 512 and len(found) == len(wanted) and np.allclose(found, wanted, rtol=0, atol=2e-6)
+
+
 def test_density_without_spread_has_no_rows(spark):
     for values in ([], [3.0], [3.0, 3.0], [1.0, float("inf")]):
         assert distributions.density_curve(rows(spark, [(v,) for v in values], "x double"), "x").count() == 0
