@@ -497,9 +497,9 @@ m AS (SELECT a.arrival, max(d.event_time) AS newest
 k AS (SELECT d.* FROM d LEFT JOIN m USING (arrival)
       WHERE newest IS NULL OR window_end > newest - INTERVAL 1 MINUTE)"""
 ORACLE["stream_window_update"] = events(
-    """SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS window_start,
-       time_bucket(INTERVAL 1 HOUR, event_time) + INTERVAL 1 HOUR AS window_end,
-       activity_type, count(*) AS num_records FROM t GROUP BY 1, 2, 3"""
+    f"""SELECT *, CAST(sum(num_records) OVER (
+         PARTITION BY time_bucket(INTERVAL 1 HOUR, window_start), activity_type) AS BIGINT) AS hour_records
+FROM ({_WINDOWS})"""
 )
 ORACLE["stream_late_data"] = events(
     f"""{_DELIVERED}

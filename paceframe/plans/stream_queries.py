@@ -108,25 +108,32 @@ def _deliver_and_run(spark: SparkSession, arrivals: DataFrame, count: int, start
         lifecycle.finish(start(stream))
 
 
-# Events of all times come in every delivery of the update query, so no window may close before the last.
-UPDATE_LATENESS = "3660 days"
 UPDATE_DELIVERIES = 3
+# Widths of the update query's windows, in seconds: events of all hours come in every delivery.
+SLOT, HOUR = 30, 3600
 
 
 @QUERIES.add
 def stream_window_update(spark, sf):
-    """Hourly counts in a keyed table: every delivery has events of all hours, so that windows change
-    again and again."""
+    """Counts of every 30 seconds beside those of their hour, both kept in one keyed table: every
+    delivery has events of all hours, so that windows change again and again."""
     path, checkpoint = scratch_path(spark, "window_table"), scratch_path(spark, "window_table_checkpoint")
-    counts = upsert.KeyedTable(spark, path, WINDOW_KEYS, bucket_by=("window_start",), buckets=16)
-    arrivals = table(spark, sf, "events").withColumn("arrival", F.pmod("event_id", F.lit(UPDATE_DELIVERIES)))
+    counts = upsert.KeyedTable(spark, path, (*WINDOW_KEYS, "seconds"), bucket_by=("window_start",), buckets=16)
+    delivery = F.coalesce(F.pmod("event_id", F.lit(UPDATE_DELIVERIES)), F.lit(0))
+    arrivals = table(spark, sf, "events").withColumn("arrival", delivery)
 
     def start(stream: DataFrame):
-        flat = windows.flat_windows(windows.windowed_counts(stream, "1 hour", UPDATE_LATENESS))
-        return upsert.upsert_to_table(flat, counts, checkpoint, trigger=sinks.AVAILABLE_NOW)
+        nested = windows.nested_counts(stream, (SLOT, HOUR))
+        return upsert.upsert_to_table(nested, counts, checkpoint, trigger=sinks.AVAILABLE_NOW)
 
     _deliver_and_run(spark, arrivals, UPDATE_DELIVERIES, start)
-    return _plain_times(counts.read(), "window_start", "window_end")
+    stored = counts.read()
+    slots = stored.where(F.col("seconds") == SLOT).alias("s")
+    hours = stored.where(F.col("seconds") == HOUR).alias("h")
+    of_hour = windows.window_start(F.col("s.window_start"), HOUR).eqNullSafe(F.col("h.window_start"))
+    both = slots.join(hours, of_hour & F.col("s.activity_type").eqNullSafe(F.col("h.activity_type")))
+    found = both.select(*[f"s.{c}" for c in (*WINDOW_KEYS, "num_records")], F.col("h.num_records").alias("hour_records"))
+    return _plain_times(found, "window_start", "window_end")
 
 
 @QUERIES.add

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 
 from paceframe.plans import stream_queries
@@ -103,3 +105,22 @@ def test_windows_of_the_query_change_in_every_delivery(spark, sf_dir, monkeypatc
     full = [m for m in merged if m]
     assert len(full) == stream_queries.UPDATE_DELIVERIES and all(len(a & b) > 10 for a, b in zip(full, full[1:]))
     assert total == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_every_event_is_in_a_window_of_30_seconds(spark, tmp_path):
+    times = [f"2024-01-01 {t}" for t in ("00:00:01", "00:00:29.5", "00:00:30", "00:59:59", "01:00:00", "00:00:02")]
+    events = [(i, t, 1, "view", 1.0, '{"k": 1}') for i, t in enumerate(times)]
+    events += [(None, "2024-01-01 00:00:03", 1, "view", 1.0, '{"k": 1}'), (9, None, 1, "view", 1.0, "{}"), (10, times[0], 1, None, 1.0, "{}")]
+    frame = rows(spark, events, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    frame.withColumn("ts", frame["ts"].cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    found = stream_queries.QUERIES["stream_window_update"](spark, str(tmp_path)).collect()
+
+    def of(start, activity, n, hour):
+        at = None if start is None else dt.datetime.fromisoformat(f"2024-01-01 {start}")
+        return at, at and at + dt.timedelta(seconds=30), activity, n, hour
+
+    wanted = [
+        of("00:00:00", "view", 4, 6), of("00:00:30", "view", 1, 6), of("00:59:30", "view", 1, 6),
+        of("01:00:00", "view", 1, 1), of(None, "view", 1, 1), of("00:00:00", None, 1, 1),
+    ]
+    assert sorted(map(tuple, found), key=repr) == sorted(wanted, key=repr)
