@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IndexToString, StandardScaler
+from pyspark.ml.feature import Bucketizer, IndexToString, OneHotEncoderModel, SQLTransformer, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,30 +124,39 @@ def fit_linear(
         return Pipeline(stages=stages).fit(rows)
 
 
+# Rows up to which a forest is grown row by row, values that Spark's forests tell apart in a column, tasks
+# that sketch their quantiles, and trees of a merged forest that are grown at a time.
+MERGE_ABOVE = 100_000
+BINS = 32
+SKETCHES = 64
+TREES_AT_ONCE = 8
+# Shares of the numbers 0, 1, 2, ... among Poisson draws of mean 1, added up.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(16))
+
+
 def fit_forest_classifier(
     df: DataFrame,
     features: Sequence[str] = CLASSIFIER_FEATURES,
     label: str = "activity_type",
     size: ForestSize = LIGHT,
     seed: int = 42,
+    merge_above: int = MERGE_ABOVE,
 ) -> PipelineModel:
-    """Median imputation, population scaling, random forest."""
+    """Median imputation, population scaling, random forest; see :func:`grow_merged` for many rows."""
     with training_frame(df, *features, label) as rows:
-        prepare = fit_impute_scale(rows, features)
-        stages = [
-            prepare,
-            string_indexer(label, "label"),
-            assembler([f"{c}_scaled" for c in features]),
-            RandomForestClassifier(
-                labelCol="label",
-                featuresCol="features",
-                numTrees=size.trees,
-                maxDepth=size.depth,
-                minInstancesPerNode=size.leaf,
-                seed=seed,
-            ),
-        ]
-        return _with_label_names(Pipeline(stages=stages).fit(rows))
+        scaled = [f"{c}_scaled" for c in features]
+        stages = [fit_impute_scale(rows, features), string_indexer(label, "label"), assembler(scaled)]
+        forest = RandomForestClassifier(
+            labelCol="label",
+            featuresCol="features",
+            numTrees=size.trees,
+            maxDepth=size.depth,
+            minInstancesPerNode=size.leaf,
+            seed=seed,
+        )
+        if rows.count() > merge_above:
+            return _with_label_names(grow_merged(rows, forest, stages, scaled, "label"))
+        return _with_label_names(Pipeline(stages=[*stages, forest]).fit(rows))
 
 
 def regression_preprocessing(rows: DataFrame, numeric: Sequence[str], category: str) -> list:
@@ -166,6 +176,7 @@ def fit_forest_regressor(
     label: str = "calories_burned",
     size: ForestSize = LIGHT,
     seed: int = 42,
+    merge_above: int = MERGE_ABOVE,
 ) -> PipelineModel:
     with training_frame(df, *numeric, category, label) as rows:
         forest = RandomForestRegressor(
@@ -176,8 +187,114 @@ def fit_forest_regressor(
             minInstancesPerNode=size.leaf,
             seed=seed,
         )
-        stages = [*regression_preprocessing(rows, numeric, category), forest]
-        return Pipeline(stages=stages).fit(rows)
+        stages = regression_preprocessing(rows, numeric, category)
+        if rows.count() > merge_above:
+            return grow_merged(rows, forest, stages, [f"{c}_scaled" for c in numeric], "activity_idx")
+        return Pipeline(stages=[*stages, forest]).fit(rows)
+
+
+def fit_bins(df: DataFrame, columns: Sequence[str]) -> list[Transformer]:
+    """Stages that add ``<column>_bin``, the number of the column's cuts that a value reaches, for trees that
+    tell at most BINS values apart: cuts between all values if there are no more, else quantiles of all rows,
+    off by a ten-thousandth of the rows at most."""
+    shares = [i / BINS for i in range(1, BINS)]
+    quantiles = [F.percentile_approx(c, shares, 10_000).alias(f"{c}__cuts") for c in columns]
+    # One task merges the sketches, so their number is bounded.
+    found = df.coalesce(SKETCHES).agg(*quantiles, *[F.approx_count_distinct(c).alias(f"{c}__distinct") for c in columns]).first()
+    splits = []
+    for c in columns:
+        cuts = sorted(set(found[f"{c}__cuts"]))
+        # The count is off by a few hundredths; the exact one has few groups then.
+        if found[f"{c}__distinct"] <= 2 * BINS:
+            values = sorted(r[0] for r in df.select(c).distinct().collect())
+            if len(values) <= BINS:
+                cuts = values[1:] or values
+        splits.append([-math.inf, *cuts, math.inf])
+    cut = Bucketizer(splitsArray=splits, inputCols=list(columns), outputCols=[f"{c}_cut" for c in columns])
+    # A sum has no attributes of categories, so that trees take the numbers in their order.
+    terms = ", ".join(f"{c}_cut + 0D AS {c}_bin" for c in columns)
+    return [cut, SQLTransformer(statement=f"SELECT *, {terms} FROM __THIS__")]
+
+
+def grow_merged(
+    rows: DataFrame, forest: RandomForestClassifier | RandomForestRegressor, stages: list, scaled: Sequence[str], group: str
+) -> PipelineModel:
+    """The pipeline of ``stages`` and ``forest``, grown on rows merged by what its trees can tell apart.
+
+    A forest tells at most BINS values of a column apart, so rows of the same bins and ``group`` (the
+    label of a classifier, the category of a regressor) go the same way in every tree. Every row is
+    drawn for every tree by Poisson numbers of mean 1, as in Spark's own forest; the sum of the
+    draws becomes the weight of the merged row, and a regressor's target the mean of the drawn ones,
+    which decides splits and leaves as the single values do. A tree is then grown on as many rows as
+    there are combinations of bins, and the rows themselves are read once for each GROUP_TREES trees.
+    """
+    classify, target = isinstance(forest, RandomForestClassifier), forest.getLabelCol()
+    *prepare, last = stages
+    prepared = Pipeline(stages=prepare).fit(rows)
+    bins = [f"{c}_bin" for c in scaled]
+    binned = PipelineModel(stages=fit_bins(prepared.transform(rows), scaled))
+    assemble = assembler([dict(zip(scaled, bins)).get(c, c) for c in last.getInputCols()])
+    ready = binned.transform(prepared.transform(rows))
+    encode = PipelineModel(stages=[*[s for s in prepared.stages if isinstance(s, OneHotEncoderModel)], assemble])
+    count, seed = forest.getNumTrees(), forest.getSeed()
+    grown = []
+    for first in range(0, count, GROUP_TREES):
+        trees = range(first, min(count, first + GROUP_TREES))
+        drawn = ready.select(*bins, group, *([] if classify else [target]), *[F.rand(seed + t).alias(f"u{t}") for t in trees])
+        numbers = [[-math.inf, *POISSON, math.inf]] * len(trees)
+        drawn = Bucketizer(splitsArray=numbers, inputCols=[f"u{t}" for t in trees], outputCols=[f"k{t}" for t in trees]).transform(drawn)
+        sums = [F.sum(f"k{t}").alias(f"w{t}") for t in trees]
+        if not classify:
+            # A missing target stays missing, for the forest to refuse it.
+            known = F.count(target) == F.count("*")
+            sums += [F.when(known, F.sum(F.col(f"k{t}") * F.col(target)) / F.nullif(F.sum(f"k{t}"), F.lit(0.0))).alias(f"y{t}") for t in trees]
+        merged = materialise(drawn.groupBy(*bins, group).agg(*sums), "merged-rows")
+        with training_frame(merged, *merged.columns) as kept:
+            totals = kept.agg(*[F.sum(f"w{t}").alias(f"w{t}") for t in trees]).first()
+            table = encode.transform(kept)
+
+            def grow(t: int):
+                least = (forest.getMinInstancesPerNode() - 0.5) / max(1.0, totals[f"w{t}"])
+                tree = forest.copy(
+                    {
+                        forest.numTrees: 1,
+                        forest.bootstrap: False,
+                        forest.featureSubsetStrategy: "sqrt" if classify else "onethird",
+                        forest.weightCol: f"w{t}",
+                        forest.labelCol: target if classify else f"y{t}",
+                        forest.minInstancesPerNode: 1,
+                        forest.minWeightFractionPerNode: min(0.499, least),
+                        forest.seed: seed + t,
+                    }
+                )
+                return tree.fit(table.where(F.col(f"w{t}") > 0))
+
+            pool = ThreadPool(TREES_AT_ONCE)
+            try:
+                grown += pool.map(inheritable_thread_target(rows.sparkSession)(grow), list(trees))
+            finally:
+                pool.close()
+    return PipelineModel(stages=[*prepared.stages, *binned.stages, assemble, _one_forest(forest, grown)])
+
+
+def _one_forest(forest: RandomForestClassifier | RandomForestRegressor, grown: Sequence):
+    """Forests of one tree each as one model of ``forest``."""
+    gateway = SparkContext._gateway
+    package = gateway.jvm.org.apache.spark.ml
+    classify = isinstance(forest, RandomForestClassifier)
+    kind = package.classification.DecisionTreeClassificationModel if classify else package.regression.DecisionTreeRegressionModel
+    trees = gateway.new_array(kind, len(grown))
+    for i, model in enumerate(grown):
+        trees[i] = model._java_obj.trees()[0]
+    size = grown[0].numFeatures
+    if classify:
+        joined = package.classification.RandomForestClassificationModel(forest.uid, trees, size, grown[0].numClasses)
+    else:
+        joined = package.regression.RandomForestRegressionModel(forest.uid, trees, size)
+    model = forest._copyValues(forest._create_model(joined))
+    # A regressor divides by the number of trees among its parameters.
+    model._transfer_params_to_java()
+    return model
 
 
 # Trees that are grown and held together, and rows that each group is grown on at most (about).

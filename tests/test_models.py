@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paceframe.operators import metrics, models, preprocessing, recommend, segments, summaries
 from paceframe.plans import train as train_plan
+from paceframe.session import materialise
 from paceframe.sources.readers import rows
 
 
@@ -252,3 +253,34 @@ def test_dense_ids_are_consecutive(spark):
     df = spark.range(100).select((F.col("id") * 10**10).alias("u")).union(spark.range(5).select("id"))
     ids = sorted(r["n"] for r in recommend.dense_ids(df, "u", "n").collect())
     assert ids == list(range(104))
+
+
+@pytest.mark.parametrize("classify", [True, False])
+def test_merged_forests_are_as_good_as_those_grown_row_by_row(telemetry, spark, tmp_path, classify):
+    fit = models.fit_forest_classifier if classify else models.fit_forest_regressor
+    size = models.ForestSize(8, 5, 3)
+    merged, single = (fit(telemetry, size=size, merge_above=m) for m in (0, 10**9))
+    forest = next(s for s in merged.stages if hasattr(s, "getNumTrees"))
+    assert forest.getNumTrees == 8 and forest.totalNumNodes > 8
+    scored, reference = merged.transform(telemetry), single.transform(telemetry)
+    if classify:
+        assert accuracy(scored) > accuracy(reference) - 0.02
+        importance = [dict(map(tuple, models.feature_importance(m, models.CLASSIFIER_FEATURES, spark).collect())) for m in (merged, single)]
+        assert sum(importance[0].values()) == pytest.approx(1.0)
+    else:
+        found, wanted = (metrics.regression_metrics(s, "calories_burned").first()["r2"] for s in (scored, reference))
+        assert found > wanted - 0.02
+    again = fit(telemetry.repartition(5), size=size, merge_above=0).transform(telemetry)
+    path = str(tmp_path / "m")
+    models.save_model(merged, path)
+    for other in (again, PipelineModel.load(path).transform(telemetry)):
+        both = [sorted(r[0] for r in s.select("prediction").collect()) for s in (scored, other)]
+        assert both[0] == pytest.approx(both[1])
+
+
+def test_merged_forests_read_their_rows_once_a_group(spark, monkeypatch):
+    df = rows(spark, [(i % 7, float(i % 5), i % 3, "ab"[i % 2]) for i in range(3000)], "steps int, calories_burned double, heart_rate_avg int, activity_type string")
+    sizes = []
+    monkeypatch.setattr(models, "materialise", lambda merged, name: sizes.append(merged.count()) or materialise(merged, name))
+    models.fit_forest_classifier(df, size=models.ForestSize(12, 3, 1), merge_above=1000)
+    assert sizes == [210, 210]
