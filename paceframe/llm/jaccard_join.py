@@ -6,7 +6,9 @@ multiplied as the sizes demand: shingles are put in one order for all documents,
 last, and two sets that overlap enough share one of their first few. Columns are blocks of a
 shuffle, partial overlap counts are added per pair, and a pair goes on only while the bounds that
 follow from the two sizes, the places of the shared shingle and folded parity bits of the sets
-allow the overlap that a link needs. What is left is counted in full.
+allow the overlap that a link needs. In the product itself each row carries 512 of those bits, so
+that of a group of documents that are alike, but not alike enough, few pairs come out of it. What
+is left is counted in full.
 
 Copies are merged first. Then rounds link each document with the partner it shares most with and
 merge components, and at last the product is taken between different components only. So a group
@@ -17,6 +19,8 @@ joins two components is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,8 +36,13 @@ from paceframe.llm.shingles import shingle_sets
 from paceframe.session import materialise
 
 # Similarity 0.8: intersection / union >= 4 / 5, so the overlap is at least 4 / 9 of both sizes.
-PROFILE = "doc_id long, n_shingles long, k1 long, k2 long, parity binary"
+# Parity bits that the rows of the product carry, as 64-bit words.
+WORD_BITS = 512
+WORDS = [f"w{i}" for i in range(WORD_BITS // 64)]
+PROFILE = "doc_id long, n_shingles long, k1 long, k2 long, parity binary, " + ", ".join(f"{w} long" for w in WORDS)
 POSTING = "gram long, doc_id long, n int, place int"
+# A posting; or, with a partner, a pair of documents.
+MET = "gram long, doc_id long, n int, place int, partner long"
 PAIR = "a long, b long"
 # Shingles counted at once when frequent ones are sought, and how many of them are kept.
 BLOCK_SHINGLES = 1_500_000
@@ -45,7 +54,8 @@ SEEN = 10_000
 # tries in each.
 ROUNDS = 3
 PARTNERS = 2
-# Ids of documents are broadcast up to so many, 16 MB; more are joined by a shuffle.
+# Ids of documents are broadcast up to so many, 16 MB; more are joined by a shuffle. Of components,
+# which take several times as much, half as many are.
 MAX_BROADCAST = 2_000_000
 
 
@@ -89,8 +99,11 @@ def parity_bits(found: np.ndarray) -> bytes:
     The exclusive or of two such strings, folded to the shorter length, has at most as many ones
     as the sets have members that are not in both.
     """
-    bits = max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64
-    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+    return _parities(found, max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64).tobytes()
+
+
+def _parities(found: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
 
 
 def least_difference(a: bytes, b: bytes) -> int:
@@ -103,14 +116,15 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Size, 128-bit digest and parity bits of each document's set."""
+    """Size, 128-bit digest and parity bits of each document's set, and as many as ``WORD_BITS``."""
     for batch in _small(batches):
         rows = []
         for doc_id, found in zip(batch["doc_id"], shingle_sets(_texts(batch))):
             digest = xxhash.xxh3_128_digest(found.tobytes())
             k1, k2 = np.frombuffer(digest, dtype=np.int64)
-            rows.append((doc_id, len(found), int(k1), int(k2), parity_bits(found)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k1", "k2", "parity"])
+            words = _parities(found, WORD_BITS).view(np.int64).tolist()
+            rows.append((doc_id, len(found), int(k1), int(k2), parity_bits(found), *words))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k1", "k2", "parity", *WORDS])
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -176,9 +190,12 @@ def shared_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield last
 
 
-def neighbour_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of postings (gram, doc_id, n, c) with equal grams together: each document with the one
-    before it and with the first of its gram, if components differ and sizes allow a link."""
+def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of postings (gram, doc_id, n, place, c) with equal grams together: those of shingles whose
+    documents are not all of one component, as far as a batch shows it; and, with a partner, each
+    document with the one before it and with the first of its gram, if components differ and sizes
+    allow a link. Components only merge, so postings that are left out will not matter again.
+    """
     last: pd.DataFrame | None = None
     first: pd.DataFrame | None = None  # the first row of the last row's gram
     for batch in batches:
@@ -191,11 +208,17 @@ def neighbour_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = np.arange(len(rows))
         new = np.append(True, gram[1:] != gram[:-1])
         start = np.maximum.accumulate(np.where(new, place, 0))
-        pairs = []
+        starts = np.flatnonzero(new)
+        # A shingle that goes on into another batch is kept whatever the components are.
+        mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+        mixed[-1] = True
+        if old:
+            mixed[np.searchsorted(starts, old - 1, "right") - 1] = True
+        kept = rows[(np.repeat(mixed, np.diff(np.append(starts, len(rows))))) & (place >= old)]
+        yield kept[["gram", "doc_id", "n", "place"]].assign(partner=pd.array([None] * len(kept), dtype="Int64"))
         for other in (np.maximum(place - 1, start), start):
             fits = (place >= old) & (c != c[other]) & (5 * np.minimum(n, n[other]) >= 4 * np.maximum(n, n[other]))
-            pairs.append(pd.DataFrame({"a": ids[fits], "b": ids[other[fits]]}))
-        yield pd.concat(pairs)
+            yield pd.DataFrame({"gram": 0, "doc_id": ids[fits], "n": 0, "place": 0, "partner": pd.array(ids[other[fits]], dtype="Int64")})
         last, first = rows[-1:], rows[start[-1] : start[-1] + 1]
 
 
@@ -254,6 +277,12 @@ class _Join:
         dealt = found.repartition(self.parts, "gram").sortWithinPartitions("gram")
         return materialise(dealt.mapInPandas(shared_postings, POSTING), "shared")
 
+    def worded(self, rows: DataFrame) -> DataFrame:
+        """The postings with the words of their sets; rows that repeat an id may get those of another
+        set of its too, which only adds pairs."""
+        words = self.profiles.select("doc_id", F.col("n_shingles").cast("int").alias("n"), *WORDS).distinct()
+        return rows.join(words, ["doc_id", "n"])
+
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, ..) that the parity bits of their sets don't rule out."""
         p = self.profiles.select("doc_id", "n_shingles", "parity")
@@ -303,11 +332,12 @@ def jaccard_components(df: DataFrame, parts: int | None = None) -> DataFrame:
 
     rows = join.shared()
     for round_ in range(ROUNDS):
-        rows = materialise(_mixed(rows, labels), "mixed")
         # By size at first, then in another order each round, so that others become neighbours.
         order = ["n", "doc_id"] if not round_ else [F.xxhash64("doc_id", F.lit(round_))]
-        dealt = rows.select("gram", "doc_id", "n", "c").repartition(parts, "gram").sortWithinPartitions("gram", *order)
-        pairs = dealt.mapInPandas(neighbour_pairs, PAIR).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+        dealt = _labelled(rows, labels).repartition(parts, "gram").sortWithinPartitions("gram", *order)
+        found = materialise(dealt.mapInPandas(met, MET), "met")
+        rows = found.where("partner is null").drop("partner")
+        pairs = found.where("partner is not null").groupBy(F.col("doc_id").alias("a"), F.col("partner").alias("b")).agg(F.count("*").alias("overlap"))
         # The partners with the highest partial overlaps, two at most, before anything is joined to
         # them: no group is collected or multiplied. What is cut here the last product finds.
         ranked = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("overlap"), "b"))
@@ -316,7 +346,7 @@ def jaccard_components(df: DataFrame, parts: int | None = None) -> DataFrame:
         if found.isEmpty():
             break
         labels = merged(labels, found)
-    labels = merged(labels, join.links(join.possible(_cross_pairs(_mixed(rows, labels)))))
+    labels = merged(labels, join.links(join.possible(_cross_pairs(join.worded(_labelled(rows, labels))))))
     out = join.profiles.join(sets, ["k1", "k2"], "left").join(
         labels.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
@@ -331,24 +361,27 @@ def profiles_of_null(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n_shingles": [len(s) for s in shingle_sets(_texts(batch))]})
 
 
-def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The postings of shingles whose documents are not all of one component, with their
-    components ``c``. Components only merge, so the others will not matter again."""
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings with the components ``c`` of their documents."""
     found = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    rows = rows.select("gram", "doc_id", "n", "place").join(found, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    kinds = rows.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
-    return rows.join(kinds, "gram", "left_semi")
+    if labels.count() <= MAX_BROADCAST // 2:
+        found = F.broadcast(found)
+    return rows.join(found, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
 
 
 def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that the sizes and places of a shared shingle allow."""
-    x = rows.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("i"), F.col("c").alias("c_a"))
-    y = rows.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("j"), F.col("c").alias("c_b"))
+    """Pairs of documents of different components that the sizes, the places of a shared shingle and
+    the words of parity bits allow."""
+    def side(doc: str, place: str) -> DataFrame:
+        named = {"doc_id": doc, "n": f"n_{doc}", "place": place, "c": f"c_{doc}"} | {w: f"{w}_{doc}" for w in WORDS}
+        return rows.select("gram", *[F.col(x).alias(y) for x, y in named.items()])
+
     n_a, n_b = F.col("n_a"), F.col("n_b")
     # The smaller set needs a shorter prefix, since its partner is no smaller.
     in_index = F.col("i") <= n_a - F.ceil(n_a * 8 / 9)
     most = F.least("i", "j") + 1 + F.least(n_a - 1 - F.col("i"), n_b - 1 - F.col("j"))
-    met = (F.col("c_a") != F.col("c_b")) & (
+    unlike = reduce(add, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WORDS])
+    fits = (F.col("c_a") != F.col("c_b")) & (
         (n_a < n_b) | ((n_a == n_b) & (F.col("a") < F.col("b")))
-    ) & (n_a * 5 >= n_b * 4) & in_index & (most >= needed_overlap(n_a, n_b))
-    return x.join(y, "gram").where(met).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    ) & (n_a * 5 >= n_b * 4) & in_index & (most >= needed_overlap(n_a, n_b)) & (unlike <= n_a + n_b - 2 * needed_overlap(n_a, n_b))
+    return side("a", "i").join(side("b", "j"), "gram").where(fits).groupBy("a", "b").agg(F.count("*").alias("overlap"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -565,6 +566,42 @@ def test_jaccard_join(odd_docs, texts, rounds, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == expected
 
 
+def test_jaccard_product_of_a_group_that_is_not_alike_enough(spark, monkeypatch):
+    """Documents made from one text that all differ too much: few of their pairs leave the product."""
+    rng = random.Random(4)
+    base = [f"word{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        changed = list(base)
+        for k in rng.sample(range(150), 3):
+            changed[k] = f"other{i}x{k}"
+        texts.append(" ".join(changed))
+    counts = []
+    product = jaccard_join._cross_pairs
+    monkeypatch.setattr(jaccard_join, "_cross_pairs", lambda rows: counts.append(product(rows).count()) or product(rows))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = by_id(jaccard_join.jaccard_components(docs))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == brute.similar_components(list(enumerate(texts)))
+    assert counts[0] <= 60  # of 1,770
+
+
+def test_postings_met_in_any_batches():
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"gram": np.sort(rng.integers(0, 12, 60)), "doc_id": rng.integers(0, 25, 60), "n": rng.integers(8, 11, 60), "place": 1})
+    rows["c"] = rows["doc_id"] // 8
+    mixed = rows[rows.groupby("gram")["c"].transform("nunique") > 1]
+
+    def run(size):
+        found = pd.concat(jaccard_join.met(iter([rows[at : at + size] for at in range(0, 60, size)])))
+        pairs = found[found["partner"].notna()]
+        return found[found["partner"].isna()][["gram", "doc_id", "n"]], Counter(zip(pairs["doc_id"], pairs["partner"]))
+
+    whole = run(60)
+    for size in (1, 7, 59):
+        kept, pairs = run(size)
+        assert pairs == whole[1] and not Counter(map(tuple, mixed[["gram", "doc_id", "n"]].to_numpy())) - Counter(map(tuple, kept.to_numpy()))
+
+
 def test_jaccard_join_of_repeated_rows(repeated_docs):
     found = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(repeated_docs).collect())
     assert found[(1, 1)] == 2 and found[(None, None)] == 2 and found[(3, 3)] == 1
