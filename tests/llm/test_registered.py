@@ -125,3 +125,10 @@ def test_last_stage_decodes(spark, sf_dir, odd_docs, texts, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.pieces, "decode_pieces", spoiled)
     found = {r["doc_id"]: r["exact"] for r in stage(spark, odd_docs, sf_dir).collect()}
     assert [found[i] for i in range(len(texts))] == [t is None for t in texts]
+
+
+def test_last_stage_has_one_python_worker_a_task(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "a", "some text"), (2, None, None)], "doc_id long, source string, text string")
+    found = dict(corpus_pipeline.STAGES)["SentencePiece encoding and decoding"](spark, docs, sf_dir)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: (r["n_ids"] > 0, r["exact"]) for r in found.collect()} == {1: (True, True), 2: (False, True)}
